@@ -106,24 +106,34 @@ class LineRuns:
         return out
 
 
-def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: int = 10, batches: int = BATCHES) -> DataFrame:
-    """(id, n_lines, n_dropped, kept): each document without the lines found in at least `threshold` documents."""
+def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: int = 10, batches: int = BATCHES, by_text: bool = False, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, n_lines, n_dropped, kept): each document without the lines found in at least `threshold` documents.
+
+    by_text: documents of equal text count as one, and come into the same batch. keep_first: the document with the smallest
+    (id, text hash) of a frequent line's keeps it. carry: columns passed on; none may be named like an added one.
+    """
     spark = df.sparkSession
-    lines = written(line_hashes(df, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches))), "lines")
+    lines = line_hashes(df, id_col, text_col)
+    lines = lines.withColumn("row", F.col("th")) if by_text else lines
+    lines = written(lines.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches))), "lines")
     runs = LineRuns(spark, threshold)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    hits = lines.select("id", "th", "pos", *KEY).join(runs.frequent(), list(KEY), "left_semi").groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
+    hits = lines.select("id", "th", "pos", *KEY).join(runs.frequent(), list(KEY), "left_semi")
+    if keep_first:
+        first = hits.groupBy(*KEY).agg(F.min(F.struct("id", "th")).alias("first"))
+        hits = hits.join(first, list(KEY)).where(~F.struct("id", "th").eqNullSafe(F.col("first")))
+    hits = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     hits = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("th"))
-    joined = docs.join(hits, docs["id"].eqNullSafe(hits["_id"]) & (docs["th"] == hits["_th"]), "left")
-    all_lines = split_lines(F.col("t"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
-    return joined.withColumn("lines", all_lines).select(
-        F.col("id").alias(id_col),
-        F.size("lines").cast("long").alias("n_lines"),
+    docs = df.select(F.col(id_col).alias("_doc"), *carry, text.alias("_text"), F.xxhash64(text).alias("_hash"))
+    joined = docs.join(hits, docs["_doc"].eqNullSafe(hits["_id"]) & (docs["_hash"] == hits["_th"]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
+    return joined.withColumn("_lines", split_lines(F.col("_text"))).select(
+        F.col("_doc").alias(id_col),
+        *carry,
+        F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias("kept"),
+        F.when(F.col("gone").isNull(), F.col("_text")).otherwise(kept).alias("kept"),
     )

@@ -151,3 +151,19 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     out = drawn.groupBy("s", "start", "id", "th", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.array_sort(F.collect_list(piece_of)).alias("drawn"))
     whole = (F.col("taken") == repeats * F.col("size")) | (F.col("taken") == 0)
     return out.select(F.col("id").alias(id_col), "th", "size", "source_size", "target", "taken", F.when(~whole, F.col("drawn")).alias("drawn"))
+
+
+def mixed_texts(df: DataFrame, text_col: str, source_col: str, **options) -> DataFrame:
+    """df's rows as the mix takes them: a text once for each pass it is drawn in, with its drawn words; whole texts stay as they are."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    columns = df.columns
+    out = mix(rows, "_row", text_col, source_col, **options).where("taken > 0").select("_row", "size", "taken", "drawn")
+    whole = F.transform(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")), lambda _: F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))))
+    pieces = F.transform(F.sequence(F.lit(1), F.array_max(F.col("drawn.copies")).cast("int")), lambda k: F.transform(F.filter("drawn", lambda p: p["copies"] >= k), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"))))
+    passes = out.select("_row", "size", F.explode(F.when(F.col("drawn").isNull(), whole).otherwise(pieces)).alias("ranges"))
+    joined = rows.join(passes, "_row")
+    words = F.regexp_extract_all(text_col, F.lit(f"({WORD_RX})"), F.lit(1))
+    taken = F.array_join(F.transform("ranges", lambda p: F.array_join(F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")), " ")), " ")
+    entire = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"]) == F.col("size")
+    joined = joined.withColumn("_entire", entire).withColumn("_words", F.when(~F.col("_entire"), words))
+    return joined.select(*(F.when(F.col("_entire"), F.col(c)).otherwise(taken).alias(c) if c == text_col else F.col(c) for c in columns))
