@@ -146,7 +146,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     spread = laid.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     low = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("size"))
-    drawn = spread.join(taken, ["s", "block"], "left").withColumns({"low": low, "high": high, "words": F.when(F.col("copies").isNull(), 0).otherwise((high - low) * F.col("copies"))})
+    drawn = spread.join(taken.hint("merge"), ["s", "block"], "left").withColumns({"low": low, "high": high, "words": F.when(F.col("copies").isNull(), 0).otherwise((high - low) * F.col("copies"))})
     piece_of = F.when(F.col("copies").isNotNull(), F.struct(F.col("low").alias("start"), F.col("high").alias("stop"), F.col("copies").cast("long").alias("copies")))
     out = drawn.groupBy("s", "start", "id", "th", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.array_sort(F.collect_list(piece_of)).alias("drawn"))
     whole = (F.col("taken") == repeats * F.col("size")) | (F.col("taken") == 0)
