@@ -18,20 +18,22 @@ result; a text longer than a chunk is a chunk of its own. Other columns are left
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import spans, utf8, written
+from binomia.llm.common import spans, table_path, utf8, written
 from binomia.llm.trie import Trie, build
-from binomia.llm.words import BOS, mixed, with_ends, word_keys
+from binomia.llm.words import mixed, with_ends, word_keys
 
-CHUNK = 2_000_000
+CHUNK = 2_500_000
 SHARD = 3_000_000
 BYTES = 4 << 20  # of text at a time
 ADD = 0.1
@@ -62,7 +64,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int
         def flush() -> pa.RecordBatch:
             nonlocal keys, ids, sizes, held, n, made
             size, flags = np.concatenate(sizes), np.concatenate(held)
-            distinct, token = np.unique(np.concatenate(keys), return_inverse=True)
+            token, distinct = pd.factorize(np.concatenate(keys))
             keys = []
             total = np.bincount(token, minlength=len(distinct))
             order = np.argsort(-total, kind="stable")
@@ -98,7 +100,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int
 
 
 def word_counts(found: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, counts, distinct): the training counts, over all chunks, of a chunk's words of a word shard; distinct: once for a shard, its words learnt."""
+    """(chunk, part, counts, numbers, distinct): the training counts, over all chunks, and the numbers of a chunk's words of a word shard; distinct: once for a shard, its words learnt."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,16 +119,27 @@ def word_counts(found: DataFrame, parts: int) -> DataFrame:
     def answer(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
         train = np.concatenate([spread(t, np.uint32) for t in table.column("train").to_pylist()])
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        which, distinct = pd.factorize(np.concatenate(keys))
         total = np.bincount(which, weights=train, minlength=len(distinct)).astype(np.uint64)
+        rank = np.empty(len(distinct), np.uint64)  # by key, so that a second run gives the same numbers
+        rank[np.argsort(distinct)] = np.arange(len(distinct), dtype=np.uint64)
+        number = rank * np.uint64(parts) + np.uint64(table.column("part")[0].as_py())
         ends = np.cumsum([len(k) for k in keys])
-        counts = [squeeze(total[which[e - len(k) : e]]) for e, k in zip(ends, keys, strict=True)]
+        own = [which[e - len(k) : e] for e, k in zip(ends, keys, strict=True)]
         once = np.zeros(len(keys), np.int64)
         once[0] = np.count_nonzero(total)
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": pa.array(counts, pa.binary()), "distinct": pa.array(once)})
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "counts": pa.array([squeeze(total[w]) for w in own], pa.binary()), "numbers": pa.array([squeeze(number[w]) for w in own], pa.binary()), "distinct": pa.array(once)})
 
     asked = found.select("chunk", "keys", "train").mapInArrow(ask, "chunk long, part int, keys binary, train binary")
-    return asked.groupBy("part").applyInArrow(answer, "chunk long, part int, counts binary, distinct long")
+    return asked.groupBy("part").applyInArrow(answer, "chunk long, part int, counts binary, numbers binary, distinct long")
+
+
+def chunk_table(found: DataFrame) -> DataFrame:
+    """The chunks as a table bucketed by chunk, so that what is joined to them by chunk is all that is shuffled."""
+    spark = found.sparkSession
+    name = f"binomia_chunks_{uuid.uuid4().hex}"
+    found.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("compression", "none").option("path", table_path(spark, "lm-chunks")).saveAsTable(name)
+    return spark.table(name)
 
 
 def classes(count: np.ndarray, limit: float) -> np.ndarray:
@@ -136,7 +149,7 @@ def classes(count: np.ndarray, limit: float) -> np.ndarray:
 
 def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out: a boolean column, rows of which aren't learnt from."""
-    found = written(chunks(df, id_col, text_col, held_out, chunk), "lm-chunks", "none")
+    found = chunk_table(chunks(df, id_col, text_col, held_out, chunk))
     total, learnt = found.agg(F.sum("n"), F.sum("n_train")).first()
     total, learnt = total or 0, learnt or 0
     parts, shards = max(1, -(-total // (4 * shard))) * 2, max(1, -(-total // shard))
@@ -150,40 +163,40 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
         for b in batches:
             for row in b.to_pylist():
                 keys = np.frombuffer(row["keys"], np.uint64)
-                count = np.zeros(len(keys), np.uint64)
+                count, number = np.zeros(len(keys) + 1, np.uint64), np.zeros(len(keys) + 1, np.uint64)
                 part = (keys % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 for a in row["answers"]:
-                    count[order[cuts[a["part"]] : cuts[a["part"] + 1]]] = spread(a["counts"], np.uint64)
+                    own = order[cuts[a["part"]] : cuts[a["part"] + 1]]
+                    count[own], number[own] = spread(a["counts"], np.uint64), spread(a["numbers"], np.uint64) + np.uint64(1)  # 0 is the begin token
                 token, size, held = spread(row["tokens"], np.uint32).astype(np.int64), spread(row["sizes"], np.uint32).astype(np.int64), spread(row["held"], np.uint8).astype(bool)
                 starts = np.cumsum(size) - size
                 base = np.add.reduceat(np.log10((count + ADD) / whole)[token], starts)
                 known = np.add.reduceat((count > 0)[token].astype(np.int64), starts)
                 texts = {"ids": row["ids"], "held": held.tolist(), "n_tokens": size.tolist(), "n_known": known.tolist(), "base": base.tolist()}
                 yield pa.RecordBatch.from_pylist([{"shard": row["chunk"] % shards, "chunk": row["chunk"], "blob": None, "texts": texts}], out_schema)
-                n = len(keys) + 1  # the last number is the begin token's
+                n = len(keys) + 1  # the last one is the begin token
                 doc = np.repeat(np.arange(len(size)), size)
                 near = np.empty(len(token), np.int64)
                 near[1:], near[starts] = token[:-1], n - 1
                 far = np.empty(len(token), np.int64)
                 far[1:], far[starts] = near[:-1], n - 1
-                pair = near * n + far
+                pair, pairs = near * n + far, None
                 if n >= 1 << 21:  # three numbers don't fit into 63 bits
-                    pair = np.unique(pair, return_inverse=True)[1]
-                triple, first, which = np.unique(pair * n + token, return_index=True, return_inverse=True)
+                    pair, pairs = pd.factorize(pair)
+                which, triple = pd.factorize(pair * n + token)  # by first place, which compresses best
+                del pair, near, far
                 train = np.bincount(which[~held[doc]], minlength=len(triple))
-                order = np.argsort(first, kind="stable")  # by first place, which compresses best
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                which, train, at = rank[which], train[order], first[order]
-                key, known_as = np.append(keys, BOS), np.append(count, np.uint64(0))
-                split = classes(known_as.astype(float), limit)
-                v, u, w = near[at], far[at], token[at]
-                place = (mixed(key[v] + mixed(key[u]) % split[v].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                both, w = triple // n, triple % n
+                both = both if pairs is None else pairs[both]
+                v, u = both // n, both % n
+                del both, triple
+                split = classes(count.astype(float), limit)
+                place = (mixed(mixed(number[v]) + mixed(number[u]) % split[v].astype(np.uint64)) % np.uint64(shards)).astype(np.uint32 if shards >= 1 << 16 else np.uint16)
                 by_shard = np.argsort(place, kind="stable")
                 edge = np.searchsorted(place[by_shard], np.arange(shards + 1))
-                token_place = place[which].astype(np.uint32 if shards >= 1 << 16 else np.uint16)
+                token_place = place[which]
                 tokens_of = np.argsort(token_place, kind="stable")
                 token_edge = np.searchsorted(token_place[tokens_of], np.arange(shards + 1))
                 inner = np.empty(len(place), np.int64)
@@ -192,14 +205,16 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
                     own = by_shard[edge[s] : edge[s + 1]]
                     if not len(own):
                         continue
-                    names, local = np.unique(np.concatenate([v[own], u[own], w[own]]), return_inverse=True)
+                    here = np.zeros(n, bool)
+                    for x in (v, u, w):
+                        here[x[own]] = True
+                    names, local = np.flatnonzero(here), np.cumsum(here, dtype=np.uint32) - np.uint32(1)
                     mine = tokens_of[token_edge[s] : token_edge[s + 1]]
                     of = inner[which[mine]] - edge[s]
                     ahead = np.maximum.accumulate(np.concatenate([[-1], of[:-1]])) + 1 - of  # 0 where a triple comes for the first time
                     d = doc[mine]
                     new = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                    m = len(own)
-                    blob = {"keys": key[names].tobytes(), "count": squeeze(known_as[names]), "v": squeeze(local[:m].astype(np.uint32)), "u": squeeze(local[m : 2 * m].astype(np.uint32)), "w": squeeze(local[2 * m :].astype(np.uint32)), "train": squeeze(train[own].astype(np.uint32)), "ahead": squeeze(ahead.astype(np.uint32)), "doc": squeeze(np.diff(d[new], prepend=0).astype(np.uint32)), "runs": squeeze(np.diff(np.append(new, len(d))).astype(np.uint32))}
+                    blob = {"keys": squeeze(number[names]), "count": squeeze(count[names]), "v": squeeze(local[v[own]]), "u": squeeze(local[u[own]]), "w": squeeze(local[w[own]]), "train": squeeze(train[own].astype(np.uint32)), "ahead": squeeze(ahead.astype(np.uint32)), "doc": squeeze(np.diff(d[new], prepend=0).astype(np.uint32)), "runs": squeeze(np.diff(np.append(new, len(d))).astype(np.uint32))}
                     yield pa.RecordBatch.from_pylist([{"shard": s, "chunk": row["chunk"], "blob": blob, "texts": None}], out_schema)
 
     fields = ("keys", "count", "v", "u", "w", "train", "ahead", "doc", "runs")
@@ -210,7 +225,7 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
     out_schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("blob", pa.struct([(f, pa.binary()) for f in fields])), ("texts", pa.struct(text_fields))])
     texts_ddl = f"struct<ids:array<{kind}>,held:array<boolean>,n_tokens:array<bigint>,n_known:array<bigint>,base:array<double>>"
     blob_ddl = "struct<" + ",".join(f"{f}:binary" for f in fields) + ">"
-    answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))  # one a word shard
+    answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "numbers")).alias("answers"))  # one a word shard
     asked = found.select("chunk", "keys", "tokens", "ids", "sizes", "held").join(answers, "chunk").mapInArrow(ask, f"shard long, chunk long, blob {blob_ddl}, texts {texts_ddl}")
 
     def answer(table: pa.Table) -> pa.Table:
@@ -219,8 +234,8 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
         have = [i for i, b in enumerate(blobs) if b is not None]
         place, value = [None] * len(blobs), [None] * len(blobs)
         if have:
-            keys = [np.frombuffer(blobs[i]["keys"], np.uint64) for i in have]
-            names, which = np.unique(np.concatenate(keys), return_inverse=True)
+            keys = [spread(blobs[i]["keys"], np.uint64) for i in have]
+            which, names = pd.factorize(np.concatenate(keys))
             seen = np.zeros(len(names), np.uint64)
             seen[which] = np.concatenate([spread(blobs[i]["count"], np.uint64) for i in have])
             ends = np.cumsum([len(k) for k in keys])
@@ -232,13 +247,22 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
             n = len(names)
             split = classes(seen.astype(float), limit)
             root = part["v"] * int(split.max()) + (mixed(names[part["u"]]) % split[part.pop("v")].astype(np.uint64)).astype(np.int64)
-            roots, root = np.unique(root, return_inverse=True)
-            context, of = np.unique(root * n + part.pop("u"), return_inverse=True)
-            del root
-            triple, of = np.unique(of * n + part.pop("w"), return_inverse=True)
+            code, roots = pd.factorize(root)  # numbers in use, in order
+            rank = np.empty(len(roots), np.int64)
+            rank[np.argsort(roots)] = np.arange(len(roots))
+            root = rank[code]
+            del code
+            pair = root * n + part.pop("u")
+            pairs = None
+            if len(roots) * n * n >= 1 << 63:
+                pairs, pair = np.unique(pair, return_inverse=True)
+            triple, of = np.unique(pair * n + part.pop("w"), return_inverse=True)
+            del root, pair
             train = np.bincount(of, weights=train, minlength=len(triple)).astype(np.int64)
-            r, u, w = roots[context[triple // n] // n], context[triple // n] % n, triple % n
-            del triple, context
+            both, w = triple // n, triple % n
+            both = both if pairs is None else pairs[both]
+            r, u = both // n, both % n
+            del triple, both
             own = train > 0
             p1 = (seen + ADD) / whole
             trie = Trie.mapped(build(r[own], u[own], w[own], train[own], p1))

@@ -164,28 +164,28 @@ def quantise(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
 
 
 def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray) -> bytes:
-    """The trie of counted (root, preceding word, word) triples, each given once; p1: the probability of each word by number."""
+    """The trie of counted (root, preceding word, word) triples, each given once, in order; p1: the probability of each word by number."""
     words = len(p1)
-    roots, r = np.unique(root, return_inverse=True)
+    change = np.append(True, root[1:] != root[:-1])[: len(root)]
+    roots, r = root[change], np.cumsum(change) - 1
     pairs, pair = np.unique(r * words + word, return_inverse=True)
     pair_root, pair_word = pairs // words, pairs % words
-    pair_count = np.bincount(pair, weights=count)
+    pair_count = np.bincount(pair, weights=count, minlength=len(pairs))
     root_count = np.bincount(pair_root, weights=pair_count, minlength=len(roots))
     followers = np.bincount(pair_root, minlength=len(roots))
     root_weight = followers / (root_count + followers)
     p2 = (pair_count + followers[pair_root] * p1[pair_word]) / (root_count + followers)[pair_root]
     pair_at, pair_values = Level.shifted(pair_root, pair_word, len(roots))
-    contexts, c = np.unique(r * words + before, return_inverse=True)
-    context_root = contexts // words
-    context_count = np.bincount(c, weights=count)
-    followers = np.bincount(c)
+    change[1:] |= before[1:] != before[:-1]
+    c = np.cumsum(change) - 1
+    context_root = r[change]
+    context_count = np.bincount(c, weights=count, minlength=len(context_root))
+    followers = np.bincount(c, minlength=len(context_root))
     weight = followers / (context_count + followers)
-    context_at, context_values = Level.shifted(context_root, contexts % words, len(roots))
-    order = np.lexsort((pair, c))
-    c, pair, count = c[order], pair[order], count[order]
+    context_at, context_values = Level.shifted(context_root, before[change], len(roots))
     p3 = (count + followers[c] * p2[pair]) / (context_count + followers)[c]
     place = pair - pair_at[context_root[c]]
-    triple_at, triple_values = Level.shifted(c, place, len(contexts))
+    triple_at, triple_values = Level.shifted(c, place, len(context_root))
     arrays: dict[str, np.ndarray] = {}
     meta: dict[str, dict] = {}
     for name, values in (("roots", roots), ("pair_at", pair_at), ("pairs", pair_values), ("context_at", context_at), ("contexts", context_values), ("triple_at", triple_at), ("triples", triple_values)):
