@@ -48,12 +48,12 @@ def species_lines(lines: DataFrame) -> DataFrame:
     """lines with genus, species, author, flags, occurrence and three common names; others than species rows are left out."""
     parts = F.split("line", "\\.{2,}")
     col = lambda i: F.trim(F.coalesce(F.try_element_at(parts, F.lit(i)), F.lit("")))
-    trimmed = F.ltrim(F.lit("\t "), F.element_at(parts, 1))
+    trimmed = F.ltrim(F.element_at(parts, 1), F.lit("\t "))
     flags = F.regexp_extract(trimmed, "^([*^&+]+)\\s*", 1)
     rest = F.split(F.trim(F.regexp_replace(trimmed, "^[*^&+]+\\s*", "")), "\\s+")
     author = F.btrim(F.array_join(F.slice(rest, 3, F.greatest(F.size(rest) - 2, F.lit(0))), " "), F.lit(".,"))
     out = lines.where(F.col("line").rlike("\\.{4,}") & (F.size(parts) >= 3) & (F.size(rest) >= 3)).select(
-        "*", F.element_at(rest, 1).alias("genus"), F.rtrim(F.lit(".,"), F.element_at(rest, 2)).alias("species"), author.alias("author"), flags.alias("flags"),
+        "*", F.element_at(rest, 1).alias("genus"), F.rtrim(F.element_at(rest, 2), F.lit(".,")).alias("species"), author.alias("author"), flags.alias("flags"),
         F.regexp_replace(col(2), "\\s+", "").alias("occurrence"), col(3).alias("common_name_en"), col(4).alias("common_name_es"), col(5).alias("common_name_fr"),
     )
     return out.where(F.col("occurrence").rlike(OCCURRENCE) & F.col("genus").rlike(GENUS) & F.col("species").rlike(EPITHET))

@@ -61,7 +61,7 @@ def url_candidates(url: F.Column, doi_: F.Column) -> F.Column:
     """Where to try for a PDF, best guess first: rewritten addresses of known hosts, else the DOI's, and the address itself."""
     url = F.coalesce(url, F.lit(""))
     has = lambda s: F.contains(url, F.lit(s))
-    bare = F.rtrim(F.lit("/"), url)
+    bare = F.rtrim(url, F.lit("/"))
     wiley = F.regexp_extract(url, "/doi/(10\\.[0-9]{4,}/[^\\s?#]+)", 1)
     rewritten = F.array_compact(
         F.array(
