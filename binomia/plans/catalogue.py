@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("q_names", "q_corpus")
+MODULES: tuple[str, ...] = ("q_names", "q_corpus", "q_streams")
 
 
 @cache
