@@ -57,7 +57,7 @@ def dictionary_json(spark: SparkSession, path: str) -> tuple[Dictionary, DataFra
     valid = raw.select(F.posexplode(F.map_entries("valid_names")).alias("ord", "e")).select(F.col("ord").cast("long"), F.col("e.key").alias("binomial"), F.coalesce("e.value.flags", F.lit("")).alias("flags"), F.coalesce("e.value.common_name_en", F.lit("")).alias("common_name"))
     synonyms = raw.select(F.posexplode(F.map_entries("synonyms")).alias("ord", "e")).select(F.col("ord").cast("long"), F.col("e.key").alias("old_name"), F.col("e.value").alias("new_name")).where(F.contains("old_name", F.lit(" ")))
     common = valid.where("common_name <> ''").select("ord", F.col("common_name").alias("name"), "binomial")
-    genera = raw.select(F.lower(F.explode("genera")).alias("l_genus")).distinct()
+    genera = raw.select(F.explode("genera").alias("genus")).select(F.lower("genus").alias("l_genus")).distinct()
     return Dictionary(D.valid_names(valid), D.synonym_names(synonyms), genera, D.common_names(common)), raw.select("metadata.*")
 
 

@@ -102,5 +102,6 @@ class WorksReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CataloguePages)
     spark.dataSource.register(Works)
