@@ -14,13 +14,18 @@ SHORT_GENUS = f"{EDGE_L}([A-Z][a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
 WORD = "[a-zA-Z][-a-zA-Z]*"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, alone: bool = False) -> Column:
     """Array of (idx, text, g1, g2): each match of a pattern with two groups, its offset in code points.
 
     The text between matches comes from a split by the same pattern, so that offsets are running sums of lengths.
+    alone: the pattern also matches each match by itself, so that its groups need no more passes over the text.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    g1, g2 = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
+
+    def group(i: int) -> Column:
+        return F.transform(found, lambda m: F.regexp_extract(m, pattern, i)) if alone else F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+
+    g1, g2 = group(1), group(2)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("idx"))
 
     def step(s: Column, m: Column) -> Column:

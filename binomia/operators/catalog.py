@@ -17,7 +17,6 @@ OCCURRENCE = "^[APFarCMU]"
 GENUS, EPITHET = "^[A-Z][a-z]+$", "^[a-z][a-z-]{2,}$"
 # Fixed values. What stands in a catalogue entry.
 HEADER = "([a-z][a-z-]+),\\s+([A-Z][a-z]+)(?=(?:\\s+\\([A-Z][a-z]+\\))?\\s+[A-Z][a-z]+\\s+\\[)"
-STATUS = "(Synonym of|Valid as) ([A-Z][a-z]+) ([a-z]+)"
 
 
 def headers(lines: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ ASIS, HYPHEN, SHORT = 1, 2, 3
 
 
 def _pass(df: DataFrame, id_col: str, text_col: str, pattern: str, rule: int) -> DataFrame:
-    hits = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(matches(F.col(text_col), pattern)).alias("m"))
+    hits = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(matches(F.col(text_col), pattern, alone=True)).alias("m"))
     return hits.select("doc_id", "m.idx", F.col("m.g1").alias("genus"), F.col("m.g2").alias("species"), "m.text", F.lit(rule).alias("rule"))
 
 
@@ -24,7 +24,7 @@ def primary(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def hyphenated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The epithet is a letter, a hyphen and two letters or more."""
-    return _pass(df, id_col, text_col, HYPHENATED, HYPHEN)
+    return _pass(df.where(F.contains(text_col, F.lit("-"))), id_col, text_col, HYPHENATED, HYPHEN)
 
 
 def short_genus(df: DataFrame, id_col: str, text_col: str, genera: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from binomia.functions.text import html_text
 from binomia.operators import catalog, corpus, events, findings, papers
 from binomia.operators.dictionary import first_wins
-from binomia.plans.q_names import _VALUES, _batch
+from binomia.plans.q_names import _batch
 from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, documents, read, sql
 
 NOW = "2100-01-01 00:00:00"
