@@ -126,6 +126,11 @@ def is_empty(cache: DataFrame) -> DataFrame:
     return cache.where("valid is not null and size(synonyms) = 0 and current_name = ''")
 
 
+def empty_transfers(cache: DataFrame, names: DataFrame) -> DataFrame:
+    """Genus transfers for which a catalogue gave nothing, with author and family: what to ask for again. names: (binomial, author, tax_family)."""
+    return is_empty(cache).select("binomial").join(names, "binomial").where(is_transfer())
+
+
 def mismatches(cache: DataFrame) -> DataFrame:
     """Names that a catalogue has another current name for."""
     return cache.where("valid is not null and current_name <> '' and current_name <> binomial").select("binomial", "current_name")

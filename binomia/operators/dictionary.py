@@ -67,3 +67,9 @@ def metadata(d: Dictionary) -> DataFrame:
 def new_synonyms(found: DataFrame, valid: DataFrame) -> DataFrame:
     """found (ord, old_name, new_name): without names that are accepted ones; of an old name's rows the last wins."""
     return last_wins(found.join(valid.select(F.col("binomial").alias("old_name")), "old_name", "left_anti").select("ord", "old_name", "new_name"), "old_name")
+
+
+def ordered_distinct(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, values): each key's distinct values in the order in which they first come; a value takes part once a key, however often it comes."""
+    first = df.groupBy(key, value).agg(F.min(order).alias("_at"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias("values"))

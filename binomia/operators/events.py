@@ -29,6 +29,11 @@ def valid_issue(now: F.Column) -> F.Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def consented(visits: DataFrame, consent: str = "consent") -> DataFrame:
+    """Visits of users who agreed; no answer is none."""
+    return visits.where(F.coalesce(F.col(consent), F.lit(False)))
+
+
 def once_a_session(visits: DataFrame) -> DataFrame:
     """The first visit of each (user_id, session)."""
     rest = [c for c in visits.columns if c not in ("user_id", "session")]

@@ -96,3 +96,23 @@ def usable_text(text: F.Column) -> F.Column:
 
 def is_pdf(content: F.Column) -> F.Column:
     return F.substring(content, 1, 4) == F.lit(b"%PDF")
+
+
+def with_location(works: DataFrame, locations: DataFrame, key: str) -> DataFrame:
+    """The open copy's address of each work, null where none is known. locations: (key, url_for_pdf)."""
+    return works.join(locations.select(key, "url_for_pdf"), key, "left")
+
+
+def first_usable(attempts: DataFrame, usable: F.Column, n: int, *order: str) -> DataFrame:
+    """The first n usable attempts: where a run of downloads stops."""
+    return attempts.where(usable).orderBy(*order).limit(n)
+
+
+def downloaded(work: DataFrame) -> DataFrame:
+    return work.where((F.col("download_status") == "downloaded") & (F.coalesce("pdf_file", F.lit("")) != ""))
+
+
+def acceptance(seen: DataFrame, accepted: F.Column, *by: str) -> DataFrame:
+    """Works seen and accepted, and their ratio."""
+    out = seen.groupBy(*by).agg(F.count("*").alias("seen"), F.count_if(accepted).alias("accepted"))
+    return out.withColumn("rate", F.col("accepted") / F.col("seen"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from binomia.functions.text import html_text
 from binomia.operators import catalog, corpus, events, findings, papers
-from binomia.operators.dictionary import first_wins
+from binomia.operators.dictionary import first_wins, ordered_distinct
 from binomia.plans.q_names import _batch
 from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, documents, read, sql
 
@@ -293,7 +293,38 @@ def e5_counters(spark, sf):
     return events.counters(_visits(spark, sf), F.col("k") * 10)
 
 
+def s9_oa_lookup(spark, sf):
+    places = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.when(F.col("page_id") % 3 != 0, F.col("url")).alias("url_for_pdf"))
+    return papers.with_location(documents(spark, sf).select("doc_id"), places, "doc_id")
+
+
+def l2_usable_limit(spark, sf):
+    rows = documents(spark, sf).withColumns({"download_status": F.when(F.col("doc_id") % 4 == 0, "failed").otherwise("downloaded"), "pdf_file": papers.file_hash(F.col("doc_id").cast("string"))})
+    return papers.first_usable(papers.downloaded(rows), papers.usable_text(F.col("text")), 115, "doc_id").select("doc_id", "pdf_file")
+
+
+def a19_acceptance(spark, sf):
+    return papers.acceptance(documents(spark, sf), papers.relevant(F.substring("text", 1, 80), ("the ", " of", "der"), ("heat", "ion the")), "lang")
+
+
+def d6_ordered_distinct(spark, sf):
+    return ordered_distinct(documents(spark, sf), "source", "doc_id", "lang").select("source", F.array_join("values", ",").alias("langs"))
+
+
+def j14_empty_transfers(spark, sf):
+    rows = catalog.species_lines(catalog.fill_forward(catalog.headers(_lines(spark, sf)))).withColumn("binomial", F.concat_ws(" ", "genus", "species"))
+    names = first_wins(rows, "binomial", "page", "line_no").select("binomial", "author", "tax_family", F.col("line_no"))
+    cache = names.select("binomial", F.when(F.col("line_no") % 5 == 0, None).otherwise(F.lit(False)).alias("valid"), F.when(F.col("line_no") % 3 == 0, "Xx yy").otherwise("").alias("current_name"), F.array().cast("array<string>").alias("synonyms"))
+    return catalog.empty_transfers(cache, names.drop("line_no"))
+
+
+def e3_consent(spark, sf):
+    v = _visits(spark, sf).withColumn("consent", F.when(F.col("user_id") % 3 == 0, True).when(F.col("user_id") % 3 == 1, False))
+    return events.consented(v).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
+    s9_oa_lookup, l2_usable_limit, a19_acceptance, d6_ordered_distinct, j14_empty_transfers, e3_consent,
     a1_doc_type_counts, a2_paper_results, a3_corpus_totals, a4_paper_flags, a5_top_names, a6_top_species, a7_journals, a8_issue_papers, p9_exclusion, a10_fig1, a11_fig2, a11_fig2_legacy, a12_fig3, a13_corrections, a14_table1, f17_known_ratio,
     f8_headers, j13_forward_fill, f4_species_lines, d1_dictionary, p6_transfers, s15_html_text, x8_status, j9_asof_header, u2_synonyms, x9_original_genera, j9_asof_pages, p7_empty_cache, a20_mismatch, f11_doi, f12_hash, f13_url_candidates, f13_page_urls,
     f14_papers, f18_title_filter, d4_dedupe, f23_usable_text, s10_joined_pages, j7_remaining, l1_limit, e7_status_machine, p13_event_validation, p13_issue_validation, a17_dashboard, s14_last_visits, p12_markers, e1_session_dedupe, e2_rate_limit, e5_counters,
@@ -338,6 +369,12 @@ _URLS = "SELECT id, unnest(range(len(c)))::INTEGER AS attempt, unnest(c) AS cand
 _SQL_ROW = lambda r: "(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")"
 
 ORACLES = {
+    "s9_oa_lookup": "SELECT d.doc_id, CASE WHEN page_id % 3 <> 0 THEN url END AS url_for_pdf FROM documents d LEFT JOIN pages ON page_id = d.doc_id",
+    "l2_usable_limit": "SELECT doc_id, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS pdf_file FROM documents WHERE doc_id % 4 <> 0 AND length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 100 ORDER BY doc_id LIMIT 115",
+    "a19_acceptance": "SELECT lang, count(*) AS seen, count(*) FILTER (ok) AS accepted, count(*) FILTER (ok) / count(*) AS rate FROM (SELECT lang, NOT (contains(t, 'heat') OR contains(t, 'ion the')) AND (contains(t, 'the ') OR contains(t, ' of') OR contains(t, 'der')) AS ok FROM (SELECT lang, lower(substr(text, 1, 80)) AS t FROM documents)) GROUP BY lang",
+    "d6_ordered_distinct": "SELECT source, string_agg(lang, ',' ORDER BY a) AS langs FROM (SELECT source, lang, min(doc_id) AS a FROM documents GROUP BY 1, 2) GROUP BY 1",
+    "j14_empty_transfers": f"WITH {_LINES} SELECT binomial, author, tax_family FROM (SELECT *, genus || ' ' || species AS binomial FROM species QUALIFY row_number() OVER (PARTITION BY genus || ' ' || species ORDER BY page, line_no) = 1) WHERE line_no % 5 <> 0 AND line_no % 3 <> 0 AND starts_with(author, '(')",
+    "e3_consent": f"WITH {_VISITS} SELECT user_id, count(*) AS n FROM v WHERE user_id % 3 = 0 GROUP BY 1",
     "a1_doc_type_counts": sql("SELECT doc_id, type, count(*) AS n FROM batch GROUP BY 1, 2", *_B),
     "a2_paper_results": sql("SELECT * FROM results", *_B),
     "a3_corpus_totals": sql("SELECT type, count(*) AS n FROM batch GROUP BY 1", *_B),
