@@ -98,7 +98,8 @@ def links(distinct: DataFrame, k: int = 4) -> DataFrame:
     a, b = index.select(F.col("fp").alias("a"), "bit", "value"), index.select(F.col("fp").alias("b"), F.col("bit").alias("bit2"), F.col("value").alias("value2"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     near = (F.bit_count(x) <= k) & (F.col("a") < F.col("b")) & (F.col("bit").cast("int") == _first_variant(x, k))
-    return a.join(b, (F.col("bit") == F.col("bit2")) & (F.col("value") == F.col("value2")) & near).select("a", "b")
+    # the index is 64 times its input, which a size estimate from that misses: never broadcast it
+    return a.hint("merge").join(b, (F.col("bit") == F.col("bit2")) & (F.col("value") == F.col("value2")) & near).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
