@@ -172,6 +172,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     p = np.clip((bad + 0.05) / (bad + good + 0.5), 0.02, 0.98)
     p = np.where(bad > 0, np.maximum(p, 0.6), np.where(good > 0, 0.02, 0.1))
     prior, table = 0.1, np.zeros((m, 2, 3))
+    if not n:
+        return prior, table, p
     for _ in range(rounds):
         was = p
         prior = float(np.clip((counts * p).sum() / max(counts.sum(), 1), 1e-4, 0.6))
@@ -315,7 +317,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
         return pa.table({"part": table.column("part").slice(0, 1), "junk": pa.array([got[0]], pa.binary()), "toxic": pa.array([got[1]], pa.binary())})
 
     some = _sampled(docs, train_rows).join(known, "id", "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(TRAIN_PARTS)).cast("int"))
-    fitted = some.groupBy("part").applyInArrow(fit_part, "part int, junk binary, toxic binary").orderBy("part").collect()  # TRAIN_PARTS rows
+    fitted = some.groupBy("part").applyInArrow(fit_part, "part int, junk binary, toxic binary").collect()  # TRAIN_PARTS rows
+    fitted.sort(key=lambda r: r[0])
     if not fitted:
         return Model(stems, tasks, np.zeros((2, 2**BITS + 1), np.float32))
     weights = np.stack([np.mean([np.frombuffer(r[t], np.float32) for r in fitted], axis=0) for t in TASKS])
