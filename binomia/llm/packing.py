@@ -3,9 +3,9 @@
 Texts become token ids with an end id; longer ones are cut so that only their first piece may be short. Pieces
 are dealt by hash over partitions of about `partition_items`; each partition packs its pieces by best-fit
 decreasing and states a lower bound of its bin count from dual-feasible functions over its histogram of
-lengths. A partition whose bin count equals its bound is certified and final. Partitions with gaps keep
-their full bins; the pieces of their other bins are exchanged, dealt anew over fewer partitions, and packed
-again, until all are certified, one partition is left or `rounds` are over.
+lengths. A partition whose bin count equals its bound is certified: its bins are final but for the emptiest, which
+has room for others' pieces. Partitions with gaps keep their full bins. The pieces of all other bins are exchanged,
+dealt anew over fewer partitions, and packed again, until one partition is left or `rounds` are over.
 
 Cases: a null or empty text is the end id alone; a text of any length is cut into whole pieces; repeated rows
 are packed each; a null id is a value like any other; an empty table gives an empty result. Other columns are
@@ -112,7 +112,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def _pack_round(items: DataFrame, parts: int, size: int, seed: int) -> DataFrame:
-    """items with part, bin, offset, room (of the bin), bins and bound (of the partition)."""
+    """items with part, bin, offset, room (of the bin), loose (1 in the partition's emptiest bin), bins and bound (of the partition)."""
     dealt = items.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "id", "piece", "ids_crc32", "salt"), F.lit(parts)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -120,12 +120,13 @@ def _pack_round(items: DataFrame, parts: int, size: int, seed: int) -> DataFrame
         bins, offsets, room = best_fit_decreasing(lengths, size)
         bound = lower_bound(np.bincount(lengths, minlength=size + 1), size)
         n = len(lengths)
-        out = {"bin": bins, "offset": offsets, "room": room[bins], "bins": np.full(n, len(room)), "bound": np.full(n, bound)}
+        loose = bins == np.argmax(room)  # the emptiest bin
+        out = {"bin": bins, "offset": offsets, "room": room[bins], "loose": loose.astype(np.int64), "bins": np.full(n, len(room)), "bound": np.full(n, bound)}
         for k, v in out.items():
             table = table.append_column(k, pa.array(v, pa.int64()))
         return table
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", bin long, offset long, room long, bins long, bound long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema.fields) + ", bin long, offset long, room long, loose long, bins long, bound long"
     return dealt.groupBy("part").applyInArrow(pack, schema)
 
 
@@ -139,10 +140,10 @@ def pack(items: DataFrame, size: int, partition_items: int = PARTITION_ITEMS, ro
     for k in range(rounds):
         now = written(_pack_round(left, parts, size, k), "packed")
         per = now.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
-        s = per.agg(F.sum("bins"), F.sum("bound"), F.sum((F.col("bins") > F.col("bound")).cast("int"))).first()
+        s = per.agg(F.sum("bins"), F.sum("bound")).first()
         report.append((s[0] or 0, s[1] or 0))
-        last = not s[2] or parts == 1 or k == rounds - 1
-        final = F.lit(True) if last else (F.col("bins") == F.col("bound")) | (F.col("room") == 0)
+        last = parts == 1 or k == rounds - 1
+        final = F.lit(True) if last else ((F.col("bins") == F.col("bound")) & (F.col("loose") == 0)) | (F.col("room") == 0)
         number = F.lit(k).cast("long") * (1 << 58) + F.col("part").cast("long") * (1 << 32) + F.col("bin")
         done.append(now.where(final).select(*keep, number.alias("sequence_id"), "offset"))
         if last:

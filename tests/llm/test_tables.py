@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from binomia.llm import linededup, mixing, sharding, simhash
 
