@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -79,3 +80,11 @@ def spans(offsets: np.ndarray, at_most: int):
         stop = min(n, max(stop, start + 1))
         yield start, stop
         start = stop
+
+
+def release() -> None:
+    """Gives memory that large arrays have left to the system; a reused Python worker would keep it."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

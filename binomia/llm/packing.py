@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import written
+from binomia.llm.common import release, written
 from binomia.llm.fastbpe import word_table
 
 PARTITION_ITEMS = 100_000
-CHARS = 1 << 20
+CHARS = 1 << 19
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, size: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -64,6 +64,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, size: int
                 stop = min(b.num_rows, max(stop, a + 1))
                 yield some(b.slice(a, stop - a))
                 a = stop
+            release()
 
     out = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return src.mapInArrow(run, out)

@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import spans, utf8, written
+from binomia.llm.common import release, spans, utf8, written
 from binomia.llm.words import _BYTES, _power, mixed, word_spans
 
 TASKS = ("junk", "toxic")
 VOTES = 10
 BITS = 18
-BYTES = 2 << 20
+BYTES = 1 << 19
 LABELLED_ROWS = 20_000
 TRAIN_ROWS = 16_000
 TRAIN_PARTS = 4
@@ -288,6 +288,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
             for i, j in spans(at, BYTES):
                 v = votes(Words(body[at[i] : at[j]], at[i : j + 1] - at[i]), stems)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array((v * 3 ** np.arange(v.shape[1])).sum(1).astype(np.int32))], names=["id", "pattern"])
+            release()
 
     kind = docs.schema["id"].dataType.simpleString()
     said = docs.mapInArrow(vote, f"id {kind}, pattern int").join(known, "id", "left")
@@ -314,6 +315,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
             target["junk"] += (1 - (1 - p["noise"]) * (1 - p["repetition"])).tolist()
             target["toxic"] += (1 - (1 - p["insult"]) * (1 - p["slur"])).tolist()
         got = [train(features, np.array(target[t])).astype(np.float32).tobytes() for t in TASKS]
+        del features, target
+        release()
         return pa.table({"part": table.column("part").slice(0, 1), "junk": pa.array([got[0]], pa.binary()), "toxic": pa.array([got[1]], pa.binary())})
 
     some = _sampled(docs, train_rows).join(known, "id", "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(TRAIN_PARTS)).cast("int"))
@@ -342,6 +345,7 @@ def classify(df: DataFrame, text_col: str, model: Model, junk_at: float = 0.5, t
                 empty = np.diff(w.before) == 0
                 keep = empty | ((p[0] < junk_at) & (p[1] < toxic_at))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(p[0]), pa.array(p[1]), pa.array(keep)], names=columns + extra)
+            release()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
     return src.mapInArrow(run, f"{ddl}, junk_score double, toxic_score double, keep boolean")
