@@ -34,8 +34,8 @@ from binomia.llm.trie import Trie, build
 from binomia.llm.words import mixed, with_ends, word_keys
 
 CHUNK = 2_500_000
-SHARD = 3_000_000
-BYTES = 4 << 20  # of text at a time
+SHARD = 2_000_000
+BYTES = 1 << 20  # of text at a time
 ADD = 0.1
 
 
@@ -170,23 +170,29 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
                 for a in row["answers"]:
                     own = order[cuts[a["part"]] : cuts[a["part"] + 1]]
                     count[own], number[own] = spread(a["counts"], np.uint64), spread(a["numbers"], np.uint64) + np.uint64(1)  # 0 is the begin token
-                token, size, held = spread(row["tokens"], np.uint32).astype(np.int64), spread(row["sizes"], np.uint32).astype(np.int64), spread(row["held"], np.uint8).astype(bool)
+                token, size, held = spread(row["tokens"], np.uint32).astype(np.int32), spread(row["sizes"], np.uint32).astype(np.int64), spread(row["held"], np.uint8).astype(bool)
                 starts = np.cumsum(size) - size
                 base = np.add.reduceat(np.log10((count + ADD) / whole)[token], starts)
                 known = np.add.reduceat((count > 0)[token].astype(np.int64), starts)
                 texts = {"ids": row["ids"], "held": held.tolist(), "n_tokens": size.tolist(), "n_known": known.tolist(), "base": base.tolist()}
                 yield pa.RecordBatch.from_pylist([{"shard": row["chunk"] % shards, "chunk": row["chunk"], "blob": None, "texts": texts}], out_schema)
                 n = len(keys) + 1  # the last one is the begin token
-                doc = np.repeat(np.arange(len(size)), size)
-                near = np.empty(len(token), np.int64)
+                doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                near = np.empty(len(token), np.int32)
                 near[1:], near[starts] = token[:-1], n - 1
-                far = np.empty(len(token), np.int64)
+                far = np.empty(len(token), np.int32)
                 far[1:], far[starts] = near[:-1], n - 1
-                pair, pairs = near * n + far, None
+                pair, pairs = near.astype(np.int64), None
+                pair *= n
+                pair += far
+                del near, far
                 if n >= 1 << 21:  # three numbers don't fit into 63 bits
                     pair, pairs = pd.factorize(pair)
-                which, triple = pd.factorize(pair * n + token)  # by first place, which compresses best
-                del pair, near, far
+                pair *= n
+                pair += token
+                which, triple = pd.factorize(pair)  # by first place, which compresses best
+                del pair, token
+                which = which.astype(np.int32)
                 train = np.bincount(which[~held[doc]], minlength=len(triple))
                 both, w = triple // n, triple % n
                 both = both if pairs is None else pairs[both]
@@ -199,8 +205,8 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
                 token_place = place[which]
                 tokens_of = np.argsort(token_place, kind="stable")
                 token_edge = np.searchsorted(token_place[tokens_of], np.arange(shards + 1))
-                inner = np.empty(len(place), np.int64)
-                inner[by_shard] = np.arange(len(place))
+                inner = np.empty(len(place), np.int32)
+                inner[by_shard] = np.arange(len(place), dtype=np.int32)
                 for s in range(shards):
                     own = by_shard[edge[s] : edge[s + 1]]
                     if not len(own):
