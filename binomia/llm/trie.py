@@ -1,6 +1,6 @@
 """An n-gram trie of order 3 in Elias-Fano levels, for contexts read nearest word first.
 
-A root is a context word (split into classes where it is very frequent). Below it stand its following words
+A root is a context word. Below it stand its following words
 with quantised smoothed probabilities, and its preceding words, each with a quantised back-off weight and the
 words that follow that longer context. Those are not stored as word numbers but relative to the root: as
 positions among the root's following words, so that their numbers are small. All sequences are
@@ -163,20 +163,32 @@ def quantise(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return code_of[grid].astype(np.uint16), book
 
 
-def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray) -> bytes:
-    """The trie of counted (root, preceding word, word) triples, each given once, in order; p1: the probability of each word by number."""
+def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> bytes:
+    """The trie of counted (root, preceding word, word) triples, each given once, in order; p1: the probability of each word by number.
+
+    whole: where a root's triples are in several tries, the count of each triple's (root, word) over all of them, above 0, and
+    by root number the count and the number of distinct followers, 0 for no root; a triple without a count then stands for its pair."""
     words = len(p1)
-    change = np.append(True, root[1:] != root[:-1])[: len(root)]
-    roots, r = root[change], np.cumsum(change) - 1
-    pairs, pair = np.unique(r * words + word, return_inverse=True)
-    pair_root, pair_word = pairs // words, pairs % words
-    pair_count = np.bincount(pair, weights=count, minlength=len(pairs))
-    root_count = np.bincount(pair_root, weights=pair_count, minlength=len(roots))
-    followers = np.bincount(pair_root, minlength=len(roots))
+    pairs, first, pair = np.unique(root.astype(np.int64) * words + word, return_index=True, return_inverse=True)
+    if whole is None:
+        roots = root[np.append(True, root[1:] != root[:-1])[: len(root)]]
+        pair_root, pair_word = np.searchsorted(roots, pairs // words), pairs % words
+        pair_count = np.bincount(pair, weights=count, minlength=len(pairs))
+        root_count = np.bincount(pair_root, weights=pair_count, minlength=len(roots))
+        followers = np.bincount(pair_root, minlength=len(roots))
+    else:
+        roots = np.flatnonzero(whole[1])
+        pair_root, pair_word = np.searchsorted(roots, pairs // words), pairs % words
+        pair_count, root_count, followers = whole[0][first], whole[1][roots], whole[2][roots]
+        counted = count > 0
+        root, before, count, pair = root[counted], before[counted], count[counted], pair[counted]
+    pair = pair.astype(np.int32)
+    del first, pairs
+    r = np.searchsorted(roots, root)
     root_weight = followers / (root_count + followers)
     p2 = (pair_count + followers[pair_root] * p1[pair_word]) / (root_count + followers)[pair_root]
     pair_at, pair_values = Level.shifted(pair_root, pair_word, len(roots))
-    change[1:] |= before[1:] != before[:-1]
+    change = np.append(True, (root[1:] != root[:-1]) | (before[1:] != before[:-1]))[: len(root)]
     c = np.cumsum(change) - 1
     context_root = r[change]
     context_count = np.bincount(c, weights=count, minlength=len(context_root))

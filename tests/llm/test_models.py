@@ -226,3 +226,22 @@ def test_neighbours(spark):
     few = ann.nearest_neighbours(df.where("vec_id < 4"), "vec_id", "embedding", lambda i: i % 100 == 0).collect()
     assert len(few) == 3
     assert ann.nearest_neighbours(df.limit(0), "vec_id", "embedding", lambda i: i % 100 == 0).count() == 0
+
+
+def test_lm_over_shards(spark):
+    rng = random.Random(8)
+    words = ["the", "of", "a", *(f"w{i}" for i in range(60))]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 60), weights=[30, 20, 10, *[1] * 60])) for i in range(150)}
+    texts[200] = "only here unseen the unseen of w1"
+    held = {i for i in texts if i % 10 == 0}
+    tokens = {i: [*t.encode().split(), 1] for i, t in texts.items()}
+    one, n, base, score = _brute_lm(tokens, held)
+    df = spark.createDataFrame([(i, t, i in held) for i, t in texts.items()], "doc_id long, text string, h boolean").repartition(3)
+    for shard in (300, 40):
+        rows = lm.score(df, "doc_id", "text", "h", chunk=500, shard=shard).collect()
+        assert {r.doc_id for r in rows} == set(texts)
+        for r in rows:
+            t = tokens[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in one for w in t), n)
+            assert math.isclose(r.base_score, base(t), rel_tol=1e-9)
+            assert abs(r.score - score(t)) < 0.002 * len(t)  # a frequent word's back-off knows all its followers
