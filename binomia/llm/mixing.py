@@ -96,7 +96,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = written(
-        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(WORD_RX)).cast("long").alias("size")),
+        df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(WORD_RX)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")),
         "mix-rows",
     )
     by_source = rows.groupBy("source").agg(F.sum("size"), F.count("*")).orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()
@@ -136,19 +136,19 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     known = info.withColumnRenamed("source", "name")
     n_rows = sum(r[2] for r in by_source)
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    placed = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["name"])).drop("source", "name", "one").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "id", "th"), F.lit(buckets)))
+    placed = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["name"])).drop("source", "name", "one").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "id", "th", F.when(F.col("size") == 0, F.col("row"))), F.lit(buckets)))
     placed = written(placed, "mix-placed")
     per = placed.groupBy("s", "bucket").agg(F.sum("size").alias("held"))
     base = per.select("s", "bucket", (F.sum("held").over(Window.partitionBy("s").orderBy("bucket")) - F.col("held")).alias("base"))
-    own = Window.partitionBy("s", "bucket").orderBy(F.xxhash64("id", "th"), "id", "th", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("s", "bucket").orderBy(F.xxhash64("id", "th"), "id", "th", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("start", F.sum("size").over(own) - F.col("size")).join(base, ["s", "bucket"]).withColumn("start", F.col("start") + F.col("base"))
     first, last = F.floor(F.col("start") / F.col("length")).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")).cast("long")
-    spread = laid.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
+    spread = laid.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(-1 - F.col("row")))))  # no block, and no common key
     low = F.greatest(F.col("block") * F.col("length") - F.col("start"), F.lit(0))
     high = F.least((F.col("block") + 1) * F.col("length") - F.col("start"), F.col("size"))
     drawn = spread.join(taken.hint("merge"), ["s", "block"], "left").withColumns({"low": low, "high": high, "words": F.when(F.col("copies").isNull(), 0).otherwise((high - low) * F.col("copies"))})
     piece_of = F.when(F.col("copies").isNotNull(), F.struct(F.col("low").alias("start"), F.col("high").alias("stop"), F.col("copies").cast("long").alias("copies")))
-    out = drawn.groupBy("s", "start", "id", "th", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.array_sort(F.collect_list(piece_of)).alias("drawn"))
+    out = drawn.groupBy("s", "start", "row", "id", "th", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"), F.array_sort(F.collect_list(piece_of)).alias("drawn"))
     whole = (F.col("taken") == repeats * F.col("size")) | (F.col("taken") == 0)
     return out.select(F.col("id").alias(id_col), "th", "size", "source_size", "target", "taken", F.when(~whole, F.col("drawn")).alias("drawn"))
 

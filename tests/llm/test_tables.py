@@ -177,3 +177,12 @@ def test_mix(spark):
     assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in out)
     assert mixing.mix(df.limit(0), "doc_id", "text", "source").count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string"), "doc_id", "text", "source").collect()[0].taken == 0
+
+
+def test_mix_keeps_repeated_empty_rows(spark):
+    rows = [(i, "a b c " * 5, "s0") for i in range(20)] + [(7, "", "s0")] * 3 + [(8, None, "s0")] * 2 + [(None, " ", "s0")] * 4 + [(None, "x y", "s0")] * 2
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
+    count = Counter((r.doc_id, r["size"]) for r in out)
+    assert len(out) == len(rows)
+    assert (count[7, 0], count[8, 0], count[None, 0], count[None, 2]) == (3, 2, 4, 2)
+    assert all(r.taken == 0 for r in out if r["size"] == 0)
