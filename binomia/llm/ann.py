@@ -3,8 +3,9 @@
 Equal vectors are one node, under their smallest id, so that a common vector neither floods its own neighbourhood nor
 a task. The graph starts from random hyperplane leaves (large ones are cut by hash) and improves by NN-descent: each
 round, nodes meet the neighbours of their neighbours, forwards and backwards, at the node between them, where at least
-one of a pair must be new; a pair nearer than either's worst neighbour goes on. Vectors travel as 8-bit numbers there,
-and exact distances decide in the search. A search keeps a beam of the nearest nodes seen; each step joins the beam's
+one of a pair must be new; a pair nearer than either's worst neighbour goes on. Vectors travel there in the type they are
+given in, so that norms of any size keep their distances; hyperplanes pass through the median of each component, which
+a few outliers don't move. A search keeps a beam of the nearest nodes seen; each step joins the beam's
 unexpanded nodes with the graph and the vectors, and it ends when none is left. A query that is a row starts at its
 node, another at a bounded sample of nodes.
 
@@ -49,17 +50,19 @@ def _matrix(column: pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(a), -1)
 
 
-def _bytes(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+def _bytes(column: pa.ChunkedArray, dim: int, kind) -> np.ndarray:
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(a.to_pylist()), np.int8).reshape(len(a), dim)
+    return np.frombuffer(b"".join(a.to_pylist()), kind).reshape(len(a), dim)
 
 
 def _best(a: np.ndarray, b: np.ndarray, d: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Of edges a to b, the k nearest of each a, once each; an edge that is there already isn't new."""
-    order = np.lexsort((new, b, d, a))
+    order = np.lexsort((d, new, b, a))  # an edge's distance may differ in its last bits
     a, b, d, new = a[order], b[order], d[order], new[order]
-    own = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (d[1:] != d[:-1]))[: len(a)]
+    own = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
     a, b, d, new = a[own], b[own], d[own], new[own]
+    order = np.lexsort((b, d, a))
+    a, b, d, new = a[order], b[order], d[order], new[order]
     first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))[: len(a)]
     rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
     own = rank < k
@@ -75,27 +78,27 @@ def _edges(parts: tuple[np.ndarray, ...]) -> pa.Table:
 
 
 def _distances(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
+    x = x.astype(np.float64)
     n = (x * x).sum(1)
     return np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
 
 
-def build_graph(nodes: DataFrame, k: int = K, trees: int = TREES, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """Edges (a, b, d): about the k nearest nodes b of each node a. nodes: (id, vec) of distinct vectors, written."""
-    stats = nodes.agg(F.count("*"), F.max(F.size("vec")), F.max(F.array_max(F.transform("vec", F.abs)))).first()
-    n, dim, top = stats[0], stats[1] or 1, stats[2] or 1.0
+def build_graph(nodes: DataFrame, k: int = K, trees: int = TREES, rounds: int = ROUNDS, seed: int = 11, kind=np.float64) -> DataFrame:
+    """Edges (a, b, d): about the k nearest nodes b of each node a. nodes: (id, vec) of distinct vectors, written; kind: a type that holds their components."""
+    stats = nodes.agg(F.count("*"), F.max(F.size("vec"))).first()
+    n, dim = stats[0], stats[1] or 1
     parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-n // PART_NODES))
     bits = max(0, (max(1, n // LEAF)).bit_length() - 1)
     rng = np.random.Generator(np.random.PCG64(seed))
     planes = rng.standard_normal((trees * bits, dim)) if bits else np.zeros((0, dim))
-    centre = nodes.select(F.posexplode("vec")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()  # dim rows
-    mean = np.array([r[1] for r in centre]) if centre else np.zeros(dim)
+    centre = nodes.select(F.posexplode("vec")).groupBy("pos").agg(F.percentile_approx("col", 0.5, 1000).alias("m")).orderBy("pos").collect()  # dim rows
+    middle = np.array([r[1] for r in centre]) if centre else np.zeros(dim)
 
     def code(batches):
         for b in batches:
             x = _matrix(b.column(1))
-            q = np.clip(np.rint(x * (127 / top)), -127, 127).astype(np.int8)
-            side = ((x - mean) @ planes.T > 0) if bits else np.zeros((len(x), 0), bool)
+            q = x.astype(kind)
+            side = ((x - middle) @ planes.T > 0) if bits else np.zeros((len(x), 0), bool)
             for t in range(trees):
                 c = (side[:, t * bits : (t + 1) * bits] * (1 << np.arange(bits, dtype=np.int64))).sum(1) if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), t), pa.int32()), pa.array(c.astype(np.int64)), pa.array([r.tobytes() for r in q], pa.binary())], names=["id", "tree", "leaf", "q"])
@@ -107,7 +110,7 @@ def build_graph(nodes: DataFrame, k: int = K, trees: int = TREES, rounds: int =
 
     def begin(table: pa.Table) -> pa.Table:
         group = np.unique(np.stack([table.column(c).to_numpy() for c in ("tree", "leaf", "cut")], 1), axis=0, return_inverse=True)[1].ravel()
-        ids, q = table.column("id").to_numpy(), _bytes(table.column("q"), dim)
+        ids, q = table.column("id").to_numpy(), _bytes(table.column("q"), dim, kind)
         order = np.argsort(group, kind="stable")
         out = []
         for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
@@ -131,7 +134,7 @@ def build_graph(nodes: DataFrame, k: int = K, trees: int = TREES, rounds: int =
     def meet(table: pa.Table) -> pa.Table:
         """Pairs of a centre's list, one of them new, nearer than the worst neighbour of either."""
         c, m, new, worst = (table.column(x).to_numpy(zero_copy_only=False) for x in ("c", "m", "new", "worst"))
-        q = _bytes(table.column("q"), dim)
+        q = _bytes(table.column("q"), dim, kind)
         order = np.argsort(c, kind="stable")
         out = []
         for own in np.split(order, np.flatnonzero(np.diff(c[order])) + 1):
@@ -207,7 +210,8 @@ def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, is_query, k: in
     rows = written(valid_vectors(df, id_col, vec_col), "ann-rows")
     group = rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("n"))
     nodes = written(group.select(F.col("node").alias("id"), "vec"), "ann-nodes")
-    edges = build_graph(nodes)
+    kind = np.float32 if df.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
+    edges = build_graph(nodes, kind=kind)
     members = rows.join(group.where("n > 1").select("vec", "node"), "vec").select("node", "id")
     few = Window.partitionBy("node").orderBy("id")
     members = written(members.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-members")

@@ -245,3 +245,25 @@ def test_lm_over_shards(spark):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in one for w in t), n)
             assert math.isclose(r.base_score, base(t), rel_tol=1e-9)
             assert abs(r.score - score(t)) < 0.002 * len(t)  # a frequent word's back-off knows all its followers
+
+
+def _recall(spark, x: np.ndarray, queries: range) -> float:
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(df, "vec_id", "embedding", lambda i: i.isin(list(queries))).collect():
+        got[r.query_id].add(r.vec_id)
+    hits, x = 0, x.astype(float)
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    return hits / (10 * len(queries))
+
+
+def test_neighbours_of_any_norm(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2500, 12)).astype(np.float32)
+    x[7] *= 1e6  # one of far larger norm
+    assert _recall(spark, x, range(0, 2500, 125)) >= 0.95
+    near = rng.standard_normal((50, 12))[np.arange(2500) % 50] + 1e-4 * rng.standard_normal((2500, 12))
+    assert _recall(spark, near.astype(np.float32), range(0, 2500, 125)) >= 0.95  # tight clusters
