@@ -193,12 +193,12 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
 def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, rate: float = 0.5, l1: float = 1e-3, seed: int = 1) -> np.ndarray:
     """Weights and, last, the bias of a logistic scorer by AdaGrad with an L1 penalty, the mean of the later epochs.
 
-    target: probability of bad; a text counts as much as its label is sure. Features of fewer than a 250th of the texts stay out.
+    target: probability of bad; a text counts as much as its label is sure. Features of a single text stay out.
     """
     found = np.zeros(2**BITS, np.int64)
     for idx, _ in features:
         found[idx] += 1
-    live = found >= max(2, len(features) // 250)
+    live = found >= 2
     rows = [(idx[live[idx]], held[live[idx]]) for idx, held in features]
     w, g, mean = np.zeros(2**BITS + 1), np.full(2**BITS + 1, 1e-2), np.zeros(2**BITS + 1)
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -267,7 +267,7 @@ def toxic_stems(labelled: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sums = labelled.select("t", "toxic").mapInArrow(run, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = (F.col("bad") / n_bad) / ((F.col("good") + 0.5) / n_good)
-    rows = sums.where((F.col("bad") >= max(5, n_bad // 500)) & (ratio > 12)).orderBy(F.desc("bad"), "stem").limit(512).collect()  # a report's top rows
+    rows = sums.where((F.col("bad") >= 5) & (ratio > 12)).select("stem").collect()  # of a bounded sample
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 

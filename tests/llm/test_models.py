@@ -267,3 +267,17 @@ def test_neighbours_of_any_norm(spark):
     assert _recall(spark, x, range(0, 2500, 125)) >= 0.95
     near = rng.standard_normal((50, 12))[np.arange(2500) % 50] + 1e-4 * rng.standard_normal((2500, 12))
     assert _recall(spark, near.astype(np.float32), range(0, 2500, 125)) >= 0.95  # tight clusters
+
+
+def test_quality_learns_rare_words(spark):
+    rng = np.random.default_rng(10)
+    target = np.zeros(4000)
+    target[:12] = 1
+    features = [(np.append(np.unique(rng.integers(100, 200, 5)), [7] if t else []).astype(np.int64), np.ones(5 + int(t))) for t in target]
+    features = [(i, h[: len(i)]) for i, h in features]
+    weights = quality.train(features, target)
+    assert weights[7] > 1 and weights[7] + weights[-1] > 0  # in 0.3 % of the texts, all of them bad
+    rng = random.Random(10)
+    slurs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(700)]
+    labelled = spark.createDataFrame([(f"so {w} there", 1) for w in slurs for _ in range(5)] + [("so good there", 0)] * 8000, "t string, toxic int")
+    assert len(quality.toxic_stems(labelled)) >= 1300  # two beginnings a word
