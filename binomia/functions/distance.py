@@ -27,9 +27,19 @@ def osa(a: Column, b: Column) -> Column:
     return F.when(n == 0, m).when(m == 0, n).otherwise(table)
 
 
+def letters(a: Column) -> Column:
+    """The letters of a word in order of the alphabet."""
+    return F.array_join(F.array_sort(F.split(a, "")), "")
+
+
 def osa_within(a: Column, b: Column, k: int | Column) -> Column:
-    """osa, or k + 1 where it is more; what is certainly too far isn't computed. k: 2 at most by Levenshtein's bound of twice the distance."""
+    """osa, or k + 1 where it is more; k: 2 at most.
+
+    Without a swap it is Levenshtein's distance, which is built in; a swap counts as two there. So up to 1 they agree, at 2 and 4 only words
+    of the same letters differ by swaps alone, and at 3 only words whose letters differ by one edit. The table is computed for these few.
+    """
     k = k if isinstance(k, Column) else F.lit(k)
-    far = F.abs(F.length(a) - F.length(b)) > k
-    near = F.levenshtein(a, b) <= 2 * k
-    return F.when(a == b, F.lit(0)).when(far | ~near, k + 1).otherwise(F.least(osa(a, b), k + 1))
+    plain = F.levenshtein(a, b, 4)
+    swapped = F.when(plain == 3, F.levenshtein(letters(a), letters(b), 2) >= 0).otherwise(letters(a) == letters(b))
+    near = F.when(plain <= 1, plain).when(swapped, osa(a, b)).otherwise(plain)
+    return F.when(a == b, F.lit(0)).when(F.abs(F.length(a) - F.length(b)) > k, k + 1).when(plain < 0, k + 1).otherwise(F.least(near, k + 1))

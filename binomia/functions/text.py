@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from functools import cache
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,35 +18,82 @@ SHORT_GENUS = f"{EDGE_L}([A-Z][a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
 WORD = "[a-zA-Z][-a-zA-Z]*"
 
 
+def starts(lengths: Column) -> Column:
+    """The sum of the lengths before each; by blocks of a square root's size, as a running sum over one array copies it for each element."""
+    n = F.size(lengths)
+    block = F.ceil(F.sqrt(n)).cast("int")
+    none = F.array().cast("array<int>")
+    run = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), none.alias("seen")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["seen"], s["at"]).alias("seen")))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda k: run(F.slice(lengths, k * block + 1, block)))
+
+    def shifted(b: Column) -> Column:
+        before = run(F.transform(b["blocks"], lambda x: x["at"]))["seen"]
+        return F.flatten(F.zip_with(b["blocks"], before, lambda x, at: F.transform(x["seen"], lambda y: y + at)))
+
+    return F.when(n == 0, none).otherwise(bound(F.struct(blocks.alias("blocks")), shifted))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str, alone: bool = False) -> Column:
     """Array of (idx, text, g1, g2): each match of a pattern with two groups, its offset in code points.
 
     The text between matches comes from a split by the same pattern, so that offsets are running sums of lengths.
     alone: the pattern also matches each match by itself, so that its groups need no more passes over the text.
     """
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def group(i: int) -> Column:
-        return F.transform(found, lambda m: F.regexp_extract(m, pattern, i)) if alone else F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    def placed(b: Column) -> Column:
+        found = b["found"]
+        group = lambda i: F.transform(found, lambda m: F.regexp_extract(m, pattern, i)) if alone else F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+        gaps = F.transform(F.slice(b["between"], F.lit(1), F.size(found)), lambda g: F.length(g))
+        at = bound(F.zip_with(gaps, found, lambda g, m: g + F.length(m)), starts)
+        return F.arrays_zip(F.zip_with(at, gaps, lambda a, g: a + g).alias("idx"), found.alias("text"), group(1).alias("g1"), group(2).alias("g2"))
+
+    return bound(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
+
+
+# Fixed values. White space as Unicode has it, which a class of HTML text may hold after its entities are decoded.
+BLANK = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+HIDDEN = "(?is)<!--.*?-->|<(script|style|template)\\b.*?</\\1\\s*>"
+ENTITY = "&(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
+
+
+@cache
+def named_entities() -> str:
+    """HTML's named characters as JSON, as the standard library has them, with the semicolon or without; and those of Windows for the numbers that stand for no character."""
+    numbers = {f"#{i}": bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+    return json.dumps(dict(sorted(html5.items())) | {k: v for k, v in numbers.items() if v})
+
+
+def unescape(text: Column) -> Column:
+    """Entities as characters, by number or name; an unknown name, or a number that is no character, stays."""
+    # the map has a fixed number of entries
+    table = F.from_json(F.lit(named_entities()), "map<string,string>")
 
-    g1, g2 = group(1), group(2)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("idx"))
+    def char(e: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
+        number = F.when(F.startswith(F.lower(e), F.lit("&#x")), hexed).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1).cast("int"))
+        fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        wide = F.when(number.between(128, 159), F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number)), e)).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        name = F.substring(e, F.lit(2), F.length(e))
+        by_name = F.coalesce(F.try_element_at(table, name), F.try_element_at(table, F.concat(name, F.lit(";"))))
+        return F.coalesce(F.when(F.startswith(e, F.lit("&#")), F.when(fits, wide)).otherwise(by_name), e)
 
-    def step(s: Column, m: Column) -> Column:
-        idx = s["at"] + F.length(m["gap"])
-        return F.struct((idx + F.length(m["text"])).alias("at"), F.array_append(s["idx"], idx).alias("idx"))
+    def decoded(b: Column) -> Column:
+        each = F.zip_with(b["between"], b["found"], lambda g, e: F.concat(g, F.when(e.isNull(), "").otherwise(char(e))))
+        return F.array_join(each, "")
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("text"))
-    offsets = F.aggregate(pairs, start, step, lambda s: s["idx"])
-    return F.arrays_zip(offsets.alias("idx"), found.alias("text"), g1.alias("g1"), g2.alias("g2"))
+    parts = F.struct(F.split(text, ENTITY, -1).alias("between"), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"))
+    return F.when(F.contains(text, F.lit("&")), bound(parts, decoded)).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
-    """Tags to spaces, basic entities, runs of white space to one, no space before a comma."""
-    out = F.regexp_replace(html, "<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(out, "[ \\t\\n\\r\\f]+", " "), " +,", ",")
+    """What a page shows: scripts, styles and comments left out, tags to spaces, entities decoded, runs of white space to one space, none before a comma."""
+    out = unescape(F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), "<[^>]*>", " "))
+    return F.regexp_replace(F.regexp_replace(out, BLANK + "+", " "), " +,", ",")
 
 
 def escape_html(text: Column) -> Column:
@@ -53,10 +104,11 @@ def escape_html(text: Column) -> Column:
 
 def splice(text: Column, spans: Column) -> Column:
     """text with each span (idx, end, new) of an ordered array replaced; spans don't overlap."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(text, s["at"] + 1, x["idx"] - s["at"])
-        return F.struct(x["end"].alias("at"), F.concat(s["out"], gap, x["new"]).alias("out"))
+    def pieces(b: Column) -> Column:
+        end_of = lambda i: F.when(i == 0, 0).otherwise(F.get(b["spans"], i - 1)["end"])
+        each = F.transform(b["spans"], lambda x, i: F.concat(F.substring(text, end_of(i) + 1, x["idx"] - end_of(i)), x["new"]))
+        last = end_of(F.size(b["spans"]))
+        return F.array_join(F.array_append(each, F.substring(text, last + 1, F.length(text))), "")
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return bound(F.struct(spans.alias("spans")), pieces)

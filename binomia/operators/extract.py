@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binomia.functions.distance import osa
-from binomia.functions.text import CANDIDATE, HYPHENATED, SHORT_GENUS, WORD, matches
+from binomia.functions.distance import osa_within
+from binomia.functions.text import CANDIDATE, HYPHENATED, SHORT_GENUS, WORD, bound, matches, starts
 
 ASIS, HYPHEN, SHORT = 1, 2, 3
+PREFIX = 3
 
 
 def _pass(df: DataFrame, id_col: str, text_col: str, pattern: str, rule: int) -> DataFrame:
@@ -42,38 +43,63 @@ def candidates(df: DataFrame, id_col: str, text_col: str, genera: DataFrame | No
     return out.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+def first_letters(names: DataFrame) -> list[str]:
+    """The first three letters of names of two words or more: an alphabet's, so 20,000 at most whatever the number of names."""
+    return sorted(r[0] for r in names.where("n_words >= 2").select(F.substring("first_word", 1, PREFIX)).distinct().collect())
+
+
 def common_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
     """(doc_id, idx, end, text, suggestion, common_name, exact): names of two words or more, as they are or one edit off.
 
-    Words meet names by the first word; only texts with such a word are looked at again, to place it.
+    A text is split into words once. Of each word that begins like a name, its place and as much text as the longest name needs are
+    kept, so that texts aren't moved; these rows meet names by the first word.
     """
-    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     long = names.where("n_words >= 2").select("first_word", "l_name", "name", "binomial")
-    words = F.regexp_extract_all("t", F.lit(f"({WORD})"), F.lit(1))
-    met = docs.select("doc_id", F.posexplode(words).alias("k", "w")).withColumn("first_word", F.lower("w")).drop("w").join(long, "first_word")
-    per_doc = met.groupBy("doc_id").agg(F.collect_list(F.struct("k", "l_name", "name", "binomial")).alias("met"))
-    placed = docs.join(per_doc, "doc_id").withColumn("gaps", F.split("t", WORD, -1)).withColumn("words", words)
-    length_of = lambda name, n: F.aggregate(F.slice(F.col(name), F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    found = F.transform("met", lambda m: F.struct((length_of("gaps", m["k"] + 1) + length_of("words", m["k"])).alias("idx"), m["l_name"].alias("l_name"), m["name"].alias("name"), m["binomial"].alias("binomial")))
-    each = placed.select("doc_id", "t", F.explode(found).alias("m")).select("doc_id", "t", "m.*").withColumn("size", F.length("l_name")).withColumn("n", F.length("t"))
+    prefixes, longest = first_letters(names), long.agg(F.max(F.length("l_name"))).first()[0] or 0
+    if not prefixes:
+        prefixes = [""]
+    near = longest + 2  # an inserted letter, and the one after the name
+    pieces = near // 2 + 1  # a word and what is before the next one are two letters at least
+
+    def hits(b: Column) -> Column:
+        words, between = b["words"], b["between"]
+        gaps = F.transform(F.slice(between, F.lit(1), F.size(words)), lambda g: F.length(g))
+        at = bound(F.zip_with(gaps, words, lambda g, w: g + F.length(w)), starts)
+        place = F.zip_with(at, gaps, lambda a, g: a + g)
+        own = F.filter(F.arrays_zip(words.alias("w"), place.alias("idx"), F.sequence(F.lit(1), F.size(words)).alias("k")), lambda x: F.lower(F.substring(x["w"], 1, PREFIX)).isin(prefixes))
+        rest = lambda k: F.array_join(F.zip_with(F.slice(words, k, pieces), F.slice(between, k + 1, pieces), lambda w, g: F.concat(F.coalesce(w, F.lit("")), F.substring(g, 1, near))), "")
+        return F.transform(own, lambda x: F.struct(x["idx"].alias("idx"), F.lower(x["w"]).alias("first_word"), F.substring(rest(x["k"]), 1, near).alias("t")))
+
+    text = F.col(text_col)
+    parts = F.struct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"), F.split(text, WORD, -1).alias("between"))
+    docs = df.where(text.isNotNull() & text.rlike(WORD))
+    met = docs.select(F.col(id_col).alias("doc_id"), F.explode(bound(parts, hits)).alias("m")).select("doc_id", "m.*").join(long, "first_word")
+    each = met.withColumn("size", F.length("l_name")).withColumn("n", F.length("t"))
 
     def slice_of(delta: int):
-        return F.lower(F.substring("t", F.col("idx") + 1, F.col("size") + delta))
+        return F.lower(F.substring("t", F.lit(1), F.col("size") + delta))
 
     def edge(delta: int):
-        end = F.col("idx") + F.col("size") + delta
-        return (end > F.col("idx")) & (end <= F.col("n")) & ((end == F.col("n")) | ~F.substring("t", end + 1, F.lit(1)).rlike("[a-zA-Z-]"))
+        end = F.col("size") + delta
+        return (end > 0) & (end <= F.col("n")) & ((end == F.col("n")) | ~F.substring("t", end + 1, F.lit(1)).rlike("[a-zA-Z-]"))
 
     exact = edge(0) & (slice_of(0) == F.col("l_name"))
-    # an OSA distance of 1 is a Levenshtein distance of 2 at most
-    near = lambda d: edge(d) & (F.levenshtein(slice_of(d), F.col("l_name"), 2) >= 0) & (osa(slice_of(d), F.col("l_name")) <= 1)
+    one_off = lambda d: edge(d) & (osa_within(slice_of(d), F.col("l_name"), 1) <= 1)
     long_enough = F.col("size") >= 6
-    delta = F.when(exact, 0).when(long_enough & near(-1), -1).when(long_enough & near(0), 0).when(long_enough & near(1), 1)
-    out = each.withColumn("exact", exact).withColumn("end", F.col("idx") + F.col("size") + delta).where("end is not null")
-    return out.select("doc_id", "idx", "end", F.substring("t", F.col("idx") + 1, F.col("end") - F.col("idx")).alias("text"), F.col("binomial").alias("suggestion"), F.col("name").alias("common_name"), "exact")
+    delta = F.when(exact, 0).when(long_enough & one_off(-1), -1).when(long_enough & one_off(0), 0).when(long_enough & one_off(1), 1)
+    out = each.withColumn("exact", exact).withColumn("length", F.col("size") + delta).where("length is not null")
+    return out.select("doc_id", "idx", (F.col("idx") + F.col("length")).alias("end"), F.substring("t", F.lit(1), F.col("length")).alias("text"), F.col("binomial").alias("suggestion"), F.col("name").alias("common_name"), "exact")
 
 
 def outside(hits: DataFrame, spans: DataFrame) -> DataFrame:
     """hits (doc_id, idx, end, ...) that overlap no span (doc_id, idx, end)."""
     s = spans.select(F.col("doc_id").alias("_doc"), F.col("idx").alias("_idx"), F.col("end").alias("_end"))
     return hits.join(s, (hits["doc_id"] == s["_doc"]) & (hits["idx"] < s["_end"]) & (hits["end"] > s["_idx"]), "left_anti")
+
+
+def without_overlaps(found: DataFrame, first: Column) -> DataFrame:
+    """found (doc_id, idx, end, ...) without rows that overlap one that is first, and aren't: each row sees the farthest end before it and the next beginning after it."""
+    up, down = (Window.partitionBy("doc_id").orderBy(o("idx")).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc, F.desc))
+    marked = found.withColumns({"_before": F.max(F.when(first, F.col("end"))).over(up), "_after": F.min(F.when(first, F.col("idx"))).over(down)})
+    inside = (F.coalesce("_before", F.lit(-1)) > F.col("idx")) | (F.coalesce("_after", F.col("end")) < F.col("end"))
+    return marked.where(first | ~inside).drop("_before", "_after")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binomia.functions.shared import written
 from binomia.functions.text import splice
 from binomia.operators import extract
 from binomia.operators.classify import classify
@@ -17,30 +18,33 @@ LABELS = {"valid": "Valid", "changed": "Name changed", "outdated": "Outdated", "
 
 
 def binomial_findings(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
-    found = classify(extract.candidates(df, id_col, text_col, d.genera), d)
+    found = classify(written(extract.candidates(df, id_col, text_col, d.genera), "candidates"), d)
     return found.withColumns({"end": F.col("idx") + F.length("text"), "source": F.lit("binomial")}).select(*COLUMNS)
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
     """Every classified candidate, and the common names outside their spans."""
     found = binomial_findings(df, id_col, text_col, d)
-    common = extract.outside(extract.common_names(df, id_col, text_col, d.common), found)
+    common = extract.common_names(df, id_col, text_col, d.common)
     common = common.withColumns({"binomial": F.col("text"), "type": F.lit("common"), "confidence": F.lit(None).cast("double"), "edit_distance": F.lit(None).cast("int"), "source": F.lit("common_name")})
-    return found.unionByName(common.select(*COLUMNS))
+    return extract.without_overlaps(found.unionByName(common.select(*COLUMNS)), F.col("source") == "binomial")
 
 
 def batch_candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Candidates without the pass for short genera."""
-    return extract.candidates(df, id_col, text_col)
+    """Candidates without the pass for short genera, as a table: they are few beside the texts, and read more than once."""
+    return written(extract.candidates(df, id_col, text_col), "candidates")
 
 
-def batch(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
+def batch_of(candidates: DataFrame, d: Dictionary) -> DataFrame:
     """(doc_id, idx, binomial, type, suggestion, common_name): each name once a document, where it comes first, whatever its case."""
-    found = batch_candidates(df, id_col, text_col)
-    first = found.groupBy("doc_id", F.lower("genus").alias("g"), F.lower("species").alias("s")).agg(F.min(F.struct("idx", "genus", "species", "text")).alias("m")).select("doc_id", "m.*")
+    first = candidates.groupBy("doc_id", F.lower("genus").alias("g"), F.lower("species").alias("s")).agg(F.min(F.struct("idx", "genus", "species", "text")).alias("m")).select("doc_id", "m.*")
     return classify(first, d).select("doc_id", "idx", "binomial", "type", "suggestion", F.when(F.col("common_name") != "", F.col("common_name")).alias("common_name"))
 
 
+def batch(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
+    return batch_of(batch_candidates(df, id_col, text_col), d)
+
+
 def distinct_names(found: DataFrame) -> DataFrame:
     """The first finding of each name, as written, in each document; binomials come before common names."""
     order = found.withColumn("rank", (F.col("source") != "binomial").cast("int"))
