@@ -38,5 +38,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df dealt over all cores by key where it is small: such a file may be one row group, which one task reads. A large table has splits enough and stays."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores, key) if size < cores * SMALL else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binomia.functions.text import html_text
+from binomia.functions.text import bound, html_text, matches
 
 # Fixed values. Lines that are no data, headers, and the parts of a species line.
 SKIP = "^(?:[0-9]+$|NAMES OF FISHES$|SCIENTIFIC NAME|\\s*OCCURRENCE|COMMON NAME|TABLE\\s+1\\.|A\\s*=|[*^]\\s+indicates|Common names|the exclusive|added to the|in French|En-,\\s*Sp-)"
@@ -15,8 +15,10 @@ ORDER = "^ORDER\\s+([A-Z]{4,})"
 FAMILY = "^[*^&+]?\\s*([A-Z][a-z]+(?:idae|inae))\\s*[–—-]"
 OCCURRENCE = "^[APFarCMU]"
 GENUS, EPITHET = "^[A-Z][a-z]+$", "^[a-z][a-z-]{2,}$"
-# Fixed values. What stands in a catalogue entry.
+# Fixed values. What stands in a catalogue entry, and a header by its look alone.
 HEADER = "([a-z][a-z-]+),\\s+([A-Z][a-z]+)(?=(?:\\s+\\([A-Z][a-z]+\\))?\\s+[A-Z][a-z]+\\s+\\[)"
+LOOSE = "([a-z][a-z-]+),\\s+([A-Z][a-z]+)"
+STATUS, CURRENT = "(Synonym of|Valid as) ([A-Z][a-z]+ [a-z]+)", "Current status[:\\s]+{}\\s+([A-Z][a-z]+\\s+[a-z]+)"
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -64,15 +66,13 @@ def page_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def _hits(pages: DataFrame, pattern: str, id_cols: list[str]) -> DataFrame:
     """Matches with two groups and their places; a look-ahead isn't part of a match."""
-    from binomia.functions.text import matches
-
     return pages.select(*id_cols, F.explode(matches(F.col("text"), pattern)).alias("m")).select(*id_cols, "m.*")
 
 
 def entries(pages: DataFrame, id_cols: list[str]) -> DataFrame:
     """Every status line with the entry header nearest before it: (ids, idx, status, genus, species, epithet, old_genus)."""
     heads = _hits(pages, HEADER, id_cols).select(*id_cols, "idx", (F.col("idx") + F.length("text")).alias("at"), F.struct(F.col("g1").alias("epithet"), F.col("g2").alias("old_genus"), F.col("idx").alias("from")).alias("head"), F.lit(None).alias("status"))
-    said = _hits(pages, "(Synonym of|Valid as) ([A-Z][a-z]+ [a-z]+)", id_cols).select(*id_cols, "idx", F.col("idx").alias("at"), F.lit(None).cast("struct<epithet:string,old_genus:string,from:int>").alias("head"), F.struct(F.col("g1").alias("kind"), F.col("g2").alias("of")).alias("status"))
+    said = _hits(pages, STATUS, id_cols).select(*id_cols, "idx", F.col("idx").alias("at"), F.lit(None).cast("struct<epithet:string,old_genus:string,from:int>").alias("head"), F.struct(F.col("g1").alias("kind"), F.col("g2").alias("of")).alias("status"))
     order = Window.partitionBy(*id_cols).orderBy("at", F.col("head").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     both = heads.withColumn("status", F.lit(None).cast("struct<kind:string,of:string>")).unionByName(said).withColumn("near", F.last("head", ignorenulls=True).over(order))
     return both.where("status is not null").select(*id_cols, "idx", "status.kind", "status.of", "near.epithet", "near.old_genus", F.col("near.from").alias("head_idx"))
@@ -80,7 +80,7 @@ def entries(pages: DataFrame, id_cols: list[str]) -> DataFrame:
 
 def current_status(pages: DataFrame, id_cols: list[str]) -> DataFrame:
     """(ids, valid, current_name): of a page's first status lines; a synonym's outweighs a valid name's."""
-    first = lambda kind: F.regexp_extract("text", f"Current status[:\\s]+{kind}\\s+([A-Z][a-z]+\\s+[a-z]+)", 1)
+    first = lambda kind: F.regexp_extract("text", CURRENT.format(kind), 1)
     out = pages.select(*id_cols, first("Valid as").alias("v"), first("Synonym of").alias("s"))
     return out.select(*id_cols, ((F.col("v") != "") & (F.col("s") == "")).alias("valid"), F.when(F.col("s") != "", F.col("s")).otherwise(F.col("v")).alias("current_name"))
 
@@ -109,11 +109,18 @@ def synonyms(pages: DataFrame, id_cols: list[str], genus: str = "genus", species
 
 
 def original_genera(pages: DataFrame, id_cols: list[str], genus: str = "genus", species: str = "species") -> DataFrame:
-    """(ids, original_genus): genera, other than the target's, whose entries have the target's epithet; where a page has none, those of headers before "Valid as" the target. The least by name, one a page."""
-    heads = _hits(pages, HEADER, [*id_cols, genus, species]).where((F.col("g1") == F.col(species)) & (F.col("g2") != F.col(genus))).groupBy(*id_cols).agg(F.min("g2").alias("by_header"))
-    said = entries(pages, [*id_cols, genus, species]).where((F.col("kind") == "Valid as") & (F.col("of") == F.concat_ws(" ", genus, species)) & (F.col("old_genus") != F.col(genus))).groupBy(*id_cols).agg(F.min("old_genus").alias("by_status"))
-    out = pages.select(*id_cols).join(heads, id_cols, "left").join(said, id_cols, "left")
-    return out.select(*id_cols, F.coalesce("by_header", "by_status").alias("original_genus")).where("original_genus is not null")
+    """(ids, original_genus): genera, other than the target's, whose entries have the target's epithet, or one that ends so; where a page
+    has none, those nearest before each "Valid as" the target, by a header's look alone. A row a genus, each once a page."""
+    own = F.struct(F.regexp_extract_all("text", F.lit(HEADER), F.lit(1)).alias("epithet"), F.regexp_extract_all("text", F.lit(HEADER), F.lit(2)).alias("genus"))
+    heads = bound(own, lambda h: F.filter(F.arrays_zip(h["epithet"].alias("e"), h["genus"].alias("g")), lambda x: F.endswith(x["e"], F.col(species)) & (x["g"] != F.col(genus))))
+    parts = F.split("text", F.concat(F.lit("Valid as "), F.col(genus), F.lit(" "), F.col(species)), -1)
+    # what stands before each status, from the end of the one before, whose epithet may itself begin a header
+    before = bound(parts, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, k: F.when(k > 0, F.concat(F.col(species), x)).otherwise(x)))
+    nearest = F.transform(before, lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(LOOSE), F.lit(2)), F.lit(-1)))
+    said = F.filter(nearest, lambda g: g.isNotNull() & (g != F.col(genus)))
+    by_header = F.transform(heads, lambda x: x["g"])
+    found = pages.withColumn("_heads", by_header)
+    return found.select(*id_cols, F.explode(F.array_distinct(F.when(F.size("_heads") > 0, F.col("_heads")).otherwise(said))).alias("original_genus"))
 
 
 def is_transfer(author: str = "author") -> F.Column:

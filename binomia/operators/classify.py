@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binomia.functions.shared import written
 from binomia.operators.dictionary import Dictionary, last_wins
 from binomia.operators.fuzzy import nearest
 
@@ -26,7 +27,7 @@ def is_epithet(species) -> F.Column:
 def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     """(l_genus, l_species, type, valid_name, suggestion, common_name, confidence, edit_distance) of distinct lower-case pairs; pairs that look like no name are left out.
 
-    valid_name: the accepted name as written, for valid and changed names.
+    valid_name: the accepted name as written, for valid and changed names. What the exact joins give is a table, as both searches and the result start from it.
     """
     full = F.concat_ws(" ", "l_genus", "l_species")
     p = pairs.select("l_genus", "l_species").distinct().where(is_epithet(F.col("l_species"))).withColumn("l_full", full)
@@ -35,10 +36,11 @@ def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     common = d.common.select(F.col("l_name").alias("l_full"), F.col("binomial").alias("common_of"), F.col("name").alias("common_as"))
     known = d.genera.select("l_genus", F.lit(True).alias("known_genus"))
     p = p.join(valid, "l_full", "left").join(synonyms, "l_full", "left").join(common, "l_full", "left").join(known, "l_genus", "left")
+    p = written(p, "pairs")
     open_ = p.where("valid_name is null and synonym_of is null")
     # a near synonym counts only where the genus is right, so its genus must be one of theirs; what wins is decided over all of them
     near_syn = nearest(open_.join(d.synonyms.select("l_genus").distinct(), "l_genus", "left_semi"), d.synonyms, "new_name").where("genus_dist = 0 and dist > 0")
-    near_syn = near_syn.select("l_genus", "l_species", F.col("new_name").alias("near_new"), F.col("dist").alias("near_dist"))
+    near_syn = written(near_syn.select("l_genus", "l_species", F.col("new_name").alias("near_new"), F.col("dist").alias("near_dist")), "near")
     left = open_.where("common_of is null").select("l_genus", "l_species").join(near_syn.select("l_genus", "l_species"), ["l_genus", "l_species"], "left_anti")
     near = nearest(left, d.valid, "binomial").select("l_genus", "l_species", F.col("binomial").alias("like"), F.col("dist").alias("like_dist"))
     p = p.join(near_syn, ["l_genus", "l_species"], "left").join(near, ["l_genus", "l_species"], "left")

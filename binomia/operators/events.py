@@ -29,6 +29,19 @@ def valid_issue(now: F.Column) -> F.Column:
     return F.coalesce(ok, F.lit(False))
 
 
+VISIT = ("event_id", "user_id", "ts", "lat", "lng", "country", "city", "session")
+ISSUE = ("type", "title", "body", "email", "ua", "ts")
+
+
+def no_others(columns: list[str], known: tuple[str, ...]) -> F.Column:
+    """Whether a row's other columns are all empty: a record may have known fields alone."""
+    other = [F.col(c).isNull() for c in columns if c not in known]
+    out = F.lit(True)
+    for o in other:
+        out &= o
+    return out
+
+
 def consented(visits: DataFrame, consent: str = "consent") -> DataFrame:
     """Visits of users who agreed; no answer is none."""
     return visits.where(F.coalesce(F.col(consent), F.lit(False)))

@@ -14,7 +14,8 @@ from binomia.operators.dictionary import Dictionary
 COLUMNS = ("doc_id", "idx", "end", "text", "binomial", "type", "suggestion", "common_name", "confidence", "edit_distance", "source")
 # Fixed values. Types that count as no issue on screen, and those a correction replaces.
 NO_ISSUE, CORRECTABLE = ("valid", "common"), ("outdated", "misspelled")
-LABELS = {"valid": "Valid", "changed": "Name changed", "outdated": "Outdated", "common": "Common name", "misspelled": "Misspelled", "unknown": "Unknown"}
+LABELS = {"changed": "Changed in 8th edition", "outdated": "Outdated / Synonym", "misspelled": "Misspelled", "unknown": "Unknown fish name"}
+CONFIRM, CONFIRM_SPECIES, NOTHING = " \u2014 confirm intended species", "Confirm this is the intended species", "\u2014"
 
 
 def binomial_findings(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
@@ -59,16 +60,21 @@ def species_list(found: DataFrame, d: Dictionary) -> DataFrame:
 
 
 def label(kind: F.Column) -> F.Column:
-    out = F.initcap(F.replace(kind, F.lit("_"), F.lit(" ")))
+    """What a type is shown as; one without a label by its own name."""
+    out = kind
     for name, shown in LABELS.items():
         out = F.when(kind == name, shown).otherwise(out)
     return out
 
 
 def issue_table(found: DataFrame, d: Dictionary) -> DataFrame:
-    """Distinct names that are neither valid nor common, with a label and what to put in their place."""
-    rows = species_list(found.where(~F.col("type").isin(*NO_ISSUE)), d)
-    instead = F.when(F.col("type") == "changed", F.concat(F.lit("Now: "), F.col("common_name"))).otherwise(F.coalesce("suggestion", F.lit("")))
+    """(doc_id, binomial, label, instead): distinct names that are neither valid nor common, and what to put in their place or look at."""
+    names = d.valid.select(F.col("binomial").alias("suggestion"), F.nullif("common_name", F.lit("")).alias("known_as"))
+    rows = distinct_names(found.where(~F.col("type").isin(*NO_ISSUE))).join(names, "suggestion", "left")
+    own = F.nullif("common_name", F.lit(""))
+    changed = F.when(own.isNotNull(), F.concat(F.lit("Now: "), own, F.lit(CONFIRM))).otherwise(CONFIRM_SPECIES)
+    better = F.concat("suggestion", F.when(F.col("known_as").isNull(), "").otherwise(F.concat(F.lit(" ("), F.col("known_as"), F.lit(")"))))
+    instead = F.when(F.col("type") == "changed", changed).when(F.coalesce("suggestion", F.lit("")) != "", better).otherwise(NOTHING)
     return rows.select("doc_id", "binomial", label(F.col("type")).alias("label"), instead.alias("instead"))
 
 

@@ -27,7 +27,7 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str) -> DataFrame:
     e = e.withColumn("block_letter", F.ascii(F.substring("e_genus", 1, 1))).withColumn("block_length", F.length("e_genus"))
     met = q.join(e, ["block_letter", "block_length"]).where(F.abs(F.ascii("l_species") - F.ascii("e_species")) <= NEAR)
     met = met.where((F.levenshtein("l_genus", "e_genus", 2 * MAX) >= 0) & (F.levenshtein("l_species", "e_species", 2 * MAX) >= 0))
-    met = met.withColumn("genus_dist", osa_within(F.col("l_genus"), F.col("e_genus"), MAX)).where(F.col("genus_dist") <= MAX)
-    met = met.withColumn("dist", F.col("genus_dist") + osa_within(F.col("l_species"), F.col("e_species"), F.lit(MAX) - F.col("genus_dist"))).where(F.col("dist") <= MAX)
-    best = met.groupBy("l_genus", "l_species").agg(F.min(F.struct("dist", "ord", payload, "genus_dist")).alias("b"))
+    both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]
+    met = met.where(both[0] + both[1] <= MAX)
+    best = met.groupBy("l_genus", "l_species").agg(F.min(F.struct((both[0] + both[1]).alias("dist"), "ord", payload, both[0].alias("genus_dist"))).alias("b"))
     return best.select("l_genus", "l_species", F.col(f"b.{payload}").alias(payload), "b.dist", "b.genus_dist")

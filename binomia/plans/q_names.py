@@ -10,19 +10,12 @@ from binomia.operators import dictionary as D
 from binomia.operators import extract, findings
 from binomia.operators.classify import classify, is_epithet
 from binomia.operators.fuzzy import nearest
-from binomia.plans.standin import BATCH_SQL, CLASS_SQL, COMMON_SQL, FOUND_SQL, X4_SQL, dictionary, documents, nearest_sql, osa_sql, read, sql, stop_sql
+from binomia.plans.standin import BATCH_SQL, CLASS_SQL, COMMON_SQL, FOUND_SQL, X4_SQL, dictionary, documents, nearest_sql, osa_sql, read, sql, stop_sql, texts
 
 HITS = ("doc_id", "idx", "genus", "species", "text")
-HYPHEN_TEXTS = ((1, "We saw Erimystax x-punctatus and Genus abc-def."), (2, "Etheostoma y-graecum, Abcde\n f-gh; Ab c-de"), (3, "none here"))
-OSA_PAIRS = (
-    ("abc", "abc", 3), ("abc", "aXc", 3), ("abc", "abXc", 3), ("abcd", "abd", 3), ("kitten", "kotten", 2), ("kitten", "kotXen", 3), ("a", "abcdef", 2), ("abcde", "vwxyz", 2), ("", "", 0), ("abc", "", 5), ("", "abc", 5),
-    ("salmoides", "salmodes", 2), ("micropterus", "micropteris", 2), ("ab", "ba", 2), ("abc", "bac", 2), ("abc", "acb", 2), ("cyrpinus", "cyprinus", 2), ("salmoides", "salmiodes", 2), ("oncorhynchus", "oncorhyncuhs", 2), ("abc", "cba", 3), ("ca", "abc", 3),
-)
-
-
 def _pairs(spark, sf):
     """Distinct lower-case pairs of documents' candidates."""
-    return extract.primary(documents(spark, sf), "doc_id", "text").select(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).distinct()
+    return extract.primary(texts(spark, sf), "doc_id", "text").select(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).distinct()
 
 
 def _full(spark, sf):
@@ -30,32 +23,39 @@ def _full(spark, sf):
 
 
 def _scan(spark, sf):
-    return findings.scan(documents(spark, sf), "doc_id", "text", dictionary(spark, sf))
+    return findings.scan(texts(spark, sf), "doc_id", "text", dictionary(spark, sf))
 
 
 def _batch(spark, sf):
-    return findings.batch(documents(spark, sf), "doc_id", "text", dictionary(spark, sf))
+    return findings.batch(texts(spark, sf), "doc_id", "text", dictionary(spark, sf))
 
 
 def x1_candidates(spark, sf):
-    return extract.primary(documents(spark, sf), "doc_id", "text").select(*HITS)
+    return extract.primary(texts(spark, sf), "doc_id", "text").select(*HITS)
+
+
+def _parts(spark, sf):
+    """Parts as names: (p_partkey, genus, word)."""
+    genus = F.initcap(F.regexp_extract("p_name", "^[a-z]+", 0))
+    return read(spark, sf, "part").select("p_partkey", genus.alias("genus"), F.concat(F.regexp_extract("p_name", "[a-z]+$", 0), F.translate(F.col("p_partkey").cast("string"), "0123456789", "abcdefghij")).alias("word"))
 
 
-def x2_hyphen_fixture(spark, sf):
-    rows = spark.createDataFrame(HYPHEN_TEXTS, "doc_id long, text string")
-    return extract.candidates(rows, "doc_id", "text").select(*HITS, "rule")
+def x2_hyphenated(spark, sf):
+    """Epithets of a letter, a hyphen and more, beside plain ones and ones too short, in texts made of parts."""
+    text = F.concat(F.lit("We saw "), "genus", F.lit(" x-"), "word", F.lit(" and Abcde\n f-gh; Ab c-de, "), "genus", F.lit(" "), "word", F.lit("-def, "), "genus", F.lit(" f-g."))
+    return extract.candidates(_parts(spark, sf).select(F.col("p_partkey").alias("doc_id"), text.alias("text")), "doc_id", "text").select(*HITS, "rule")
 
 
 def x3_short_genus(spark, sf):
-    return extract.short_genus(documents(spark, sf), "doc_id", "text", dictionary(spark, sf).genera).select(*HITS)
+    return extract.short_genus(texts(spark, sf), "doc_id", "text", dictionary(spark, sf).genera).select(*HITS)
 
 
 def x4_merged(spark, sf):
-    return extract.candidates(documents(spark, sf), "doc_id", "text", dictionary(spark, sf).genera).select(*HITS, "rule")
+    return extract.candidates(texts(spark, sf), "doc_id", "text", dictionary(spark, sf).genera).select(*HITS, "rule")
 
 
 def x5_common_names(spark, sf):
-    return extract.common_names(documents(spark, sf), "doc_id", "text", dictionary(spark, sf).common)
+    return extract.common_names(texts(spark, sf), "doc_id", "text", dictionary(spark, sf).common)
 
 
 def x6_prefixes(spark, sf):
@@ -63,22 +63,28 @@ def x6_prefixes(spark, sf):
 
 
 def j6_overlap_anti(spark, sf):
-    docs, d = documents(spark, sf), dictionary(spark, sf)
+    docs, d = texts(spark, sf), dictionary(spark, sf)
     spans = extract.primary(docs, "doc_id", "text").withColumn("end", F.col("idx") + F.length("text"))
     return extract.outside(extract.common_names(docs, "doc_id", "text", d.common), spans)
 
 
-def f1_osa_fixture(spark, sf):
-    p = spark.createDataFrame(OSA_PAIRS, "a string, b string, most int")
-    return p.select("a", "b", "most", osa_within(F.col("a"), F.col("b"), F.col("most")).cast("int").alias("dist"), osa(F.col("a"), F.col("b")).cast("int").alias("full_dist"))
+def f1_osa_edits(spark, sf):
+    """Distances of words to themselves with letters swapped, lost, added and changed."""
+    w, k = F.col("word"), F.col("p_partkey") % 8
+    swapped = lambda x: F.concat(F.substring(x, 2, 1), F.substring(x, 1, 1), F.substring(x, F.lit(3), F.length(x)))
+    edits = F.when(k == 0, w).when(k == 1, swapped(w)).when(k == 2, F.substring(w, F.lit(2), F.length(w))).when(k == 3, F.concat(F.lit("q"), swapped(w))).when(k == 4, F.concat(swapped(w), F.lit("q"))).when(k == 5, F.reverse(w)).when(k == 6, F.concat(w, "genus")).otherwise("")
+    p = _parts(spark, sf).select("p_partkey", w.alias("a"), edits.alias("b"), (F.col("p_partkey") % 3).cast("int").alias("most"))
+    return p.select("p_partkey", "a", "b", "most", osa_within(F.col("a"), F.col("b"), F.col("most")).cast("int").alias("dist"), osa(F.col("a"), F.col("b")).cast("int").alias("full_dist"))
 
 
 def f1_osa_pairs(spark, sf):
-    """Distances of documents' names to dictionary names of the same first letter and a length that differs by one at most."""
+    """Genera of documents' names and of the dictionary's, with the same first letter and a length that differs by two at most, that are two edits apart at most."""
     q = _pairs(spark, sf).select(F.col("l_genus").alias("a")).distinct()
     e = dictionary(spark, sf).valid.select(F.col("l_genus").alias("b")).distinct()
-    near = q.join(e, (F.substring("a", 1, 3) == F.substring("b", 1, 3)) & (F.abs(F.length("a") - F.length("b")) <= 1))
-    return near.select("a", "b", osa(F.col("a"), F.col("b")).cast("int").alias("dist"))
+    first, size = F.substring("a", 1, 1), F.length("a")
+    q = q.select("a", first.alias("letter"), F.explode(F.sequence(size - 2, size + 2)).alias("size"))
+    e = e.select("b", F.substring("b", 1, 1).alias("letter"), F.length("b").alias("size"))
+    return q.join(e, ["letter", "size"]).select("a", "b", osa_within(F.col("a"), F.col("b"), 2).cast("int").alias("dist")).where("dist <= 2")
 
 
 def j5_nearest_valid(spark, sf):
@@ -114,7 +120,7 @@ def p3_stopwords(spark, sf):
 
 
 def classify_full(spark, sf):
-    docs, d = documents(spark, sf), dictionary(spark, sf)
+    docs, d = texts(spark, sf), dictionary(spark, sf)
     out = classify(extract.candidates(docs, "doc_id", "text", d.genera), d)
     return out.select("doc_id", "idx", "binomial", "type", "canonical", "suggestion", "common_name", "confidence", F.col("edit_distance").cast("int").alias("edit_distance"))
 
@@ -144,7 +150,8 @@ def r4_badges(spark, sf):
 
 
 def r5_corrected_text(spark, sf):
-    out = findings.correct_text(documents(spark, sf), "doc_id", "text", findings.binomial_findings(documents(spark, sf), "doc_id", "text", dictionary(spark, sf)))
+    docs = texts(spark, sf)
+    out = findings.correct_text(docs, "doc_id", "text", findings.binomial_findings(docs, "doc_id", "text", dictionary(spark, sf)))
     return out.select("doc_id", F.sha2("corrected", 256).alias("corrected_sha256"), F.length("corrected").alias("chars"))
 
 
@@ -173,27 +180,30 @@ def f10_escape(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    x1_candidates, x2_hyphen_fixture, x3_short_genus, x4_merged, x5_common_names, x6_prefixes, j6_overlap_anti, f1_osa_fixture, f1_osa_pairs, j5_nearest_valid, j5_nearest_synonym, j1_valid_exact, j2_synonym_exact, j3_common_exact,
+    x1_candidates, x2_hyphenated, x3_short_genus, x4_merged, x5_common_names, x6_prefixes, j6_overlap_anti, f1_osa_edits, f1_osa_pairs, j5_nearest_valid, j5_nearest_synonym, j1_valid_exact, j2_synonym_exact, j3_common_exact,
     j4_genus_semi, p3_stopwords, classify_full, scan_findings, batch_details, d3_distinct_findings, r2_species_list, r3_issue_table, r4_badges, r5_corrected_text, a15_genera, a16_dictionary_counts, d5_last_wins, j8_new_synonyms, f10_escape,
 )}
 
 _P = "p AS MATERIALIZED (SELECT DISTINCT lower(genus) AS l_genus, lower(species) AS l_species, lower(genus) || ' ' || lower(species) AS l_full FROM x1)"
+_PARTS = "parts AS (SELECT p_partkey, upper(g[1]) || g[2:] AS genus, regexp_extract(p_name, '[a-z]+$') || translate(p_partkey::VARCHAR, '0123456789', 'abcdefghij') AS word FROM (SELECT *, regexp_extract(p_name, '^[a-z]+') AS g FROM part))"
 _SCAN = (X4_SQL, CLASS_SQL, COMMON_SQL, FOUND_SQL)
 _DISTINCT = """ds AS MATERIALIZED (SELECT doc_id, binomial, m.idx AS idx, m.type AS type, m.suggestion AS suggestion, m.common_name AS common_name FROM (
   SELECT doc_id, binomial, min_by({'idx': idx, 'type': type, 'suggestion': suggestion, 'common_name': common_name}, (CASE WHEN source = 'binomial' THEN 0 ELSE 1 END, idx, type, coalesce(suggestion, ''))) AS m FROM scan GROUP BY 1, 2))"""
-_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 ORACLES = {
     "x1_candidates": sql("SELECT doc_id, idx, genus, species, text FROM x1"),
-    "x2_hyphen_fixture": """SELECT * FROM (VALUES (1::BIGINT, 7, 'Erimystax', 'x-punctatus', 'Erimystax x-punctatus', 2), (1, 33, 'Genus', 'abc', 'Genus abc', 1),
-  (2, 0, 'Etheostoma', 'y-graecum', 'Etheostoma y-graecum', 2), (2, 22, 'Abcde', 'f-gh', 'Abcde' || chr(10) || ' f-gh', 2)) t(doc_id, idx, genus, species, text, rule)""",
+    "x2_hyphenated": f"""WITH {_PARTS} SELECT doc_id, m.idx::INTEGER AS idx, m.genus AS genus, m.species AS species, m.genus || m.gap || m.species AS text, m.rule::INTEGER AS rule FROM (
+  SELECT p_partkey AS doc_id, unnest([{{'idx': 7, 'genus': genus, 'gap': ' ', 'species': 'x-' || word, 'rule': 2}}, {{'idx': 7 + l + 8, 'genus': 'Abcde', 'gap': chr(10) || ' ', 'species': 'f-gh', 'rule': 2}},
+    {{'idx': 7 + l + 8 + 22, 'genus': genus, 'gap': ' ', 'species': word, 'rule': 1}}]) AS m FROM (SELECT *, length(genus) + length(word) AS l FROM parts))""",
     "x3_short_genus": sql("SELECT doc_id, idx, genus, species, text FROM raw_short WHERE lower(genus) IN (SELECT l_genus FROM genera)"),
     "x4_merged": sql("SELECT doc_id, idx, genus, species, text, rule FROM x4", X4_SQL),
     "x5_common_names": sql("SELECT * FROM hits", COMMON_SQL),
     "x6_prefixes": sql("SELECT split_part(l_name, ' ', 1) AS first_word, count(*) AS names, min(ord) AS first_ord FROM common WHERE contains(l_name, ' ') GROUP BY 1"),
     "j6_overlap_anti": sql('SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM x1 f WHERE f.doc_id = h.doc_id AND h.idx < f.idx + length(f.text) AND h."end" > f.idx)', COMMON_SQL),
-    "f1_osa_fixture": "SELECT a, b, most, CAST(least(d, most + 1) AS INTEGER) AS dist, CAST(d AS INTEGER) AS full_dist FROM (SELECT *, " + osa_sql("a", "b") + f" AS d FROM (VALUES {_VALUES(OSA_PAIRS)}) t(a, b, most))",
-    "f1_osa_pairs": sql("SELECT a, b, CAST(" + osa_sql("a", "b") + " AS INTEGER) AS dist FROM (SELECT DISTINCT l_genus AS a FROM p) JOIN (SELECT DISTINCT l_genus AS b FROM valid) ON a[:3] = b[:3] AND abs(length(a) - length(b)) <= 1", _P),
+    "f1_osa_edits": f"""WITH {_PARTS} SELECT p_partkey, a, b, most, CAST(least(d, most + 1) AS INTEGER) AS dist, CAST(d AS INTEGER) AS full_dist FROM (SELECT *, {osa_sql("a", "b")} AS d FROM (
+  SELECT p_partkey, word AS a, CASE p_partkey % 8 WHEN 0 THEN word WHEN 1 THEN sw WHEN 2 THEN word[2:] WHEN 3 THEN 'q' || sw WHEN 4 THEN sw || 'q' WHEN 5 THEN reverse(word) WHEN 6 THEN word || genus ELSE '' END AS b, (p_partkey % 3)::INTEGER AS most
+  FROM (SELECT *, word[2] || word[1] || word[3:] AS sw FROM parts)) WHERE a <> '' AND b <> '' UNION ALL SELECT p_partkey, word, '', (p_partkey % 3)::INTEGER, length(word) FROM parts WHERE p_partkey % 8 = 7)""",
+    "f1_osa_pairs": sql("SELECT a, b, CAST(d AS INTEGER) AS dist FROM (SELECT a, b, " + osa_sql("a", "b") + " AS d FROM (SELECT DISTINCT l_genus AS a FROM p) JOIN (SELECT DISTINCT l_genus AS b FROM valid) ON a[1] = b[1] AND abs(length(a) - length(b)) <= 2 AND damerau_levenshtein(a, b) <= 2) WHERE d <= 2", _P),
     "j5_nearest_valid": sql("SELECT l_genus, l_species, binomial, dist::INTEGER AS dist, genus_dist::INTEGER AS genus_dist FROM (" + nearest_sql("p", "valid", "binomial") + ")", _P),
     "j5_nearest_synonym": sql("SELECT l_genus, l_species, new_name, dist::INTEGER AS dist, genus_dist::INTEGER AS genus_dist FROM (" + nearest_sql("p", "synonyms", "new_name") + ")", _P),
     "j1_valid_exact": sql("SELECT l_full, binomial, contains(flags, '*') AS changed, common_name FROM p JOIN valid ON l_full = l_binomial", _P),
@@ -206,9 +216,10 @@ ORACLES = {
     "batch_details": sql("SELECT * FROM batch", X4_SQL, CLASS_SQL, BATCH_SQL),
     "d3_distinct_findings": sql("SELECT doc_id, binomial, idx, type FROM ds", *_SCAN, _DISTINCT),
     "r2_species_list": sql("SELECT doc_id, d.binomial, type, suggestion, coalesce(nullif(v.common_name, ''), nullif(d.common_name, ''), '') AS common_name FROM ds d LEFT JOIN valid v ON v.binomial = d.suggestion", *_SCAN, _DISTINCT),
-    "r3_issue_table": sql("""SELECT doc_id, d.binomial, CASE type WHEN 'changed' THEN 'Name changed' WHEN 'outdated' THEN 'Outdated' WHEN 'misspelled' THEN 'Misspelled' ELSE 'Unknown' END AS label,
-  CASE WHEN type = 'changed' THEN 'Now: ' || coalesce(nullif(v.common_name, ''), nullif(d.common_name, ''), '') ELSE coalesce(suggestion, '') END AS instead
-  FROM ds d LEFT JOIN valid v ON v.binomial = d.suggestion WHERE type NOT IN ('valid', 'common')""", *_SCAN, _DISTINCT),
+    "r3_issue_table": sql("""SELECT doc_id, i.binomial, CASE type WHEN 'changed' THEN 'Changed in 8th edition' WHEN 'outdated' THEN 'Outdated / Synonym' WHEN 'misspelled' THEN 'Misspelled' WHEN 'unknown' THEN 'Unknown fish name' ELSE type END AS label,
+  CASE WHEN type = 'changed' AND coalesce(i.common_name, '') <> '' THEN 'Now: ' || i.common_name || ' \u2014 confirm intended species' WHEN type = 'changed' THEN 'Confirm this is the intended species'
+   WHEN suggestion <> '' THEN suggestion || coalesce(' (' || nullif(v.common_name, '') || ')', '') ELSE '\u2014' END AS instead
+  FROM (SELECT DISTINCT ON (doc_id, binomial) * FROM scan WHERE type NOT IN ('valid', 'common') ORDER BY doc_id, binomial, source, idx) i LEFT JOIN valid v ON v.binomial = i.suggestion""", *_SCAN),
     "r4_badges": sql("SELECT doc_id, count(*) FILTER (type NOT IN ('valid', 'common')) AS issues, count(DISTINCT binomial) AS species FROM scan GROUP BY 1", *_SCAN),
     "r5_corrected_text": sql("""SELECT d.doc_id, sha256(c) AS corrected_sha256, length(c)::INTEGER AS chars FROM documents d JOIN (
   SELECT d.doc_id, coalesce(any_value(f.out), any_value(d.text)) AS c FROM documents d LEFT JOIN (

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from binomia.functions.shared import spread
 from binomia.functions.text import SHORT_GENUS
 from binomia.operators import dictionary as D
 from binomia.operators import extract
@@ -30,6 +31,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), dealt over all cores where the table is small."""
+    return spread(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, binomial) of benchmark's candidates."""
     found = extract.primary(read(spark, sf_dir, "benchmark"), "item_id", "text")
@@ -45,7 +51,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
-    docs, bench = documents(spark, sf_dir), read(spark, sf_dir, "benchmark")
+    docs, bench = texts(spark, sf_dir), read(spark, sf_dir, "benchmark")
     all_names = names(spark, sf_dir).cache()
     accepted = all_names.where("ord % 4 <> 3")
     ranked = accepted.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("rank"), F.col("binomial").alias("of"))
@@ -177,7 +183,9 @@ results AS MATERIALIZED (SELECT d.doc_id, coalesce(candidates_found, 0) AS candi
    coalesce(misspelled, 0) AS misspelled, coalesce(unknown, 0) AS unknown, coalesce(common, 0) AS common, 0::BIGINT AS common_name FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS candidates_found FROM x4b GROUP BY 1) c USING (doc_id)
    LEFT JOIN (SELECT doc_id, count(*) AS unique_binomials, count(*) FILTER (type = 'valid') AS valid, count(*) FILTER (type = 'changed') AS changed, count(*) FILTER (type = 'outdated') AS outdated,
      count(*) FILTER (type = 'misspelled') AS misspelled, count(*) FILTER (type = 'unknown') AS unknown, count(*) FILTER (type = 'common') AS common FROM batch GROUP BY 1) b USING (doc_id)),
-ratios AS MATERIALIZED (SELECT *, coalesce((valid + changed + outdated + misspelled + common_name) / nullif(valid + changed + outdated + misspelled + common_name + unknown, 0), 1.0)::DOUBLE AS ratio FROM results)"""
+ratios AS MATERIALIZED (SELECT *, coalesce((valid + changed + outdated + misspelled + common_name) / nullif(valid + changed + outdated + misspelled + common_name + unknown, 0), 1.0)::DOUBLE AS ratio FROM results),
+inc AS MATERIALIZED (SELECT *, outdated + misspelled AS issues FROM ratios WHERE NOT (ratio < 0.3 AND unknown > 3)),
+ib AS MATERIALIZED (SELECT * FROM batch WHERE doc_id IN (SELECT doc_id FROM inc))"""
 
 
 def sql(select: str, *parts: str) -> str:

@@ -34,10 +34,10 @@ def text_dir(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
 
 
-def json_dir(spark: SparkSession, path: str, schema: str = RESULT) -> DataFrame:
-    """JSON files in a folder, a row each, with their stem."""
+def json_dir(spark: SparkSession, path: str, schema: str = RESULT, lines: bool = False) -> DataFrame:
+    """JSON files in a folder, a row each, with their stem. lines: a row a line, as Spark writes them."""
     own = T.StructType.fromDDL(schema)
-    rows = spark.read.schema(own).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    rows = spark.read.schema(own).option("multiLine", not lines).option("pathGlobFilter", "*.json").json(path)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "").alias("stem"), *own.names)
 
 
@@ -135,3 +135,17 @@ def joined_pages(pages: DataFrame, key: str, page: str = "page", text: str = "te
     """(key, text): pages with text in order, joined."""
     own = pages.where(F.trim(text) != "").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, text))).alias("p"))
     return own.select(key, F.array_join(F.col(f"p.{text}"), separator).alias("text"))
+
+
+def joined_items(items: DataFrame, key: str, page: str = "page", item: str = "item", text: str = "text") -> DataFrame:
+    """(key, text): a page's items in order, joined by a space, and the pages by a line break; pages without text stay as empty lines."""
+    pages = items.groupBy(key, page).agg(F.sort_array(F.collect_list(F.struct(item, F.coalesce(text, F.lit("")).alias("text")))).alias("p"))
+    lines = pages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(page, F.array_join("p.text", " ").alias("text")))).alias("p"))
+    return lines.select(key, F.array_join("p.text", "\n").alias("text"))
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """A cache that rows are appended to: of each key the row of the latest writing; empty where there is none yet."""
+    rows = or_empty(spark, path, f"{schema}, written_at long")
+    rest = [c for c in rows.columns if c not in (key, "written_at")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "written_at").alias("m")).select(key, "m.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from binomia.operators.corpus import TYPE_ORDER
 from binomia.operators.dictionary import Dictionary
 
 
@@ -18,6 +19,27 @@ def dictionary_frame(d: Dictionary) -> DataFrame:
     return ordered(d.valid, "binomial", info).withColumnRenamed("m", "valid_names").crossJoin(genera).crossJoin(ordered(d.synonyms, "old_name", F.col("new_name")).withColumnRenamed("m", "synonyms"))  # one row each
 
 
+FIELDS = {"class": "tax_class", "order": "tax_order", "family": "tax_family", "author": "author", "occurrence": "occurrence", "flags": "flags", "common_name_en": "common_name_en", "common_name_es": "common_name_es", "common_name_fr": "common_name_fr"}
+
+
+def authority_frame(names: DataFrame, synonyms: DataFrame, edition: int, year: int, source: str) -> DataFrame:
+    """The whole artefact as one nested row: metadata, every field of each name, genera and synonyms. names: (ord, binomial, and FIELDS' columns), synonyms: (ord, old_name, new_name).
+
+    It is one JSON document, as its readers expect, and holds a reference list; both grow with the list, not with the corpus.
+    """
+    info = F.struct(*(F.col(c).alias(k) for k, c in FIELDS.items()))
+    entries = lambda rows, key, value, to: rows.agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col(key).alias("k"), value.alias("v")))), lambda e: F.struct(e["k"], e["v"]))).alias(to))
+    genera = names.agg(F.array_sort(F.collect_set(F.substring_index("binomial", " ", 1))).alias("genera"))
+    out = entries(names, "binomial", info, "valid_names").crossJoin(genera).crossJoin(entries(synonyms, "old_name", F.col("new_name"), "synonyms"))  # one row each
+    meta = F.struct(F.lit(edition).alias("edition"), F.lit(year).alias("year"), F.lit(source).alias("source"), F.size("valid_names").alias("species_count"), F.size("synonyms").alias("synonym_count"))
+    return out.select(meta.alias("metadata"), "valid_names", "genera", "synonyms")
+
+
+def write_json(row: DataFrame, path: str) -> None:
+    """A one-row frame as one JSON file."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_dictionary(d: Dictionary, path: str) -> None:
     dictionary_frame(d).coalesce(1).write.mode("overwrite").json(path)
 
@@ -39,10 +61,25 @@ def write_table(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def summary_markdown(metrics: DataFrame) -> str:
-    """The (metric, value) rows as a report; they are as many as metrics."""
-    rows = metrics.limit(100).collect()
-    return "# Summary\n\n| Metric | Value |\n|---|---|\n" + "".join(f"| {r[0]} | {r[1]} |\n" for r in rows)
+def summary_markdown(summed: DataFrame) -> str:
+    """corpus.summary's one row as a report."""
+    r = summed.first()
+    head = lambda *cells: ["", f"| {' | '.join(cells)} |", f"|{'---|' * len(cells)}"]
+    out = ["# Names in the corpus", "", "## Overview", "", f"**{r.papers}** papers count."]
+    out += [f"Another {r.excluded} are left out, as most of their names aren't in the list."] if r.excluded else []
+    out += ["", "## Key findings", ""]
+    out += [f"- **{r[f'pct_{k}']:.1f}%** of papers have {what}" for k, what in (("issues", "an outdated or misspelled name"), ("outdated", "an outdated name"), ("misspelled", "a misspelled name"), ("changed", "a name that has changed"))]
+    out += [f"- **{r.species_mentions}** names were found, each counted once a paper", "", "## Types", *head("Type", "Count")]
+    out += [f"| {t.replace('_', ' ').title()} | {(r.totals or {}).get(t, 0)} |" for t in TYPE_ORDER]
+    for title, rows in (("Most common outdated names", r.top_outdated), ("Most common misspellings", r.top_misspelled), ("Most common changed names", r.top_changed)):
+        if rows:
+            out += ["", f"## {title}", *head("Name", "Papers"), *(f"| *{x.binomial}* | {x.n} |" for x in rows[:10])]
+    return "\n".join([*out, "", "## Journals", "", f"The papers come from **{r.journals}** journals.", ""])
+
+
+def append_cache(rows: DataFrame, path: str, at: int) -> None:
+    """Rows added to a cache under a number that grows with each writing; a part that fails leaves nothing, and none is written again."""
+    rows.withColumn("written_at", F.lit(at).cast("long")).write.mode("append").parquet(path)
 
 
 def append_valid(df: DataFrame, ok, path: str, rejected: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from binomia.functions.shared import new_path
 from binomia.operators.events import SPECIES_A_WRITE
 
 
@@ -54,8 +53,7 @@ def append_valid(visits: DataFrame, ok, path: str, checkpoint: str):
 def run_available(df: DataFrame, mode: str) -> DataFrame:
     """What a stream gives for all that is there now, through files in the shared folder; of complete results the last one."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="binomia-")
-    base = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     out = f"{base}/out"
 
     def save(batch: DataFrame, _: int) -> None:
