@@ -3,8 +3,8 @@
 `LineRuns` keeps, like a log-structured store, bucketed tables sorted by line hash with the number of
 documents holding the line. A batch's lines are merge-anti-joined against the settled runs (lines already
 known to be frequent need no more counting); what is left becomes a run of level 0. When a level has `fanout`
-runs they are compacted: counts are summed, lines that reach the threshold move to a settled run, the
-rest to one run of the next level. All runs are bucketed and sorted alike, so a merge join or a compaction of
+runs they are compacted into one run of the next level: counts are summed, and the lines that reach the threshold are
+settled. A compacted run is written once and read by its counts, as the settled lines or as those still open. All runs are bucketed and sorted alike, so a merge join or a compaction of
 runs reads them without a shuffle. Two 64-bit hashes with different seeds stand for a line.
 
 Cases: a null or empty text is one empty line; empty keys are never dropped; a document counts once for a line
@@ -46,44 +46,49 @@ class LineRuns:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.settled: list[str] = []
+        self.settled: list[str] = []  # compacted runs
 
     def _write(self, df: DataFrame) -> str:
         name = f"binomia_run_{uuid.uuid4().hex}"
         (df.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", table_path(self.spark, "run")).saveAsTable(name))
         return name
 
-    def _union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for n in names[1:]:
-            out = out.unionByName(self.spark.table(n))
-        return out
+    def _settled(self, name: str) -> DataFrame:
+        """Of a compacted run, the lines that need no more counting: a filter on its table, which is written once for both uses."""
+        return self.spark.table(name).where(F.col("n") >= self.threshold).select(*KEY)
+
+    def _open(self, name: str) -> DataFrame:
+        return self.spark.table(name).where(F.col("n") < self.threshold)
+
+    def _without_settled(self, df: DataFrame) -> DataFrame:
+        for name in self.settled:
+            df = df.join(self._settled(name).hint("merge"), list(KEY), "left_anti")
+        return df
 
     def add(self, batch: DataFrame) -> None:
         """Counts a batch of (row, h1, h2): anti-joins the settled runs, then adds the rest as a run of its own."""
         own = batch.select("row", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n"))
-        for name in self.settled:
-            own = own.join(self.spark.table(name).select(*KEY).hint("merge"), list(KEY), "left_anti")
-        self.levels[0].append(self._write(own))
+        self.levels[0].append(self._write(self._without_settled(own)))
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 self._compact(k)
 
+    def _summed(self, names: list[str]) -> DataFrame:
+        """Counts of runs added up. Runs of level 0 hold any count, compacted ones are read without the lines settled in them."""
+        rows = [self._open(n) if n in self.settled else self.spark.table(n) for n in names]
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return self._without_settled(out.groupBy(*KEY).agg(F.sum("n").alias("n")))  # counts begun before a line settled end here
+
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
         if level + 1 == len(self.levels):
             self.levels.append([])
-        summed = self._union(names).groupBy(*KEY).agg(F.sum("n").alias("n"))
-        for name in self.settled:  # counts begun before a line settled end here
-            summed = summed.join(self.spark.table(name).select(*KEY).hint("merge"), list(KEY), "left_anti")
-        self._split(summed, names, level + 1)
-
-    def _split(self, summed: DataFrame, names: list[str], to: int | None) -> None:
-        whole = self._write(summed)
-        self.settled.append(self._write(self.spark.table(whole).where(F.col("n") >= self.threshold)))
-        if to is not None:
-            self.levels[to].append(self._write(self.spark.table(whole).where(F.col("n") < self.threshold)))
-        self._drop([*names, whole])
+        run = self._write(self._summed(names))
+        self.settled.append(run)
+        self.levels[level + 1].append(run)
+        self._drop([n for n in names if n not in self.settled])
 
     def _drop(self, names: list[str]) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -94,16 +99,15 @@ class LineRuns:
             p.getFileSystem(conf).delete(p, True)
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of every line in at least `threshold` documents of all batches, after a last compaction of all levels."""
+        """(h1, h2) of every line in at least `threshold` documents of all batches: those settled, and those that what is left of all levels adds up to."""
+        out = [self._settled(n) for n in self.settled]
         rest = [n for level in self.levels for n in level]
-        self.levels = [[]]
         if rest:
-            summed = self._union(rest).groupBy(*KEY).agg(F.sum("n").alias("n"))
-            for name in self.settled:
-                summed = summed.join(self.spark.table(name).select(*KEY).hint("merge"), list(KEY), "left_anti")
-            self._split(summed, rest, None)
-        out = self._union(self.settled).select(*KEY)
-        return out
+            out.append(self._summed(rest).where(F.col("n") >= self.threshold).select(*KEY))
+        frequent = out[0]
+        for o in out[1:]:
+            frequent = frequent.unionByName(o)
+        return frequent
 
 
 def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: int = 10, batches: int = BATCHES, by_text: bool = False, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -114,8 +118,9 @@ def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: in
     """
     spark = df.sparkSession
     lines = line_hashes(df, id_col, text_col)
-    lines = lines.withColumn("row", F.col("th")) if by_text else lines
-    lines = written(lines.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches))), "lines")
+    # a batch is what some tasks read, so that its files hold it alone and the others' are skipped; equal texts come into one batch
+    lines = lines.withColumn("row", F.col("th")).withColumn("batch", F.pmod(F.xxhash64("th"), F.lit(batches)).cast("int")).sortWithinPartitions("batch") if by_text else lines.withColumn("batch", F.spark_partition_id() % batches)
+    lines = written(lines, "lines")
     runs = LineRuns(spark, threshold)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
