@@ -29,7 +29,7 @@ def osa(a: Column, b: Column) -> Column:
 
 def letters(a: Column) -> Column:
     """The letters of a word in order of the alphabet."""
-    return F.array_join(F.array_sort(F.split(a, "")), "")
+    return F.array_join(F.sort_array(F.split(a, "")), "")
 
 
 def osa_within(a: Column, b: Column, k: int | Column) -> Column:

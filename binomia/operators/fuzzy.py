@@ -22,7 +22,9 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str) -> DataFrame:
     letter = F.ascii(F.substring("l_genus", 1, 1))
     letters = F.when(F.length("l_genus") >= LONG, F.sequence(letter - NEAR, letter + NEAR)).otherwise(F.array(letter))
     lengths = F.sequence(F.length("l_genus") - MAX, F.length("l_genus") + MAX)
-    q = pairs.select("l_genus", "l_species").withColumn("block_letter", F.explode(letters)).withColumn("block_length", F.explode(lengths))
+    # few bytes but much work: a number of partitions that is given isn't lowered to fit the bytes
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = pairs.select("l_genus", "l_species").repartition(parts, "l_genus", "l_species").withColumn("block_letter", F.explode(letters)).withColumn("block_length", F.explode(lengths))
     e = names.select("ord", F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"), F.col(payload))
     e = e.withColumn("block_letter", F.ascii(F.substring("e_genus", 1, 1))).withColumn("block_length", F.length("e_genus"))
     met = q.join(e, ["block_letter", "block_length"]).where(F.abs(F.ascii("l_species") - F.ascii("e_species")) <= NEAR)
