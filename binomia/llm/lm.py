@@ -8,7 +8,8 @@ scores every distinct triple by searches in it, and adds the scores up by text.
 a shard doesn't: there is one for SHARD tokens. The triples of a word that precedes more than a quarter of a shard's
 tokens are dealt over shards by the word before it too. This is placement only: such a word's pairs are counted over
 all chunks beforehand, from each chunk's distinct ones, and its shards are given the counts and the number of its
-followers, so that a score doesn't depend on the number of shards.
+followers, so that a score doesn't depend on the number of shards. The begin token is such a word once texts are many;
+its triples are dealt by the word after it, and as it has one context, itself, its own counts are that context's too.
 
 What repeats, in a chunk, is sent once, so a word, pair or passage that makes up a third of all rows doesn't
 land in one task row by row.
@@ -76,7 +77,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int
             token = rank[token]
             train = np.bincount(token[~np.repeat(flags, size)], minlength=len(distinct))
             row = {
-                "chunk": pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), "n": pa.array([len(token)], pa.int64()), "n_train": pa.array([int(train.sum())], pa.int64()),
+                "chunk": pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()), "n": pa.array([len(token)], pa.int64()), "n_train": pa.array([int(train.sum())], pa.int64()), "begun": pa.array([int((~flags).sum())], pa.int64()),
                 "keys": pa.array([distinct[order].tobytes()], pa.binary()), "train": pa.array([squeeze(train.astype(np.uint32))], pa.binary()), "tokens": pa.array([squeeze(token.astype(np.uint32))], pa.binary()),
                 "ids": pa.LargeListArray.from_arrays([0, len(size)], pa.concat_arrays(ids)), "sizes": pa.array([squeeze(size.astype(np.uint32))], pa.binary()), "held": pa.array([squeeze(flags.astype(np.uint8))], pa.binary()),
             }
@@ -99,7 +100,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int
         if n:
             yield flush()
 
-    return src.mapInArrow(run, f"chunk long, n long, n_train long, keys binary, train binary, tokens binary, ids array<{kind}>, sizes binary, held binary")
+    return src.mapInArrow(run, f"chunk long, n long, n_train long, begun long, keys binary, train binary, tokens binary, ids array<{kind}>, sizes binary, held binary")
 
 
 def word_counts(found: DataFrame, parts: int) -> DataFrame:
@@ -150,8 +151,8 @@ def classes(count: np.ndarray, limit: float) -> np.ndarray:
     return np.maximum(1, np.ceil(count / limit)).astype(np.int64)
 
 
-def numbered(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(training count over all chunks, number) of each word of a chunk and, at the end, of the begin token: both 0."""
+def numbered(row: dict, parts: int, begun: int) -> tuple[np.ndarray, np.ndarray]:
+    """(training count over all chunks, number) of each word of a chunk and, at the end, of the begin token: the texts learnt from, and 0."""
     keys = np.frombuffer(row["keys"], np.uint64)
     count, number = np.zeros(len(keys) + 1, np.uint64), np.zeros(len(keys) + 1, np.uint64)
     part = (keys % np.uint64(parts)).astype(np.int64)
@@ -160,6 +161,7 @@ def numbered(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
     for a in row["answers"]:
         own = order[cuts[a["part"]] : cuts[a["part"] + 1]]
         count[own], number[own] = spread(a["counts"], np.uint64), spread(a["numbers"], np.uint64) + np.uint64(1)
+    count[-1] = begun
     return count, number
 
 
@@ -171,7 +173,7 @@ def pair_parts(number: np.ndarray, pair: np.ndarray, parts: int) -> tuple[np.nda
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def pair_counts(known: DataFrame, parts: int, limit: float) -> DataFrame:
+def pair_counts(known: DataFrame, parts: int, limit: float, begun: int) -> DataFrame:
     """(chunk, part, totals, words, followers): of the pairs of a chunk that follow a word dealt over classes, those of a pair shard's, in
     order, the training counts over all chunks; once for a shard, such words and how many distinct words learnt of the shard follow each."""
 
@@ -180,7 +182,7 @@ def pair_counts(known: DataFrame, parts: int, limit: float) -> DataFrame:
             for i in range(b.num_rows):  # a batch may hold several chunks
                 row = b.slice(i, 1).to_pylist()[0]
                 release()
-                count, number = numbered(row, parts)
+                count, number = numbered(row, parts, begun)
                 n = len(number)
                 token, size, held = spread(row["tokens"], np.uint32).astype(np.int32), spread(row["sizes"], np.uint32).astype(np.int64), spread(row["held"], np.uint8).astype(bool)
                 near = np.empty(len(token), np.int32)
@@ -221,8 +223,7 @@ def pair_counts(known: DataFrame, parts: int, limit: float) -> DataFrame:
 def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; held_out: a boolean column, rows of which aren't learnt from."""
     found = chunk_table(chunks(df, id_col, text_col, held_out, chunk))
-    total, learnt = found.agg(F.sum("n"), F.sum("n_train")).first()
-    total, learnt = total or 0, learnt or 0
+    total, learnt, begun = (x or 0 for x in found.agg(F.sum("n"), F.sum("n_train"), F.sum("begun")).first())
     parts, shards = max(1, -(-total // (4 * shard))) * 2, max(1, -(-total // shard))
     counts = written(word_counts(found, parts), "lm-words", "none")
     vocabulary = counts.agg(F.sum("distinct")).first()[0] or 0
@@ -232,7 +233,7 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
     known = found.select("chunk", "keys", "tokens", "ids", "sizes", "held").join(answers, "chunk")
     dealt, fans = shards > 1, np.zeros((0, 2), np.int64)
     if dealt:
-        of_pairs = written(pair_counts(known, parts, limit), "lm-pairs", "none")
+        of_pairs = written(pair_counts(known, parts, limit, begun), "lm-pairs", "none")
         # words dealt over classes are at most four a shard
         by_word = of_pairs.where("words is not null").select(F.explode(F.arrays_zip("words", "followers")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.followers")).collect()
         fans = np.array(sorted(map(tuple, by_word)), np.int64).reshape(-1, 2)
@@ -245,7 +246,7 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
             for i in range(b.num_rows):  # a batch may hold several chunks
                 row = b.slice(i, 1).to_pylist()[0]
                 release()
-                count, number = numbered(row, parts)
+                count, number = numbered(row, parts, begun)
                 token, size, held = spread(row["tokens"], np.uint32).astype(np.int32), spread(row["sizes"], np.uint32).astype(np.int64), spread(row["held"], np.uint8).astype(bool)
                 starts = np.cumsum(size) - size
                 base = np.add.reduceat(np.log10((count + ADD) / whole)[token], starts)
@@ -288,7 +289,9 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
                     del distinct, at, order, totals
                     release()
                 split = classes(count.astype(float), limit)
-                place = (mixed(mixed(number[v]) + mixed(number[u]) % split[v].astype(np.uint64)) % np.uint64(shards)).astype(np.uint32 if shards >= 1 << 16 else np.uint16)
+                other = number[np.where(v == n - 1, w, u)]  # before a text's first word stands the begin token twice
+                place = (mixed(mixed(number[v]) + mixed(other) % split[v].astype(np.uint64)) % np.uint64(shards)).astype(np.uint32 if shards >= 1 << 16 else np.uint16)
+                del other
                 by_shard = np.argsort(place, kind="stable")
                 edge = np.searchsorted(place[by_shard], np.arange(shards + 1))
                 token_place = place[which]
@@ -395,7 +398,8 @@ def score(df: DataFrame, id_col: str, text_col: str, held_out: str, chunk: int =
             release()
             p1 = (seen + ADD) / whole
             pair_total, train = pair_total[own], train[own]
-            trie = Trie.mapped(build(r[own], u[own], w[own], train, p1, (pair_total, root_total, followers)))
+            first = np.flatnonzero(names[roots] == 0)  # the begin token
+            trie = Trie.mapped(build(r[own], u[own], w[own], train, p1, (pair_total, root_total, followers), int(first[0]) if len(first) else None))
             del pair_total, train, own
             release()
             scores = np.concatenate([trie.score(*(x[k : k + (1 << 19)].astype(np.int64) for x in (r, u, w))) for k in range(0, len(r), 1 << 19)])

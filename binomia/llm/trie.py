@@ -163,11 +163,12 @@ def quantise(values: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     return code_of[grid].astype(np.uint16), book
 
 
-def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> bytes:
+def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, p1: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, sole: int | None = None) -> bytes:
     """The trie of counted (root, preceding word, word) triples, each given once, in order; p1: the probability of each word by number.
 
     whole: where a root's triples are in several tries, the count of each triple's (root, word) over all of them, above 0, and
-    by root number the count and the number of distinct followers, 0 for no root; a triple without a count then stands for its pair."""
+    by root number the count and the number of distinct followers, 0 for no root; a triple without a count then stands for its pair.
+    sole: with whole, a root that has one preceding word, whose counts are the root's over all tries."""
     words = len(p1)
     pairs, first, pair = np.unique(root.astype(np.int64) * words + word, return_index=True, return_inverse=True)
     if whole is None:
@@ -185,7 +186,7 @@ def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndar
     pair = pair.astype(np.int32)
     del first, pairs
     r = np.searchsorted(roots, root)
-    root_weight = followers / (root_count + followers)
+    root_followers, root_weight = followers, followers / (root_count + followers)
     p2 = (pair_count + followers[pair_root] * p1[pair_word]) / (root_count + followers)[pair_root]
     pair_at, pair_values = Level.shifted(pair_root, pair_word, len(roots))
     change = np.append(True, (root[1:] != root[:-1]) | (before[1:] != before[:-1]))[: len(root)]
@@ -193,6 +194,9 @@ def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndar
     context_root = r[change]
     context_count = np.bincount(c, weights=count, minlength=len(context_root))
     followers = np.bincount(c, minlength=len(context_root))
+    if whole is not None and sole is not None:
+        own = np.flatnonzero(roots[context_root] == sole)
+        context_count[own], followers[own] = root_count[context_root[own]], root_followers[context_root[own]]
     weight = followers / (context_count + followers)
     context_at, context_values = Level.shifted(context_root, before[change], len(roots))
     p3 = (count + followers[c] * p2[pair]) / (context_count + followers)[c]
@@ -204,9 +208,8 @@ def build(root: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndar
         a, m = EliasFano.build(values)
         arrays |= {f"{name}.{k}": v for k, v in a.items()}
         meta[name] = m
-    for name, p in (("root_weight", root_weight), ("weight", weight), ("p2", p2), ("p3", p3)):
+    for name, p in (("p1", p1), ("root_weight", root_weight), ("weight", weight), ("p2", p2), ("p3", p3)):
         arrays[f"{name}.codes"], arrays[f"{name}.book"] = quantise(np.log10(p))
-    arrays["p1"] = np.log10(p1)
     body, places = bytearray(), {}
     for k, v in arrays.items():
         body += b"\0" * (-len(body) % 8)
@@ -246,7 +249,7 @@ class Trie:
 
     def score(self, root: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log10 probability of each word after the root's word and the one before that."""
-        out = self.array["p1"][word].copy()
+        out = self._value("p1", word)
         if not self.roots.n:
             return out
         r = np.minimum(self.roots.successor(root), self.roots.n - 1)

@@ -145,8 +145,7 @@ def test_lm(spark):
         assert abs(r.score - score(t)) < 0.002 * len(t)
     split = {r.doc_id: r for r in lm.score(df.repartition(3), "doc_id", "text", "h", chunk=500, shard=300).collect()}  # many shards, split words
     assert all(math.isclose(split[i].base_score, r.base_score, rel_tol=1e-9) for i, r in rows.items())
-    assert all(math.isfinite(r.score) and r.score < 0 for r in split.values())
-    assert any(abs(split[i].score - r.score) > 1e-3 for i, r in rows.items())  # a split word's back-off knows its class
+    assert all(abs(split[i].score - r.score) < 0.002 * len(tokens[i]) for i, r in rows.items())  # shards are layout alone, but for rounding
     assert lm.score(df.limit(0), "doc_id", "text", "h").count() == 0
 
 
