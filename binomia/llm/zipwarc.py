@@ -17,19 +17,22 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import written
+from binomia.llm.common import table_path, written
 
 ARCHIVE, INDEX, ABOUT = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 LEAST = 100
+SALT = 16
 PACKAGE_BYTES = 4 << 20
 _LOCAL = struct.Struct("<IHHHHHIIIHH")
 _CENTRAL = struct.Struct("<IHHHHHHIIIHHHHHII")
@@ -207,57 +210,75 @@ def mark_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
     known = rows.select("page_id", "size", "digest").where((F.col("size") >= least) & F.col("page_id").isNotNull())
-    copies = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = known.join(copies, "digest").where("page_id <> refers_to").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
+    copies = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))  # a payload may be that of a third of all rows
+    later = salted.join(copies, ["digest", "salt"]).where("page_id <> refers_to").groupBy("page_id", "digest").agg(F.min("refers_to").alias("refers_to"))
     return rows.join(later, ["page_id", "digest"], "left").select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
-def write_packages(records: DataFrame, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
-    """(records, body): packages of about package_bytes of payload each."""
+def filled(batches: Iterator[pa.RecordBatch], package_bytes: int, zip64: bool) -> Iterator[tuple[int, bytes]]:
+    """(records, package) of rows in turn, about package_bytes of payload each."""
+    rows, held = [], 0
+    for b in batches:
+        for start in range(0, b.num_rows, 64):
+            for row in zip(*(c.to_pylist() for c in b.slice(start, 64).columns), strict=True):
+                rows.append(row)
+                held += len(row[2] or b"") + 500
+                if held >= package_bytes:
+                    yield len(rows), build(rows, zip64)
+                    rows, held = [], 0
+    if rows:
+        yield len(rows), build(rows, zip64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([build(rows, zip64)], pa.binary())], names=["records", "body"])
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a folder or file is in, local or not, and its path there."""
+    return fs.FileSystem.from_uri(f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
-        for b in batches:
-            for start in range(0, b.num_rows, 64):
-                for row in zip(*(c.to_pylist() for c in b.slice(start, 64).columns), strict=True):
-                    rows.append(row)
-                    held += len(row[2] or b"") + 500
-                    if held >= package_bytes:
-                        yield flush()
-                        rows, held = [], 0
-        if rows:
-            yield flush()
 
-    return records.select("page_id", "url", "payload", "size", "digest", "refers_to").mapInArrow(run, "records long, body binary")
+def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
+    """(records, path, bytes): packages written as files to a folder that all executors share. A task that runs again writes files of other names, and only the last's are returned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, body in filled(batches, package_bytes, zip64):
+            path = f"{folder}/{uuid.uuid4().hex}.wacz"
+            system, at = file_system(path)
+            system.create_dir(at.rsplit("/", 1)[0])
+            with system.open_output_stream(at) as out:
+                out.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([path]), pa.array([len(body)], pa.int64())], names=["records", "path", "bytes"])
+
+    return records.select("page_id", "url", "payload", "size", "digest", "refers_to").mapInArrow(run, "records long, path string, bytes long")
 
 
 READ = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def read_packages(packages: DataFrame, body_col: str = "body", with_payload: bool = True) -> DataFrame:
-    """A row a record of packages held in a binary column, such as `content` of spark.read.format('binaryFile')."""
+def read_packages(packages: DataFrame, path_col: str = "path", with_payload: bool = True) -> DataFrame:
+    """A row a record of package files. Of a file its end, its directory, its index and each record are read by range; it is never held as a whole, whatever its size."""
     schema = READ if with_payload else READ.remove(READ.get_field_index("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                some = []
-                for row in read(Package.of_bytes(b.column(0)[k].as_py())):
-                    some.append({n: row[n] for n in schema.names})
-                    if len(some) == 512:
+            for path in b.column(0).to_pylist():
+                system, at = file_system(path)
+                with system.open_input_file(at) as held:
+                    some = []
+                    for row in read(Package(lambda start, n, held=held: held.read_at(n, start), held.size())):
+                        some.append({n: row[n] for n in schema.names})
+                        if len(some) == 512:
+                            yield pa.RecordBatch.from_pylist(some, schema)
+                            some = []
+                    if some:
                         yield pa.RecordBatch.from_pylist(some, schema)
-                        some = []
-                if some:
-                    yield pa.RecordBatch.from_pylist(some, schema)
 
     body = ", payload binary" if with_payload else ""
-    return packages.select(body_col).mapInArrow(run, f"page_id long, record_type string{body}, payload_bytes long, payload_digest string, refers_to long, offset long, length long")
+    return packages.select(path_col).mapInArrow(run, f"page_id long, record_type string{body}, payload_bytes long, payload_digest string, refers_to long, offset long, length long")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Pages written as packages to the shared folder, read back from there."""
-    return read_packages(written(write_packages(mark_revisits(pages, least)), "packages", "none"), with_payload=False)
+    """Pages written as package files to the shared folder, with ZIP64 directories as large packages have them, and read back from there by ranges."""
+    spark = pages.sparkSession
+    packages = written(write_packages(mark_revisits(pages, least), table_path(spark, "wacz"), zip64=True), "packages")
+    parts = max(spark.sparkContext.defaultParallelism, packages.count() // 8)
+    return read_packages(packages.repartition(parts, "path"), with_payload=False)

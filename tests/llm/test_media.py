@@ -127,3 +127,51 @@ def test_payload_crc_is_of_the_last_bytes(spark):
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id = 0").collect()[0].text
     payload = ogg.padded(text.encode())
     assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
+def test_package_files(spark, tmp_path):
+    rows = [(i, "u", f"<p>{i}</p>" * 400) for i in range(300)]
+    marked = zipwarc.mark_revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    files = zipwarc.write_packages(marked, f"file:{tmp_path}/w", package_bytes=100_000, zip64=True).collect()
+    assert sum(r.records for r in files) == 300 and len(files) > 6
+    back = zipwarc.read_packages(spark.createDataFrame(files)).collect()
+    assert {r.page_id: r.payload.decode() for r in back} == {r[0]: r[2] for r in rows}
+    asked = []
+    raw = (tmp_path / "w" / files[0].path.rsplit("/", 1)[1]).read_bytes()
+    assert len(list(zipwarc.read(zipwarc.Package(lambda s, n: asked.append(n) or raw[s : s + n], len(raw))))) == files[0].records
+    assert max(asked[4:]) < len(raw)  # beyond the directories, an index and single records
+
+
+def test_ogg_times():
+    media = ogg.encode(random.Random(2).randbytes(576 * 171 + 5))
+    d = ogg.decode(media)
+    assert {c for c, _, _ in d.times} == {0, 1}
+    assert all(s == ((n - 1) * 2 + c + 1) * ogg.FRAME / ogg.RATE for c, n, s in d.times)
+    assert max(s for _, _, s in d.times) == d.seconds
+    streams = ogg.read(media)
+    s = next(iter(streams.values()))
+    assert ogg.packet_times(s, 0, 2, ogg.FRAME, ogg.RATE) == [(2 * i + 1) * ogg.FRAME / ogg.RATE for i in range(len(s.packets) - 1)]
+    s.granules[-1] -= 576
+    with pytest.raises(ogg.OggError):
+        ogg.packet_times(s, 0, 2, ogg.FRAME, ogg.RATE)
+    with pytest.raises(ogg.OggError):  # a page that goes back in time
+        ogg.read(b"".join(p for _, p in ogg.write_stream([b"a", b"x" * 66_000, b"y" * 66_000], [0, 20, 10], 1)))
+
+
+def test_ogg_query(spark):
+    """The whole query against texts, bytes and samples counted by hand."""
+    from binomia.llm.q_ogg import op10_ogg
+
+    folder = "/root/testdata/sf0.001"
+    rows = {r.doc_id: r for r in op10_ogg(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        r, data = rows[d.doc_id], (d.text or "").encode()
+        x = data + b"\xff" * (-len(data) % 576 if data else 576)
+        media = ogg.encode(data)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:], strict=False))
+        pages = media.count(b"OggS\0")
+        feature = f"ms={round(len(x) / 8)};streams=2;pages={pages};sum={sum(x)};energy={sum(b * b for b in x)};peak={max(x)};crossings={crossings}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(data), len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), feature)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
