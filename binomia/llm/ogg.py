@@ -3,7 +3,7 @@
 `to_ogg` turns a text column into an Ogg file per row (two logical streams of 8-bit samples,
 one channel each, frames dealt in turn). `read_ogg` verifies every page's checksum, reassembles
 packets from lacing values across pages, demultiplexes the streams by serial number and derives
-times from granule positions.
+the times of pages and packets from granule positions, each of which must agree with the samples that have ended there.
 
 Cases: a null or empty text is one frame of padding; a page that fails its checksum, a gap in page
 numbers or a missing capture pattern raises OggError; equal texts give equal files.
@@ -98,6 +98,7 @@ class Stream:
     serial: int
     packets: list[bytes] = field(default_factory=list)
     granules: list[int] = field(default_factory=list)  # of pages that end a packet
+    ends: list[int] = field(default_factory=list)  # packets complete at the end of each of these pages
     pages: int = 0
     ended: bool = False
     open: list[bytes] | None = None
@@ -136,7 +137,12 @@ def read(media: bytes) -> dict[int, Stream]:
                 parts, pos, length = [], pos + length, 0
         s.open = [*parts, page[pos : pos + length]] if count and lacing[-1] == 255 else None
         if len(s.packets) > before:
+            if granule < 0 or (s.granules and granule < s.granules[-1]):
+                raise OggError(f"granule position of page {number} of stream {serial}")
             s.granules.append(granule)
+            s.ends.append(len(s.packets))
+        elif granule != -1:
+            raise OggError(f"page {number} of stream {serial} ends no packet, but has a granule position")
         s.pages += 1
         s.ended = bool(flags & LAST)
         at += size
@@ -153,6 +159,18 @@ class Decoded:
     seconds: float
     pages: int
     streams: int
+    times: list[tuple[int, int, float]]  # (stream, packets complete, seconds at the end) of each page that ends a packet
+
+
+def packet_times(stream: Stream, channel: int, channels: int, frame: int, rate: int) -> list[float]:
+    """Seconds at the end of each packet of frames, which channels take in turn: those that end a page by its granule position, which must agree, others by counting on from there."""
+    out: list[float] = []
+    for granule, end in zip(stream.granules, stream.ends, strict=True):
+        place = ((end - 2) * channels + channel + 1) * frame if end > 1 else 0  # the first packet is the head, at 0
+        if granule != place:
+            raise OggError(f"granule position {granule} of stream {stream.serial} where {place} samples have ended")
+        out += [(granule - (end - 1 - k) * channels * frame) / rate for k in range(len(out) + 1, end)]
+    return out
 
 
 def decode(media: bytes) -> Decoded:
@@ -162,14 +180,17 @@ def decode(media: bytes) -> Decoded:
     if not heads or any(h[0] != _MAGIC or h[2] != len(streams) for h in heads):
         raise OggError("another codec")
     frames: list[bytes] = [b""] * sum(len(s.packets) - 1 for s in streams)
+    _, _, _, frame, rate, n_bytes = heads[0]
+    times = []
     for h, s in zip(heads, streams, strict=True):
         frames[h[1] :: len(streams)] = s.packets[1:]
-    _, _, _, frame, rate, n_bytes = heads[0]
+        ended = packet_times(s, h[1], len(streams), frame, rate)
+        times += [(h[1], e - 1, ended[e - 2]) for e in s.ends if e > 1]
     last = max(s.granules[-1] for s in streams)
     payload = b"".join(frames)
     if last != len(payload) or len(payload) % frame:
         raise OggError("granule positions differ from the samples read")
-    return Decoded(payload, n_bytes, rate, last / rate, sum(s.pages for s in streams), len(streams))
+    return Decoded(payload, n_bytes, rate, last / rate, sum(s.pages for s in streams), len(streams), times)
 
 
 def features(d: Decoded) -> str:
@@ -198,9 +219,13 @@ def to_ogg(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def read_ogg(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
-    """(id, n_bytes, payload, media_bytes, media_sha256, seconds, feature) of each Ogg file; raises on an unsound one."""
+    """(id, n_bytes, payload, media_bytes, media_sha256, seconds, page_ends, feature) of each Ogg file; raises on an unsound one.
+
+    page_ends: (stream, packets, seconds) of each page that ends a packet: frames read of its stream so far, and the time they end.
+    """
     src = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("m"))
     kind = src.schema["id"].dataType.simpleString()
+    ends = pa.list_(pa.struct([("stream", pa.int32()), ("packets", pa.int32()), ("seconds", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,9 +234,9 @@ def read_ogg(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
                 media = part.column(1).to_pylist()
                 got = [decode(m) for m in media]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d.n_bytes for d in got], pa.int64()), pa.array([d.payload for d in got], pa.binary()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([d.seconds for d in got], pa.float64()), pa.array([features(d) for d in got])],
-                    names=["id", "n_bytes", "payload", "media_bytes", "media_sha256", "seconds", "feature"],
+                    [part.column(0), pa.array([d.n_bytes for d in got], pa.int64()), pa.array([d.payload for d in got], pa.binary()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([d.seconds for d in got], pa.float64()), pa.array([[dict(zip(("stream", "packets", "seconds"), t, strict=True)) for t in d.times] for d in got], ends), pa.array([features(d) for d in got])],
+                    names=["id", "n_bytes", "payload", "media_bytes", "media_sha256", "seconds", "page_ends", "feature"],
                 )
 
-    out = f"id {kind}, n_bytes long, payload binary, media_bytes long, media_sha256 string, seconds double, feature string"
+    out = f"id {kind}, n_bytes long, payload binary, media_bytes long, media_sha256 string, seconds double, page_ends array<struct<stream:int,packets:int,seconds:double>>, feature string"
     return src.mapInArrow(run, out).withColumnRenamed("id", id_col)
