@@ -10,7 +10,8 @@ unexpanded nodes with the graph and the vectors, and it ends when none is left.
 node, another at a bounded sample of nodes.
 
 Cases: null, zero, and vectors with null or non-finite components or of another length than the most common one take
-no part, as rows or queries; ties go to the smaller id; repeated ids keep their smallest vector; with fewer candidates than asked all found are
+no part, as rows or queries; ties go to the smaller id; a repeated id's rows are all candidates, for other
+ids, and all queries; an id is given once, where it is nearest; with fewer candidates than asked all found are
 returned; an empty table gives an empty result. Other columns are left out.
 """
 
@@ -31,7 +32,6 @@ LEAF_CUT = 256
 ROUNDS = 6
 PART_NODES = 4096
 BEAM = 256
-STEPS = 12
 ENTRIES = 256
 
 
@@ -40,7 +40,7 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     fit = F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
     fit &= F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    v = v.where(fit).groupBy("id").agg(F.min("vec").alias("vec"))
+    v = v.where(fit)
     common = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return v.where(F.size("vec") == (common[0] if common else 0))
 
@@ -168,7 +168,7 @@ def build_graph(nodes: DataFrame, k: int = K, trees: int = TREES, rounds: int =
     return edges.select("a", "b", "d")
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = BEAM) -> DataFrame:
     """(query, node, d): the beam of each query. queries: (query, start node or null, vec)."""
     spark = nodes.sparkSession
     both = edges.select("a", "b", "d").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).groupBy("a", "b").agg(F.min("d").alias("d"))
@@ -192,7 +192,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = B
     own = asked.where("start is not null").select("query", F.col("start").alias("node"))
     other = asked.where("start is null").select("query").crossJoin(F.broadcast(entries)).select("query", F.col("entry").alias("node"))  # ENTRIES rows on the right
     state = written(measured(own.unionByName(other)).withColumn("done", F.lit(False)), "ann-beam")
-    for _ in range(steps):
+    while state.where(~F.col("done")).take(1):  # each step expands every open node, and a beam only gets nearer, so this ends
         front = state.where(~F.col("done")).select("query", "node")
         seen = state.select("query", "node")
         steps_on = front.join(graph, "node").select("query", F.explode("near").alias("node")).distinct().join(seen, ["query", "node"], "left_anti")
@@ -200,25 +200,29 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, beam: int = B
         after = written(grown.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= beam).drop("r"), "ann-beam")
         drop_written(state)
         state = after
-        if not state.where(~F.col("done")).take(1):
-            break
     return state.select("query", "node", "d")
 
 
 def nearest_neighbours(df: DataFrame, id_col: str, vec_col: str, is_query, k: int = 10) -> DataFrame:
     """(query_id, rank, id, score): the k nearest other rows of each row for which the column is_query(id) holds."""
     rows = written(valid_vectors(df, id_col, vec_col), "ann-rows")
-    group = rows.groupBy("vec").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    group = rows.groupBy("vec").agg(F.min("id").alias("least"))
+    # a vector's node is its smallest id, and its hash where that id has other vectors too
+    firsts = group.groupBy("least").agg(F.min("vec").alias("first")).withColumnRenamed("least", "of")
+    node = F.when(F.col("vec") == F.col("first"), F.col("least")).otherwise(F.xxhash64("vec"))
+    group = written(group.join(firsts, group["least"] == firsts["of"]).select("vec", node.alias("node")), "ann-groups")
     nodes = written(group.select(F.col("node").alias("id"), "vec"), "ann-nodes")
     kind = np.float32 if df.schema[vec_col].dataType.elementType.typeName() == "float" else np.float64
     edges = build_graph(nodes, kind=kind)
-    members = rows.join(group.where("n > 1").select("vec", "node"), "vec").select("node", "id")
-    few = Window.partitionBy("node").orderBy("id")
-    members = written(members.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-members")
+    # the k + 1 smallest ids of each vector: Spark cuts a common vector's rows to these before the shuffle
+    few = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= k + 1)
+    members = written(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(group, "vec").select("node", "ids"), "ann-members")
     asked = rows.where(is_query(F.col("id"))).join(group.select("vec", "node"), "vec").select(F.col("id").alias("query"), F.col("node").alias("start"), "vec")
     # equal queries are searched once, under their node
     found = search(asked.select(F.col("start").alias("query"), "start", "vec").distinct(), nodes, edges)
-    hits = asked.select(F.col("query").alias("query_id"), F.col("start").alias("query")).join(found, "query").join(members, "node", "left")
-    each = hits.select("query_id", F.explode(F.coalesce("ids", F.array("node"))).alias("id"), "d").where("id <> query_id")
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id"))).where(F.col("rank") <= k)
+    each = found.join(members, "node").select("query", F.explode("ids").alias("id"), "d").groupBy("query", "id").agg(F.min("d").alias("d"))
+    best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy("d", "id"))
+    near = each.withColumn("rank", best("query")).where(F.col("rank") <= k + 1).drop("rank")
+    hits = asked.select(F.col("query").alias("query_id"), F.col("start").alias("query")).join(near, "query").where("id <> query_id").groupBy("query_id", "id").agg(F.min("d").alias("d"))
+    ranked = hits.withColumn("rank", best("query_id")).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), F.col("d").alias("score"))
