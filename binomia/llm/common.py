@@ -17,13 +17,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (as in tests) a new one is set."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, on one machine (as in tests) a new one is set; on a cluster it must be set."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         held = jsc.getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="binomia-")
         spark.sparkContext.setCheckpointDir(found)
         held = jsc.getCheckpointDir()

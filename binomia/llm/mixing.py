@@ -7,7 +7,8 @@ that all shards together meet every quota. A source's j-th slot takes block perm
 keyed Feistel permutation of the block numbers, and slots join blocks by that index. A text's share of the
 mix is the words of its blocks that were drawn.
 
-Only a row a source and a count a (shard, source) reach the driver: at most MAX_SHARDS * MAX_SOURCES, checked.
+Only a row a source and a count a (shard, source) reach the driver; there are fewer shards where sources are many, so
+that the counts stay within MAX_COUNTS, or one a source.
 
 Cases: a null or empty text has no words and nothing taken; a null source is a source, the last in order; a null id
 is a value like any other; rows that repeat are told apart by their place in the stream; an empty table gives an
@@ -29,7 +30,8 @@ from binomia.llm.common import WORD_RX, written
 BLOCK = 64
 SHARD_SLOTS = 1 << 16
 MAX_SHARDS = 4096
-MAX_SOURCES = 10_000
+MAX_COUNTS = 1 << 22
+FEW_SOURCES = 50_000  # a broadcast's bound
 BUCKET_ROWS = 20_000
 SEED = 20_240_501
 
@@ -40,7 +42,7 @@ def targets(sizes: list[int], weights: list[float], share: float, repeats: float
     free = [i for i, n in enumerate(sizes) if n]
     while free:
         whole = sum(weights[i] for i in free)
-        above = [i for i in free if left * weights[i] / whole > repeats * sizes[i]]
+        above = {i for i in free if left * weights[i] / whole > repeats * sizes[i]}
         if not above:
             for i in free:
                 out[i] = left * weights[i] / whole
@@ -48,7 +50,7 @@ def targets(sizes: list[int], weights: list[float], share: float, repeats: float
         for i in above:
             out[i] = repeats * sizes[i]
         left -= sum(out[i] for i in above)
-        free = [i for i in free if i not in set(above)]
+        free = [i for i in free if i not in above]
     return out
 
 
@@ -99,15 +101,13 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
         df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text).alias("th"), F.regexp_count(text, F.lit(WORD_RX)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")),
         "mix-rows",
     )
-    by_source = rows.groupBy("source").agg(F.sum("size"), F.count("*")).orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    by_source = rows.groupBy("source").agg(F.sum("size"), F.count("*")).orderBy(F.asc_nulls_last("source")).collect()
     sizes = [r[1] for r in by_source]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, repeats)
     lengths = [block_length(n, block) for n in sizes]
     blocks = [-(-n // b) for n, b in zip(sizes, lengths, strict=True)]
     quotas = np.array([min(repeats * k, round(t * k / n)) if n else 0 for n, k, t in zip(sizes, blocks, aims, strict=True)], np.int64)
-    shards = int(min(MAX_SHARDS, max(1, -(-int(quotas.sum()) // SHARD_SLOTS))))
+    shards = int(max(1, min(MAX_SHARDS, -(-int(quotas.sum()) // SHARD_SLOTS), MAX_COUNTS // max(1, len(sizes)))))
     counts = draw(quotas, shards, SEED)
     firsts = np.cumsum(counts, axis=0) - counts
     jobs = [(k, s, int(firsts[k, s]), int(counts[k, s]), blocks[s]) for k in range(shards) for s in range(len(sizes)) if counts[k, s]]
@@ -136,7 +136,8 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
     known = info.withColumnRenamed("source", "name")
     n_rows = sum(r[2] for r in by_source)
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    placed = rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["name"])).drop("source", "name", "one").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "id", "th", F.when(F.col("size") == 0, F.col("row"))), F.lit(buckets)))
+    known = F.broadcast(known) if len(sizes) <= FEW_SOURCES else known
+    placed = rows.join(known, rows["source"].eqNullSafe(known["name"])).drop("source", "name", "one").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED), "id", "th", F.when(F.col("size") == 0, F.col("row"))), F.lit(buckets)))
     placed = written(placed, "mix-placed")
     per = placed.groupBy("s", "bucket").agg(F.sum("size").alias("held"))
     base = per.select("s", "bucket", (F.sum("held").over(Window.partitionBy("s").orderBy("bucket")) - F.col("held")).alias("base"))
@@ -154,16 +155,20 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: tup
 
 
 def mixed_texts(df: DataFrame, text_col: str, source_col: str, **options) -> DataFrame:
-    """df's rows as the mix takes them: a text once for each pass it is drawn in, with its drawn words; whole texts stay as they are."""
-    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    """df's rows as the mix takes them: a text once for each pass it is drawn in, with its drawn words; whole texts stay as they are.
+
+    Texts without words, null ones too, aren't drawn and go; repeated rows are drawn each; columns of any name pass through; an empty table gives an empty result.
+    """
     columns = df.columns
-    out = mix(rows, "_row", text_col, source_col, **options).where("taken > 0").select("_row", "size", "taken", "drawn")
+    rows = written(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("held")), "mix-texts")
+    own = rows.select("row", F.col("held")[text_col].alias("text"), F.col("held")[source_col].alias("source"))
+    out = mix(own, "row", "text", "source", **options).where("taken > 0").select("row", "size", "taken", "drawn")
     whole = F.transform(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")), lambda _: F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))))
     pieces = F.transform(F.sequence(F.lit(1), F.array_max(F.col("drawn.copies")).cast("int")), lambda k: F.transform(F.filter("drawn", lambda p: p["copies"] >= k), lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"))))
-    passes = out.select("_row", "size", F.explode(F.when(F.col("drawn").isNull(), whole).otherwise(pieces)).alias("ranges"))
-    joined = rows.join(passes, "_row")
-    words = F.regexp_extract_all(text_col, F.lit(f"({WORD_RX})"), F.lit(1))
-    taken = F.array_join(F.transform("ranges", lambda p: F.array_join(F.slice(F.col("_words"), (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")), " ")), " ")
+    passes = out.select("row", "size", F.explode(F.when(F.col("drawn").isNull(), whole).otherwise(pieces)).alias("ranges"))
     entire = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, p: n + p["stop"] - p["start"]) == F.col("size")
-    joined = joined.withColumn("_entire", entire).withColumn("_words", F.when(~F.col("_entire"), words))
-    return joined.select(*(F.when(F.col("_entire"), F.col(c)).otherwise(taken).alias(c) if c == text_col else F.col(c) for c in columns))
+    joined = rows.join(passes, "row").withColumn("entire", entire)
+    joined = joined.withColumn("words", F.when(~F.col("entire"), F.regexp_extract_all(F.col("held")[text_col], F.lit(f"({WORD_RX})"), F.lit(1))))
+    taken = F.array_join(F.transform("ranges", lambda p: F.array_join(F.slice(F.col("words"), (p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")), " ")), " ")
+    text = F.when(F.col("entire"), F.col("held")[text_col]).otherwise(taken)
+    return joined.select(*((text if c == text_col else F.col("held")[c]).alias(c) for c in columns))
