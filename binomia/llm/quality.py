@@ -1,17 +1,18 @@
 """Quality classifier: overlapping heuristic labellers, their accuracies by expectation-maximisation, a hashed linear scorer.
 
-Four faults - noise, repetition, insults, slurs - each have labellers that vote bad (1), good (0) or abstain (2). A labeller
-looks at shares of signs, capitals and table bars, at repeated words, word pairs and lines, at a word list, at word
-beginnings that toxic labelled texts have far more often than others, or at a person's label. Votes are counted by
-pattern over all texts - at most 3 ** labellers patterns, whatever the input - and EM on these counts estimates the
-prior and each labeller's accuracy (a person's is set); the posterior of each pattern is the label that trains the
-scorer, the first two together as junk, the others as toxic. Its features are hashed words, word beginnings and endings, and shares
-of the text by steps, over the whole text. Only the scorer decides.
+Three faults - noise, repetition, toxic words - each have labellers that vote bad (1), good (0) or abstain (2). A labeller
+looks at shares of signs, capitals and table bars, at repeated words, word pairs and lines, at a short word list, at word
+beginnings that toxic labelled texts have far more often than others - two labellers, each taught by its own half of the
+labelled texts -, or is a person's label. Votes are counted by pattern over all texts - at most 3 ** labellers patterns, whatever
+the input - and EM on these counts estimates the prior and each labeller's accuracy, the person's too; the posterior of each
+pattern is the label that trains the scorer, the first two faults together as junk, the third as toxic. Its features are the presence of
+hashed words, word beginnings and endings, and shares of the text by steps, over the whole text. Only the scorer decides.
 
 Two steps use a sample of a bounded size, by a hash of id and text: the word beginnings (`labelled_rows` labelled
-texts) and the scorer's training (`train_rows` texts). Counting votes and scoring cover every row.
+texts) and the scorer's training (`train_rows` texts: a third each of those with a posterior of junk, of toxic, and the rest, or all of
+them where they are fewer; the scorer's bias is set right for the shares taken). Counting votes and scoring cover every row.
 
-Cases: a null or empty text has no features and the bias's score, and is kept; repeated rows count each; a null id has no
+Cases: a null or empty text has no features and the bias's score, and is kept; repeated rows count each in votes, and once in training; a null id has no
 label; no labels at all leave the labellers by labels silent; an empty table gives an empty result. Columns come back
 as they were; the names of the added ones are parameters' defaults and replace columns of that name.
 """
@@ -30,11 +31,14 @@ from binomia.llm.words import _BYTES, _power, mixed, word_spans
 
 TASKS = ("junk", "toxic")
 VOTES = 10
+HALVES = 2
+LEAST_TEXTS, RATIO = 3, 12
+LONG = 200
 BITS = 18
 BYTES = 1 << 19
 LABELLED_ROWS = 20_000
 TRAIN_ROWS = 16_000
-TRAIN_PARTS = 4
+PART_ROWS = 8_000
 STEMS = (5, 7)
 ABSTAIN = 2
 #: English insults of the toxic word list. Fixed values.
@@ -84,6 +88,10 @@ class Words:
             stop -= more
         return self.keys(self.start, stop)
 
+    def signs(self) -> list[np.ndarray]:
+        """What toxic words are known by: their beginnings, and the whole word without signs at its end."""
+        return [*(self.stem(k) for k in STEMS), self.core()]
+
     def features(self) -> np.ndarray:
         """Four hashed features a word: the word without signs at its end, two beginnings, its ending."""
         end = self.keys(np.maximum(self.start, self.stop - 3), self.stop)
@@ -133,13 +141,14 @@ def _three(x: np.ndarray, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.where(bad, 1, np.where(good, 0, ABSTAIN)).astype(np.int8)
 
 
-def votes(w: Words, stems: np.ndarray) -> np.ndarray:
-    """A row a text: four labellers of noise, three of repetition, three of toxic text. stems: sorted keys of toxic word beginnings."""
+def votes(w: Words, stems: list[np.ndarray]) -> np.ndarray:
+    """A row a text: four labellers of noise, three of repetition, three of toxic text. stems: sorted keys of toxic word beginnings, of each half."""
     n = np.diff(w.before)
     sign, capital, ends, bars = w.shares()
     distinct, pairs, again = w.repetition()
-    hits = w.per_text(np.isin(w.core(), _INSULT_KEYS))
-    odd = sum(w.per_text(np.isin(w.stem(k), stems)) for k in STEMS)
+    signs = w.signs()
+    hits = w.per_text(np.isin(signs[-1], _INSULT_KEYS))
+    odd = [w.per_text(np.logical_or.reduce([np.isin(x, own) for x in signs])) for own in stems]
     some = n >= 10
     return np.stack(
         [
@@ -151,8 +160,7 @@ def votes(w: Words, stems: np.ndarray) -> np.ndarray:
             _three(pairs, some & (pairs < 0.45), some & (pairs > 0.6)),
             _three(again, some & (again > 0.3), some & (again < 0.1)),
             _three(hits, hits >= 1, hits == 0),
-            _three(hits, hits >= 2, hits == 0),
-            _three(odd, odd >= 2, odd == 0),
+            *(_three(x, x >= 2, x == 0) if len(own) else np.full(len(n), ABSTAIN, np.int8) for x, own in zip(odd, stems, strict=True)),
         ],
         1,
     ).reshape(-1, VOTES)
@@ -160,9 +168,9 @@ def votes(w: Words, stems: np.ndarray) -> np.ndarray:
 
 _INSULT_KEYS = _key_of(INSULTS)
 #: Of each fault, its labellers' places among the votes and, last, the person's.
-FAULTS = {"noise": (0, 1, 2, 3, 10), "repetition": (4, 5, 6, 10), "insult": (7, 8, 11), "slur": (9, 11)}
-#: How often a person's label, where there is one, is bad: of good texts, of bad texts.
-PERSON = (0.02, 0.85)
+FAULTS = {"noise": (0, 1, 2, 3, 10), "repetition": (4, 5, 6, 10), "toxic": (7, 8, 9, 11)}
+#: What is thought of a person before their labels are seen: how many of so many labels are bad, of good texts and of bad texts.
+PERSON, PERSON_LABELS = (0.02, 0.85), 50
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
@@ -179,10 +187,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
         prior = float(np.clip((counts * p).sum() / max(counts.sum(), 1), 1e-4, 0.6))
         for c, q in ((1, p), (0, 1 - p)):
             for j in range(m):
-                table[j, c] = np.bincount(patterns[:, j], weights=counts * q, minlength=3) + (0.5, 0.5, 0.0)
+                before = (0.5, 0.5, 0.0) if j < m - 1 else (PERSON_LABELS * (1 - PERSON[c]), PERSON_LABELS * PERSON[c], 0.0)  # the last is the person
+                table[j, c] = np.bincount(patterns[:, j], weights=counts * q, minlength=3) + before
                 table[j, c] /= table[j, c, :2].sum()
             table[:, c, ABSTAIN] = 1  # which says nothing
-            table[-1, c, :2] = 1 - PERSON[c], PERSON[c]  # the last is the person
         score = np.log(prior / (1 - prior)) + sum(np.log(table[j, 1][patterns[:, j]] / table[j, 0][patterns[:, j]]) for j in range(m))
         p = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         if np.abs(p - was).max() < 1e-9:
@@ -190,15 +198,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     return prior, table, p
 
 
-def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, rate: float = 0.5, l1: float = 1e-3, seed: int = 1) -> np.ndarray:
+def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, rate: float = 0.5, l1: float = 2e-3, seed: int = 1) -> np.ndarray:
     """Weights and, last, the bias of a logistic scorer by AdaGrad with an L1 penalty, the mean of the later epochs.
 
-    target: probability of bad; a text counts as much as its label is sure. Features of a single text stay out.
+    target: probability of bad; a text counts as much as its label is sure. Features of fewer than LEAST_TEXTS texts stay out.
     """
     found = np.zeros(2**BITS, np.int64)
     for idx, _ in features:
         found[idx] += 1
-    live = found >= 2
+    live = found >= LEAST_TEXTS
     rows = [(idx[live[idx]], held[live[idx]]) for idx, held in features]
     w, g, mean = np.zeros(2**BITS + 1), np.full(2**BITS + 1, 1e-2), np.zeros(2**BITS + 1)
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -219,15 +227,25 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epo
     return mean
 
 
+def _damped(words: np.ndarray) -> np.ndarray:
+    """What a word feature counts in a text of so many words: less in long ones, which have more of any feature by chance."""
+    return 1 / np.sqrt(np.maximum(1, words / LONG))
+
+
 def _bag(f: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    idx, n = np.unique(f.ravel(), return_counts=True)
-    return np.append(idx, whole), np.append(n / np.sqrt(max(len(f), 1)), np.ones(len(whole)))
+    idx = np.unique(f.ravel())
+    return np.append(idx, whole), np.append(np.full(len(idx), _damped(np.array(len(f)))), np.ones(len(whole)))
 
 
 def linear(w: Words, weights: np.ndarray) -> np.ndarray:
-    """Log-odds of bad of each text; weights: of one task."""
-    n = np.diff(w.before)
-    return w.per_text(weights[:-1][w.features()].sum(1)) / np.sqrt(np.maximum(n, 1)) + weights[:-1][w.text_features()].sum(1) + weights[-1]
+    """Log-odds of bad of each text; weights: of one task. A feature counts once a text; most have no weight."""
+    texts = len(w.before) - 1
+    slots = w.features()
+    at, _ = np.nonzero(weights[:-1][slots])
+    held = slots[weights[:-1][slots] != 0]
+    text = np.repeat(np.arange(texts), np.diff(w.before))[at]
+    once = np.unique(text.astype(np.int64) << BITS | held)
+    return np.bincount(once >> BITS, weights=weights[:-1][once & ((1 << BITS) - 1)], minlength=texts) * _damped(np.diff(w.before)) + weights[:-1][w.text_features()].sum(1) + weights[-1]
 
 
 def _sampled(df: DataFrame, rows: int) -> DataFrame:
@@ -239,14 +257,14 @@ def _sampled(df: DataFrame, rows: int) -> DataFrame:
 
 
 class Model:
-    """stems, EM's results by task, and the scorer's weights by task."""
+    """stems by half, EM's results by fault, and the scorer's weights by task."""
 
-    def __init__(self, stems: np.ndarray, tasks: dict, weights: np.ndarray) -> None:
+    def __init__(self, stems: list[np.ndarray], tasks: dict, weights: np.ndarray) -> None:
         self.stems, self.tasks, self.weights = stems, tasks, weights
 
 
 def toxic_stems(labelled: DataFrame) -> np.ndarray:
-    """Keys of word beginnings that toxic texts have, by label, far more often than others. labelled: (t, toxic), of bounded size."""
+    """Keys of words and word beginnings that toxic texts have, by label, far more often than others. labelled: (t, toxic), of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,7 +272,7 @@ def toxic_stems(labelled: DataFrame) -> np.ndarray:
             toxic = b.column(1).to_numpy(zero_copy_only=False)
             w = Words(body, at)
             text = np.repeat(np.arange(b.num_rows), np.diff(w.before))
-            text, stem = np.tile(text, len(STEMS)), np.concatenate([w.stem(k) for k in STEMS])
+            text, stem = np.tile(text, len(STEMS) + 1), np.concatenate(w.signs())
             order = np.lexsort((stem, text))
             t, k = text[order], stem[order]
             new = np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))[: len(t)]
@@ -267,7 +285,7 @@ def toxic_stems(labelled: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sums = labelled.select("t", "toxic").mapInArrow(run, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     ratio = (F.col("bad") / n_bad) / ((F.col("good") + 0.5) / n_good)
-    rows = sums.where((F.col("bad") >= 5) & (ratio > 12)).select("stem").collect()  # of a bounded sample
+    rows = sums.where((F.col("bad") >= LEAST_TEXTS) & (ratio > RATIO)).select("stem").collect()  # of a bounded sample
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
 
@@ -279,21 +297,23 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
         labels = spark.createDataFrame([], f"{label_id} {docs.schema['id'].dataType.simpleString()}, quality int, toxic int")
     known = labels.groupBy(F.col(label_id).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).where("id is not null")
     few = _sampled(known.withColumn("t", F.lit("")), labelled_rows).drop("t")
-    labelled = written(docs.join(F.broadcast(few), "id").select("t", "toxic").where("toxic is not null"), "labelled")  # few: labelled_rows rows at most
-    stems = toxic_stems(labelled)
+    labelled = written(docs.join(F.broadcast(few), "id").select("t", "toxic", F.pmod(F.xxhash64(F.lit(5), "t"), F.lit(HALVES)).alias("half")).where("toxic is not null"), "labelled")  # few: labelled_rows rows at most
+    stems = [toxic_stems(labelled.where(F.col("half") == h)) for h in range(HALVES)]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, at = utf8(b.column(1))
             for i, j in spans(at, BYTES):
                 v = votes(Words(body[at[i] : at[j]], at[i : j + 1] - at[i]), stems)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array((v * 3 ** np.arange(v.shape[1])).sum(1).astype(np.int32))], names=["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array((v * 3 ** np.arange(v.shape[1])).sum(1).astype(np.int32))], names=["id", "key", "pattern"])
             release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    said = docs.mapInArrow(vote, f"id {kind}, pattern int").join(known, "id", "left")
+    key = F.xxhash64(F.lit(3), "id", F.coalesce("t", F.lit("")))
     by_person = F.when(F.col("quality").isNull(), ABSTAIN).otherwise((F.col("quality") < 1).cast("int")), F.when(F.col("toxic").isNull(), ABSTAIN).otherwise((F.col("toxic") > 0).cast("int"))
-    counted = said.groupBy("pattern", by_person[0].alias("q"), by_person[1].alias("x")).agg(F.count("*").alias("n")).collect()  # 3 ** 12 at most
+    said = docs.withColumn("key", key).mapInArrow(vote, f"id {kind}, key long, pattern int").join(known, "id", "left")
+    said = written(said.select("key", "pattern", by_person[0].alias("q"), by_person[1].alias("x")), "votes")
+    counted = said.groupBy("pattern", "q", "x").agg(F.count("*").alias("n")).collect()  # 3 ** 12 at most
     pattern = np.array([[r[0] // 3**k % 3 for k in range(VOTES)] + [r[1], r[2]] for r in counted], np.int64).reshape(-1, VOTES + 2)
     counts = np.array([r[3] for r in counted], float)
     tasks = {}
@@ -313,14 +333,32 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
             v = np.concatenate([votes(w, stems), person[i:j]], 1).astype(int)
             p = {fault: np.array([tasks[fault]["posterior"].get(tuple(r), 0.5) for r in v[:, columns].tolist()]) for fault, columns in FAULTS.items()}
             target["junk"] += (1 - (1 - p["noise"]) * (1 - p["repetition"])).tolist()
-            target["toxic"] += (1 - (1 - p["insult"]) * (1 - p["slur"])).tolist()
-        got = [train(features, np.array(target[t])).astype(np.float32).tobytes() for t in TASKS]
+            target["toxic"] += p["toxic"].tolist()
+        got = []
+        for t in TASKS:
+            weights = train(features, np.array(target[t]))
+            weights[-1] += shift[t]
+            got.append(weights.astype(np.float32).tobytes())
         del features, target
         release()
         return pa.table({"part": table.column("part").slice(0, 1), "junk": pa.array([got[0]], pa.binary()), "toxic": pa.array([got[1]], pa.binary())})
 
-    some = _sampled(docs, train_rows).join(known, "id", "left").withColumn("part", F.pmod(F.xxhash64("id", "t"), F.lit(TRAIN_PARTS)).cast("int"))
-    fitted = some.groupBy("part").applyInArrow(fit_part, "part int, junk binary, toxic binary").collect()  # TRAIN_PARTS rows
+    # strata by posterior, and how much of each is taken
+    p_of = {fault: np.array([tasks[fault]["posterior"][tuple(r)] for r in pattern[:, columns].tolist()]) for fault, columns in FAULTS.items()}
+    bad = {"junk": 1 - (1 - p_of["noise"]) * (1 - p_of["repetition"]), "toxic": p_of["toxic"]}
+    stratum = np.where(bad["toxic"] > 0.5, 2, np.where(bad["junk"] > 0.5, 1, 0))
+    held = np.bincount(stratum, weights=counts, minlength=3)
+    rate = np.minimum(1, train_rows / 3 / np.maximum(held, 1))
+    rate[0] = min(1, (train_rows - (held * rate)[1:].sum()) / max(held[0], 1))
+    shift = {}
+    for t in TASKS:
+        was, now = counts * bad[t], counts * (1 - bad[t])
+        taken = [max((x * rate[stratum]).sum(), 1e-9) / max(x.sum(), 1e-9) for x in (was, now)]
+        shift[t] = float(np.log(taken[1] / taken[0])) if len(counts) else 0.0
+    cut = spark.createDataFrame([(*map(int, (r[0], r[1], r[2])), int((1 << 40) * rate[k])) for r, k in zip(counted, stratum, strict=True)], "pattern int, q int, x int, below long")  # 3 ** 12 at most
+    chosen = said.join(F.broadcast(cut), ["pattern", "q", "x"]).where(F.pmod("key", F.lit(1 << 40)) < F.col("below")).select("key").distinct()  # about train_rows
+    some = docs.withColumn("key", key).join(F.broadcast(chosen), "key").dropDuplicates(["key"]).join(known, "id", "left").withColumn("part", F.pmod("key", F.lit(max(1, -(-train_rows // PART_ROWS)) if counts.sum() > PART_ROWS * 2 else 1)).cast("int")).drop("key")
+    fitted = some.groupBy("part").applyInArrow(fit_part, "part int, junk binary, toxic binary").collect()  # a row a part
     fitted.sort(key=lambda r: r[0])
     if not fitted:
         return Model(stems, tasks, np.zeros((2, 2**BITS + 1), np.float32))
@@ -328,8 +366,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame | None, lab
     return Model(stems, tasks, weights)
 
 
-def classify(df: DataFrame, text_col: str, model: Model, junk_at: float = 0.5, toxic_at: float = 0.5) -> DataFrame:
-    """df with junk, toxic (probabilities) and keep."""
+def classify(df: DataFrame, text_col: str, model: Model, junk_at: float = 0.5, toxic_at: float = 0.95) -> DataFrame:
+    """df with junk_score, toxic_score (probabilities) and keep; toxic_at: high, as clean texts should stay."""
     weights = df.sparkSession.sparkContext.broadcast(model.weights)  # 2 * (2 ** BITS + 1) numbers
     extra = ["junk_score", "toxic_score", "keep"]
     columns = [c for c in df.columns if c not in extra]

@@ -280,3 +280,38 @@ def test_quality_learns_rare_words(spark):
     slurs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(700)]
     labelled = spark.createDataFrame([(f"so {w} there", 1) for w in slurs for _ in range(5)] + [("so good there", 0)] * 8000, "t string, toxic int")
     assert len(quality.toxic_stems(labelled)) >= 1300  # two beginnings a word
+
+
+def test_quality_on_labels_not_seen(spark):
+    """Half the labels teach; the others, of other texts, judge."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(4, "doc_id")
+    judged = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").join(docs, "doc_id").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))).drop("text")
+    out = quality.classify(docs, "text", quality.fit(docs, "doc_id", "text", judged.where("half = 0").drop("half"))).drop("text")
+    rows = {(r.quality, r.toxic): (r.n, r.gone) for r in judged.where("half = 1").join(out, "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("gone")).collect()}
+    share = {k: gone / n for k, (n, gone) in rows.items()}
+    assert share[1, 0] <= 0.02  # clean
+    assert share[1, 1] >= 0.8 and share[0, 0] >= 0.9
+
+
+def test_quality_posterior_is_bayes():
+    """EM's posterior is that of its own accuracies, worked out by hand."""
+    patterns, counts = np.array([[1, 1, 2], [0, 0, 2], [1, 0, 2], [0, 1, 1], [2, 2, 0], [1, 1, 1]]), np.array([50.0, 800.0, 20.0, 10.0, 100.0, 20.0])
+    prior, table, p = quality.estimate(patterns, counts)
+    for row, got in zip(patterns, p, strict=True):
+        bad, good = prior, 1 - prior
+        for j, v in enumerate(row):
+            if v != quality.ABSTAIN:
+                bad, good = bad * table[j, 1, v], good * table[j, 0, v]
+        assert math.isclose(got, bad / (bad + good), rel_tol=1e-5)
+
+
+def test_linear_is_a_sum_by_hand():
+    rng = np.random.default_rng(11)
+    weights = np.where(rng.random(2**quality.BITS + 1) < 0.01, rng.standard_normal(2**quality.BITS + 1), 0)
+    texts = ["", "a b c a b", " ".join(f"w{i % 700}" for i in range(900)), "x"]
+    raw = [t.encode() for t in texts]
+    w = quality.Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    got, f, whole = quality.linear(w, weights), w.features(), w.text_features()
+    for k, (a, b) in enumerate(zip(w.before, w.before[1:], strict=False)):
+        own = sum(weights[i] for i in set(f[a:b].ravel().tolist())) / math.sqrt(max(1, (b - a) / quality.LONG))
+        assert math.isclose(got[k], own + sum(weights[i] for i in whole[k].tolist()) + weights[-1], abs_tol=1e-9)
