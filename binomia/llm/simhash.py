@@ -4,6 +4,8 @@ With at most k differing bits, cutting the 64 bits into k // 2 + 1 segments leav
 most one bit. Each distinct fingerprint is indexed under every segment with one bit wiped out, an equality
 join brings pairs together, and the join's own condition verifies the distance, keeping a pair only under the
 one variant that is first for it, so that each link comes out once. Rows of equal fingerprint are one node.
+Such a variant has some 20 bits, so candidates grow with the square of the fingerprints; beyond DEEP of them the other bits are
+cut too, into so many pieces that one must be equal, and a variant is indexed with each: some 30 bits, for the same links.
 Components come from alternating star contractions on written tables.
 
 Cases: a null or empty text has fingerprint 0 and links like any other; with fewer words than a shingle the
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from binomia.llm.common import drop_written, written
 
 SEED = 42
+DEEP = 1 << 22  # fingerprints from which the longer keys of more variants cost less; the links are the same
 BLOCK = 1 << 18  # shingles whose bits are counted at a time
 
 
@@ -102,6 +105,44 @@ def links(distinct: DataFrame, k: int = 4) -> DataFrame:
     return a.hint("merge").join(b, (F.col("bit") == F.col("bit2")) & (F.col("value") == F.col("value2")) & near).select("a", "b")
 
 
+def _pieces(low: int, width: int, n: int) -> list[int]:
+    """Masks that cut the bits outside a segment into n pieces."""
+    rest = [b for b in range(64) if not low <= b < low + width]
+    edges = [round(len(rest) * i / n) for i in range(n + 1)]
+    return [sum(1 << b for b in rest[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def deep_links(distinct: DataFrame, k: int = 4) -> DataFrame:
+    """As links(), by longer keys: a segment that is equal and one of k + 1 pieces of the rest, or one with a bit wiped out and one of k."""
+    masks: list[int] = []  # of each key, by its number
+    first = F.lit(-1)  # of a pair with xor x, the number of its first key
+    x = F.col("a").bitwiseXOR(F.col("b"))
+
+    def piece(own: list[int], number) -> Column:
+        out = F.lit(-1)
+        for i, m in reversed(list(enumerate(own))):
+            out = F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, number + i).otherwise(out)
+        return out
+
+    places = []
+    for low, width in segments(k):
+        whole, equal, other = _mask(low, width), _pieces(low, width, k + 1), _pieces(low, width, k) if k else []
+        start = len(masks)
+        masks += [whole | m for m in equal]
+        wiped = len(masks)
+        masks += [whole & ~(1 << bit) | m for bit in range(low, low + width) for m in other]
+        places.append((low, whole, equal, other, start, wiped))
+    for low, whole, equal, other, start, wiped in reversed(places):
+        own = x.bitwiseAND(F.lit(_signed(whole)))
+        bit = F.bit_count(own - 1)  # zeros below the lowest set bit
+        first = F.when(own == 0, piece(equal, F.lit(start))).when(F.bit_count(own) == 1, piece(other, F.lit(wiped) + (bit - low) * len(other))).otherwise(first)
+    keys = [F.struct(F.lit(i).cast("short").alias("key"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for i, m in enumerate(masks)]
+    index = distinct.select("fp", F.explode(F.array(*keys)).alias("v")).select("fp", "v.key", "v.value")
+    a, b = index.select(F.col("fp").alias("a"), "key", "value"), index.select(F.col("fp").alias("b"), F.col("key").alias("key2"), F.col("value").alias("value2"))
+    near = (F.bit_count(x) <= k) & (F.col("a") < F.col("b")) & (F.col("key").cast("int") == first)
+    return a.hint("merge").join(b, (F.col("key") == F.col("key2")) & (F.col("value") == F.col("value2")) & near).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): root is the least node of its component.
 
@@ -130,7 +171,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, shingle: int = 4,
     """(id, fingerprint, component_id): fingerprints at most k bits apart link; component_id is the smallest id reachable."""
     fps = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fp")
-    found = components(links(least.select("fp"), k))
+    distinct = least.select("fp")
+    found = components(deep_links(distinct, k) if distinct.count() > DEEP else links(distinct, k))
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.join(of, "root").select("fp", "component_id")

@@ -85,6 +85,11 @@ def test_links_are_all_pairs(spark):
     assert len(got) == len(set(got))
     assert set(got) == expected
     assert expected
+    for k in (1, 2, 4, 5):
+        some = {(a, b) for a, b in expected if bin((a ^ b) & (1 << 64) - 1).count("1") <= k}
+        deep = [tuple(r) for r in simhash.deep_links(spark.createDataFrame([(s,) for s in signed], "fp long"), k).collect()]
+        assert len(deep) == len(set(deep))
+        assert {p for p in deep if bin((p[0] ^ p[1]) & (1 << 64) - 1).count("1") <= 4} == some  # by longer keys the same
 
 
 def test_components(spark):
@@ -179,6 +184,64 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([(1, None, "s")], "doc_id long, text string, source string"), "doc_id", "text", "source").collect()[0].taken == 0
 
 
+def test_mix_query(spark):
+    """Sizes, source sizes and targets of the whole query, counted by hand."""
+    from binomia.llm.q_mixing import op7_mix
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    n = {d.doc_id: len((d.text or "").encode().split()) for d in docs}
+    held = defaultdict(int)
+    for d in docs:
+        held[d.source] += n[d.doc_id]
+    names = sorted(held, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight, aim, open_, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}, list(names), 1.5 * sum(held.values())
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = [s for s in open_ if share[s] > 2 * held[s]]
+        aim.update({s: 2.0 * held[s] for s in full} if full else share)
+        left -= sum(aim[s] for s in full)
+        open_ = [s for s in open_ if s not in full] if full else []
+    source, taken = {d.doc_id: d.source for d in docs}, defaultdict(int)
+    rows = op7_mix(spark, folder).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        s = source[r.doc_id]
+        assert (r["size"], r.source_size) == (n[r.doc_id], held[s]) and r.target == pytest.approx(aim[s])
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[s] += r.taken
+    assert all(abs(taken[s] - aim[s]) <= 0.02 * aim[s] + 64 for s in names)
+
+
+def test_mix_of_many_sources_and_long_texts(spark):
+    rows = [(i, f"a{i} b c", f"s{i}", "x", 1) for i in range(12_000)] + [(20_000, "w " * 300_000, "long", "x", 1), (None, None, None, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, size int")
+    out = mixing.mix(df, "doc_id", "text", "source").collect()
+    assert len(out) == len(rows)
+    texts = mixing.mixed_texts(df, "text", "source").collect()
+    assert sum(len((r.text or "").split()) for r in texts) == sum(r.taken for r in out)
+    assert {r.row for r in texts} == {"x"}  # columns of any name pass
+
+
+def test_shards_query(spark):
+    """The whole query against sizes and checksums by hand."""
+    import zlib
+
+    from binomia.llm.q_shard import op9_shards
+
+    folder = "/root/testdata/sf0.001"
+    texts = {d.doc_id: d.text for d in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op9_shards(spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        slots[r.shard].append(r.slot)
+    assert set(slots) <= set(range(40))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_mix_keeps_repeated_empty_rows(spark):
     rows = [(i, "a b c " * 5, "s0") for i in range(20)] + [(7, "", "s0")] * 3 + [(8, None, "s0")] * 2 + [(None, " ", "s0")] * 4 + [(None, "x y", "s0")] * 2
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source").collect()
