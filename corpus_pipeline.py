@@ -4,6 +4,11 @@ quality: documents that the classifier rejects as junk or toxic go. line_dedup:
 texts go from all but the first of them. simhash: of documents whose fingerprints link, one stays. mix: documents as the
 mix takes them, once for each pass they are drawn in, with the words of their drawn blocks. pack: their pieces in
 sequences of at most 1024 tokens. All but the last return the columns of documents.
+
+Cases, for every stage: a null in any column is a value (a null text counts as empty, a null source is a source, a null id has no
+label); an empty text passes the first three stages and isn't drawn by the mix; very long texts are read whole; repeated rows are
+rows each until simhash, which keeps one of them; of a group the row with the least place in its input stays; an empty table gives an
+empty one; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -49,7 +54,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("simhash", simhash_stage), ("mix", mix_stage), ("pack", pack_stage)]
 
-#: Models, fingerprints and tokenizers are beyond SQL; the stages are tested against brute-force versions.
+#: Models, fingerprints and tokenizers are beyond SQL; tests/llm/test_pipeline.py has plain versions of the stages.
 ORACLE_SQL = None
 
 
