@@ -9,9 +9,13 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from binomia.operators import corpus
 from binomia.operators import dictionary as D
 from binomia.operators.dictionary import Dictionary
 from binomia.sources import files, http, sinks
+from binomia.streaming import events
 
 DOC = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Salmo </w:t><w:t>trutta</w:t></w:r></w:p><w:p><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>'
 SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="s"><v>0</v></c><c><v>3</v></c></row></sheetData></worksheet>'
@@ -105,7 +109,64 @@ def test_sinks(spark, tmp_path):
     back = {r.doc_id: r for r in spark.read.schema("doc_id long, classifications map<string,long>, details array<struct<binomial:string>>").json(str(tmp_path / "n")).collect()}
     assert back[1].classifications == {"valid": 1, "outdated": 1}
     assert [d.binomial for d in back[1].details] == ["A b", "C d"]
-    metrics = spark.createDataFrame([("Papers", "2")], "metric string, value string")
-    sinks.write_table(metrics, str(tmp_path / "t"))
+    sinks.write_table(spark.createDataFrame([("Papers", "2")], "metric string, value string"), str(tmp_path / "t"))
     assert "Papers" in next((tmp_path / "t").glob("*.csv")).read_text()
-    assert "| Papers | 2 |" in sinks.summary_markdown(metrics)
+
+
+
+def _corpus(spark):
+    """17 papers: one has an outdated name, one is about names not known and doesn't count, the others have a valid name each."""
+    names = [(1, 0, "Aa bb", "outdated", "Cc dd", None), (17, 0, "Aa bb", "outdated", "Ee ff", "late"), *((17, 9 * k, f"Xx y{k}", "unknown", None, None) for k in range(1, 6)), *((i, 0, "Cc dd", "valid", None, "the fish") for i in range(2, 17))]
+    details = spark.createDataFrame(names, "doc_id long, idx int, binomial string, type string, suggestion string, common_name string")
+    docs = spark.createDataFrame([(i,) for i in range(1, 18)], "doc_id long")
+    results = corpus.paper_results(docs, details, details)
+    known = spark.createDataFrame([(i, f"10/{i}", f"T{i}", 2000, "J") for i in range(1, 18) if i != 3], "doc_id long, doi string, title string, year int, journal string")
+    return results, details, known
+
+
+def test_excluded_papers_do_not_count(spark):
+    results, details, known = _corpus(spark)
+    assert {r.type: r.n for r in corpus.totals(corpus.included_details(details)).collect()} == {"outdated": 1, "valid": 15}
+    assert corpus.included(results).count() == 16
+    assert {r.errors: r.papers for r in corpus.histogram(corpus.included(results)).collect()} == {"0": 15, "1": 1, "2": 0, "3+": 0}
+    row = corpus.corrections(corpus.included_details(details), details).collect()[0]
+    assert (row.binomial, row.n, row.correction, row.common_name) == ("Aa bb", 1, "Ee ff", "late")  # the correction comes from all papers
+    s = corpus.summary(results, details, known)
+    r = s.collect()[0]
+    assert (r.papers, r.excluded, r.with_issues, r.pct_issues, r.species_mentions, r.journals) == (16, 1, 1, 6.2, 16, 2)  # 6.25, a half to the even digit
+    assert [(x.doc_id, x.title) for x in r.excluded_papers] == [(17, "T17")]
+    assert [(x.doc_id, x.issues) for x in r.top_papers][:2] == [(1, 1), (2, 0)] and len(r.top_papers) == 10
+    assert [(x.journal, x.n) for x in r.top_journals] == [("J", 15), ("Unknown", 1)]
+    shown = {m.metric: m.value for m in corpus.metrics(s).collect()}
+    assert shown["Papers with naming errors"] == "1 (6.2%)" and shown["Journals represented"] == "2" and "  Misspelled" not in shown
+    text = sinks.summary_markdown(s)
+    assert "| Outdated | 1 |" in text and "| *Aa bb* | 1 |" in text and "**6.2%**" in text
+    none = corpus.summary(results.limit(0), details.limit(0), known).collect()[0]
+    assert (none.papers, none.excluded, none.pct_issues) == (0, 0, 0.0)
+
+
+def test_tenths_are_pythons(spark):
+    pairs = [(n, total) for total in (*range(1, 130), 800, 1600, 99991) for n in range(0, total + 1, max(1, total // 90))]
+    rows = spark.createDataFrame(pairs, "n long, total long").select("n", "total", corpus.percent(F.col("n"), F.col("total")).alias("p")).collect()
+    assert all(r.p == round(r.n / r.total * 100, 1) for r in rows)
+
+
+def test_caches_and_appends(spark, tmp_path):
+    path = str(tmp_path / "c")
+    assert files.read_cache(spark, path, "k string, v int", "k").count() == 0
+    sinks.append_cache(spark.createDataFrame([("a", 1), ("b", None)], "k string, v int"), path, 1)
+    sinks.append_cache(spark.createDataFrame([("a", 2)], "k string, v int"), path, 2)
+    assert sorted((r.k, r.v) for r in files.read_cache(spark, path, "k string, v int", "k").collect()) == [("a", 2), ("b", None)]
+    items = spark.createDataFrame([(1, 2, 0, "c"), (1, 1, 1, "b"), (1, 1, 0, "a"), (1, 3, 0, None)], "doc long, page int, item int, text string")
+    assert files.joined_items(items, "doc").collect()[0].text == "a b\nc\n"
+    rows = spark.createDataFrame([(1, True), (2, False), (3, True)], "i int, good boolean")
+    sinks.append_valid(rows, F.col("good"), str(tmp_path / "v"), str(tmp_path / "r"))
+    assert (spark.read.parquet(str(tmp_path / "v")).count(), spark.read.parquet(str(tmp_path / "r")).count()) == (2, 1)
+
+
+def test_streamed_append(spark, tmp_path):
+    spark.createDataFrame([(1, True), (2, False)], "i int, good boolean").write.parquet(str(tmp_path / "in"))
+    stream = events.event_stream(spark, str(tmp_path / "in"))
+    query = events.append_valid(stream, F.col("good"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert [r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
