@@ -148,7 +148,13 @@ def votes(w: Words, stems: list[np.ndarray]) -> np.ndarray:
     distinct, pairs, again = w.repetition()
     signs = w.signs()
     hits = w.per_text(np.isin(signs[-1], _INSULT_KEYS))
-    odd = [w.per_text(np.logical_or.reduce([np.isin(x, own) for x in signs])) for own in stems]
+    listed = np.unique(np.concatenate(stems)) if sum(map(len, stems)) else np.zeros(1, np.uint64)
+    place = [np.minimum(np.searchsorted(listed, x), len(listed) - 1) for x in signs]
+    found = [listed[k] == x for k, x in zip(place, signs, strict=True)]
+    odd = []
+    for own in stems:
+        known = np.isin(listed, own)
+        odd.append(w.per_text(np.logical_or.reduce([f & known[k] for f, k in zip(found, place, strict=True)])))
     some = n >= 10
     return np.stack(
         [
@@ -215,6 +221,8 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epo
             (idx, held), t = rows[i], target[i]
             step = 1 / (1 + np.exp(-np.clip((w[idx] * held).sum() + w[-1], -30, 30))) - t
             step *= abs(2 * t - 1)
+            if abs(step) < 1e-3:  # a text that is known already
+                continue
             d = step * held
             g[idx] += d * d
             size = rate / np.sqrt(g[idx])
@@ -238,14 +246,17 @@ def _bag(f: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linear(w: Words, weights: np.ndarray) -> np.ndarray:
-    """Log-odds of bad of each text; weights: of one task. A feature counts once a text; most have no weight."""
-    texts = len(w.before) - 1
-    slots = w.features()
-    at, _ = np.nonzero(weights[:-1][slots])
-    held = slots[weights[:-1][slots] != 0]
-    text = np.repeat(np.arange(texts), np.diff(w.before))[at]
-    once = np.unique(text.astype(np.int64) << BITS | held)
-    return np.bincount(once >> BITS, weights=weights[:-1][once & ((1 << BITS) - 1)], minlength=texts) * _damped(np.diff(w.before)) + weights[:-1][w.text_features()].sum(1) + weights[-1]
+    """Log-odds of bad of each text, a row a task; weights: a row a task. A feature counts once a text; most have no weight."""
+    texts, damp = len(w.before) - 1, _damped(np.diff(w.before))
+    slots, whole = w.features(), w.text_features()
+    text = np.repeat(np.arange(texts, dtype=np.int64), np.diff(w.before))
+    out = np.empty((len(weights), texts))
+    for k, own in enumerate(weights):
+        live = own[:-1] != 0
+        at, kind = np.nonzero(live[slots])
+        once = np.unique(text[at] << BITS | slots[at, kind])
+        out[k] = np.bincount(once >> BITS, weights=own[:-1][once & ((1 << BITS) - 1)], minlength=texts) * damp + own[:-1][whole].sum(1) + own[-1]
+    return out
 
 
 def _sampled(df: DataFrame, rows: int) -> DataFrame:
@@ -379,7 +390,7 @@ def classify(df: DataFrame, text_col: str, model: Model, junk_at: float = 0.5, t
             body, at = utf8(b.column(k))
             for i, j in spans(at, BYTES):
                 w = Words(body[at[i] : at[j]], at[i : j + 1] - at[i])
-                p = [1 / (1 + np.exp(-np.clip(linear(w, x), -50, 50))) for x in weights.value]
+                p = 1 / (1 + np.exp(-np.clip(linear(w, weights.value), -50, 50)))
                 empty = np.diff(w.before) == 0
                 keep = empty | ((p[0] < junk_at) & (p[1] < toxic_at))
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns), pa.array(p[0]), pa.array(p[1]), pa.array(keep)], names=columns + extra)

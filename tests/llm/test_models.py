@@ -311,7 +311,7 @@ def test_linear_is_a_sum_by_hand():
     texts = ["", "a b c a b", " ".join(f"w{i % 700}" for i in range(900)), "x"]
     raw = [t.encode() for t in texts]
     w = quality.Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    got, f, whole = quality.linear(w, weights), w.features(), w.text_features()
+    got, f, whole = quality.linear(w, weights[None])[0], w.features(), w.text_features()
     for k, (a, b) in enumerate(zip(w.before, w.before[1:], strict=False)):
         own = sum(weights[i] for i in set(f[a:b].ravel().tolist())) / math.sqrt(max(1, (b - a) / quality.LONG))
         assert math.isclose(got[k], own + sum(weights[i] for i in whole[k].tolist()) + weights[-1], abs_tol=1e-9)
