@@ -9,10 +9,13 @@ from urllib.error import HTTPError, URLError
 from urllib.parse import urlencode
 from urllib.request import urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, In, InputPartition
 
 RETRIES, BACKOFF_S, TIMEOUT_S = 3, 10.0, 20
 PAGE = 200
+# Fixed values. The service's names of filters: on a row's own fields, and on lists that a row has.
+OWN = {"language": "language", "is_oa": "is_oa", "type": "type"}
+ASKED = {"concept": "concepts.id", "country": "authorships.institutions.country_code"}
 
 
 def fetch(url: str, retries: int = RETRIES, wait: float = BACKOFF_S, get=None) -> str | None:
@@ -62,14 +65,17 @@ class CatalogueReader(DataSourceReader):
 
 
 class Works(DataSource):
-    """API rows, newest first, page by page along a cursor. Filters on year and language go to the service."""
+    """API rows, newest first, page by page along a cursor. Filters on year, language, open access, type, concept and country go to the service.
+
+    concept and country are asked for, not told: they hold the value asked for, or null where none is, as a row has many.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "works"
 
     def schema(self) -> str:
-        return "doi string, title string, year int, language string, cited_by_count int, raw string"
+        return "doi string, title string, year int, language string, is_oa boolean, type string, concept string, country string, cited_by_count int, raw string"
 
     def reader(self, schema) -> DataSourceReader:
         return WorksReader(self.options)
@@ -80,22 +86,29 @@ class WorksReader(DataSourceReader):
         self.url, self.pages = options["url"], int(options.get("pages", 50))
         self.wait = float(options.get("wait", BACKOFF_S))
         self.filters: list[str] = [options["filter"]] if "filter" in options else []
+        self.asked: dict[str, str] = {}
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, GreaterThan) and f.attribute == ("year",):
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            several = isinstance(f, In) and f.value
+            if isinstance(f, GreaterThan) and name == "year":
                 self.filters.append(f"publication_year:>{f.value}")
-            elif isinstance(f, EqualTo) and f.attribute == ("language",):
-                self.filters.append(f"language:{f.value}")
+            elif isinstance(f, EqualTo) and name in OWN:
+                self.filters.append(f"{OWN[name]}:{str(f.value).lower() if isinstance(f.value, bool) else f.value}")
+            elif (isinstance(f, EqualTo) or several) and name in ASKED:
+                self.asked[name] = f.value if isinstance(f, EqualTo) else f.value[0]
+                self.filters.append(f"{ASKED[name]}:{'|'.join(f.value) if several else f.value}")
+                continue  # the service's alone
             yield f  # Spark looks at the rows again
 
     def read(self, partition) -> Iterator[tuple]:
-        cursor, fields = "*", "id,doi,title,publication_year,language,cited_by_count,authorships,primary_location,open_access"
+        cursor, fields = "*", "id,doi,title,publication_year,language,type,cited_by_count,authorships,primary_location,open_access"
         for _ in range(self.pages):
             body = fetch(f"{self.url}?{urlencode({'filter': ','.join(self.filters), 'sort': 'publication_date:desc', 'per-page': PAGE, 'select': fields, 'cursor': cursor})}", wait=self.wait)
             page = json.loads(body) if body else {}
             for w in page.get("results", []):
-                yield w.get("doi"), w.get("title"), w.get("publication_year"), w.get("language"), w.get("cited_by_count"), json.dumps(w)
+                yield w.get("doi"), w.get("title"), w.get("publication_year"), w.get("language"), (w.get("open_access") or {}).get("is_oa"), w.get("type"), self.asked.get("concept"), self.asked.get("country"), w.get("cited_by_count"), json.dumps(w)
             cursor = (page.get("meta") or {}).get("next_cursor")
             if not cursor or not page.get("results"):
                 return

@@ -6,6 +6,7 @@ import json
 import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import unquote
 
 import pytest
 
@@ -65,8 +66,10 @@ def test_dictionary_round_trip(spark, tmp_path):
 
 class Service(BaseHTTPRequestHandler):
     fails = 1
+    asked: list[str] = []
 
     def do_GET(self):  # noqa: N802
+        Service.asked.append(unquote(self.path))
         if "family=" in self.path and Service.fails:
             Service.fails -= 1
             self.send_error(503)
@@ -74,7 +77,7 @@ class Service(BaseHTTPRequestHandler):
         if "genus=Gone" in self.path:
             self.send_error(404)
             return
-        body = {"results": [{"doi": "10.1/a", "title": "t", "publication_year": 2024, "language": "en", "cited_by_count": 1}], "meta": {"next_cursor": None if "cursor=c2" in self.path else "c2"}} if "cursor" in self.path else None
+        body = {"results": [{"doi": "10.1/a", "title": "t", "publication_year": 2024, "language": "en", "type": "article", "open_access": {"is_oa": True}, "cited_by_count": 1}], "meta": {"next_cursor": None if "cursor=c2" in self.path else "c2"}} if "cursor" in self.path else None
         self.send_response(200)
         self.end_headers()
         self.wfile.write((json.dumps(body) if body else f"<p>{self.path}</p>").encode())
@@ -100,6 +103,11 @@ def test_http(spark, service):
     assert "family=Salmonidae" in rows["trutta"]
     works = spark.read.format("works").option("url", service).option("wait", "0.01").load()
     assert [r.doi for r in works.where("year > 2023").select("doi").collect()] == ["10.1/a", "10.1/a"]
+    Service.asked.clear()
+    rows = works.where("year > 2023 and language = 'en' and is_oa and type = 'article' and concept = 'C1' and country in ('US', 'CA')").collect()
+    assert [(r.doi, r.concept) for r in rows] == [("10.1/a", "C1")] * 2
+    for part in ("publication_year:>2023", "language:en", "is_oa:true", "type:article", "concepts.id:C1", "authorships.institutions.country_code:"):
+        assert part in Service.asked[-1]
 
 
 def test_sinks(spark, tmp_path):
