@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None and held.isDefined():
         found = held.get()
     if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="binomia-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
