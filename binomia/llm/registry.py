@@ -6,7 +6,7 @@ from functools import cache
 from importlib import import_module
 
 #: Modules with QUERIES (name to callable of (spark, sf_dir)) and ORACLES (name to DuckDB SQL).
-MODULES: tuple[str, ...] = ("q_ogg", "q_shard", "q_warc", "q_lines", "q_simhash", "q_packing", "q_mixing", "q_lm", "q_quality", "q_ann", "q_spelling", "q_dialogue")
+MODULES: tuple[str, ...] = ("q_ogg", "q_shard", "q_warc", "q_lines", "q_simhash", "q_packing", "q_mixing", "q_lm", "q_quality", "q_ann", "q_spelling", "q_dialogue", "q_jaccard")
 
 
 @cache
