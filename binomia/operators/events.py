@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,26 +51,6 @@ def once_a_session(visits: DataFrame) -> DataFrame:
     return first.select("user_id", "session", *(f"m.{c}" for c in rest))
 
 
-def rate_limited(events: DataFrame, gap_s: float = GAP_S) -> DataFrame:
-    """(user_id, event_id, ts) accepted when each user's events must be a gap apart, counted from the last one accepted.
-
-    Partitions are sorted by user and time and read as a stream, with one time in memory, so that a user of any number of events fits.
-    """
-    rows = events.select("user_id", "event_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        user, last = None, None
-        for b in batches:
-            keep = []
-            for i, (u, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).cast(pa.int64()).to_pylist(), strict=True)):
-                if user != u or last is None or t - last >= gap_s * 1_000_000:
-                    keep.append(i)
-                    user, last = u, t
-            yield b.take(pa.array(keep, pa.int64()))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def location(city: str = "city", country: str = "country") -> F.Column:
     return F.concat_ws(", ", F.nullif(F.col(city), F.lit("")), F.nullif(F.col(country), F.lit("")))
 

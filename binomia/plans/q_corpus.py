@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from binomia.functions.shared import new_path, written
 from binomia.functions.text import html_text, named_entities
-from binomia.operators import catalog, corpus, events, findings, papers
+from binomia.operators import catalog, corpus, events, findings, papers, throttle
 from binomia.operators.dictionary import first_wins, ordered_distinct
 from binomia.plans.q_names import _PARTS, _parts
 from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, dictionary, documents, read, sql, texts
@@ -452,7 +452,7 @@ def e1_session_dedupe(spark, sf):
 
 
 def e2_rate_limit(spark, sf):
-    return events.rate_limited(_visits(spark, sf), 3600.0).groupBy("user_id").agg(F.count("*").alias("accepted"), F.sum("event_id").alias("event_ids"))
+    return throttle.rate_limited(_visits(spark, sf), 3600.0).groupBy("user_id").agg(F.count("*").alias("accepted"), F.sum("event_id").alias("event_ids"))
 
 
 def e5_counters(spark, sf):
