@@ -32,7 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: what follows doesn't compute it twice, and a lost executor doesn't either."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.binomia_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a frame made by written(); it must not be read afterwards."""
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.binomia_path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

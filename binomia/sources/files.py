@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from binomia.operators import dictionary as D
 from binomia.operators.dictionary import Dictionary
+from binomia.sources.ledger import Ledger
 
 NAME = "struct<class:string,order:string,family:string,author:string,occurrence:string,flags:string,common_name_en:string,common_name_es:string,common_name_fr:string>"
 META = "struct<edition:int,year:int,source:string,species_count:int,synonym_count:int,synonym_source:string>"
@@ -145,7 +146,7 @@ def joined_items(items: DataFrame, key: str, page: str = "page", item: str = "it
 
 
 def read_cache(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A cache that rows are appended to: of each key the row of the latest writing; empty where there is none yet."""
-    rows = or_empty(spark, path, f"{schema}, written_at long")
+    """A cache that rows are appended to by commits: of each key the row of the latest writing; empty where there is none yet."""
+    rows = Ledger(spark, path).read("rows", f"{schema}, written_at long")
     rest = [c for c in rows.columns if c not in (key, "written_at")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "written_at").alias("m")).select(key, "m.*")

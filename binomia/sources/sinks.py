@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binomia.operators.corpus import TYPE_ORDER
 from binomia.operators.dictionary import Dictionary
+from binomia.sources.ledger import Ledger
 
 
 def dictionary_frame(d: Dictionary) -> DataFrame:
@@ -77,13 +78,20 @@ def summary_markdown(summed: DataFrame) -> str:
     return "\n".join([*out, "", "## Journals", "", f"The papers come from **{r.journals}** journals.", ""])
 
 
+CACHE = "rows"
+
+
 def append_cache(rows: DataFrame, path: str, at: int) -> None:
-    """Rows added to a cache under a number that grows with each writing; a part that fails leaves nothing, and none is written again."""
-    rows.withColumn("written_at", F.lit(at).cast("long")).write.mode("append").parquet(path)
+    """Rows added to a cache under a number that grows with each writing; all or none of them, and those of a number only once."""
+    Ledger(rows.sparkSession, path).commit("cache", at, {CACHE: rows.withColumn("written_at", F.lit(at).cast("long"))})
+
+
+def compact_cache(spark: SparkSession, path: str, key: str) -> None:
+    """A cache as one part, with the latest row of each key alone, which is what is read of it."""
+    Ledger(spark, path).compact(CACHE, latest=(key, "written_at"))
 
 
-def append_valid(df: DataFrame, ok, path: str, rejected: str) -> None:
-    """Valid rows appended to a table, others to another."""
-    marked = df.withColumn("_ok", ok)
-    marked.where("_ok").drop("_ok").write.mode("append").parquet(path)
-    marked.where("not _ok").drop("_ok").write.mode("append").parquet(rejected)
+def append_valid(df: DataFrame, ok, path: str, number: int) -> None:
+    """Valid rows appended to table `valid` of a ledger and the others to `rejected`, in one commit: a number already committed changes nothing."""
+    marked = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    Ledger(df.sparkSession, path).commit("visits", number, {"valid": marked.where("_ok").drop("_ok"), "rejected": marked.where("NOT _ok").drop("_ok")})

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binomia.operators import throttle
+from binomia.streaming import events as S
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "user_id long, event_id long, ts timestamp, part int, kind string"
@@ -75,3 +76,53 @@ def test_pointers():
         at = int(step[at])
     assert np.flatnonzero(throttle.followed(step, np.array([0]))).tolist() == chain
     assert throttle.last_of_chain(step)[0] == chain[-1]
+
+
+def _files(spark, tmp_path, rows: list[tuple], parts: int, schema: str = SCHEMA) -> str:
+    """Rows as files in a shuffled order, one a micro-batch."""
+    path = str(tmp_path / "in")
+    for k in range(parts):
+        spark.createDataFrame(rows[k::parts], schema).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_throttled_stream_of_shuffled_files(many_partitions, tmp_path):
+    spark = many_partitions
+    rows = _rows(4, 600, [1, 1, 1, 2, None], 4000)
+    random.Random(5).shuffle(rows)
+    stream = S.event_stream(spark, _files(spark, tmp_path, rows, 4), files_a_batch=1)
+    out = S.throttled(stream, 60, 5000, str(tmp_path / "run"))
+    assert Counter((r.user_id, r.event_id, r.ts) for r in out.accepted().collect()) == _plain(rows, 60)
+    assert out.ledger.read("late").count() == 0 and out.ledger.read("pending").count() == 0
+
+
+def test_throttled_stream_keeps_little(spark, tmp_path):
+    """Files in order but for a few seconds: what waits is as long as the lateness, and users of long ago are forgotten; a step repeated changes nothing."""
+    rows = sorted(_rows(6, 900, list(range(200)), 9000), key=lambda r: r[2].timestamp() // 20 + random.Random(r[1]).random())
+    schema = "user_id long, event_id long, ts timestamp"
+    t = S.Throttled(spark, str(tmp_path / "t"), schema, 60, 40)
+    for k in range(6):
+        step = spark.createDataFrame([r[:3] for r in rows[k * 150 : k * 150 + 150]], schema)
+        t.step(step, k)
+        t.step(step, k)
+        assert t.ledger.read("pending").count() <= 20
+        assert t.ledger.read("last").count() <= 40
+    t.flush()
+    assert Counter((r.user_id, r.event_id, r.ts) for r in t.accepted().collect()) == _plain(rows, 60)
+    t.step(spark.createDataFrame([(1, 1, START)], schema), S.FLUSH + 1)
+    assert t.ledger.read("late").count() == 1
+
+
+def test_dashboard_stream(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "event_id long, ts timestamp, lat double, lng double, country string, city string, k long"
+    rows = [(i, START + dt.timedelta(seconds=rng.randrange(500)), rng.choice([0.0, 1.0]), 2.0, rng.choice("ab"), rng.choice(["", None, "c"]), rng.choice([None, 3, 900])) for i in range(200)]
+    rng.shuffle(rows)
+    stream = S.event_stream(spark, _files(spark, tmp_path, rows, 4, schema), files_a_batch=1)
+    board = S.Dashboard(spark, str(tmp_path / "t"), schema, F.col("k"), 50)
+    board.run(stream, str(tmp_path / "s")).awaitTermination()
+    assert board.ledger.read("recent").count() == 50
+    last = sorted(rows, key=lambda r: (r[1], r[0]))[-50:]
+    shown = board.shown().first()
+    assert (shown.sessions, shown.species_total) == (200, sum(r[6] for r in rows if r[6] and r[6] <= 500))
+    assert (shown.locations, shown.markers) == (len({(r[5], r[4]) if r[5] else r[4] for r in last}), sum(r[2] != 0 for r in last))

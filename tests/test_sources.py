@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from binomia.operators import corpus
 from binomia.operators import dictionary as D
 from binomia.operators.dictionary import Dictionary
+from binomia.sources.ledger import Ledger
 from binomia.sources import files, http, sinks
 from binomia.streaming import events
 
@@ -168,8 +169,56 @@ def test_caches_and_appends(spark, tmp_path):
     items = spark.createDataFrame([(1, 2, 0, "c"), (1, 1, 1, "b"), (1, 1, 0, "a"), (1, 3, 0, None)], "doc long, page int, item int, text string")
     assert files.joined_items(items, "doc").collect()[0].text == "a b\nc\n"
     rows = spark.createDataFrame([(1, True), (2, False), (3, True)], "i int, good boolean")
-    sinks.append_valid(rows, F.col("good"), str(tmp_path / "v"), str(tmp_path / "r"))
-    assert (spark.read.parquet(str(tmp_path / "v")).count(), spark.read.parquet(str(tmp_path / "r")).count()) == (2, 1)
+    sinks.append_valid(rows, F.col("good"), str(tmp_path / "v"), 0)
+    sinks.append_valid(rows, F.col("good"), str(tmp_path / "v"), 0)
+    ledger = Ledger(spark, str(tmp_path / "v"))
+    assert (ledger.read("valid").count(), ledger.read("rejected").count()) == (2, 1)
+    sinks.compact_cache(spark, path, "k")
+    assert sorted((r.k, r.v) for r in files.read_cache(spark, path, "k string, v int", "k").collect()) == [("a", 2), ("b", None)]
+    assert Ledger(spark, path).read("rows").count() == 2
+
+
+def test_a_commit_that_fails_counts_for_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, good boolean")
+    path = str(tmp_path / "v")
+    whole, made = Ledger._part, []
+
+    def fails(self, table, df):
+        if made:
+            raise OSError("no room")
+        made.append(table)
+        return whole(self, table, df)
+
+    monkeypatch.setattr(Ledger, "_part", fails)
+    with pytest.raises(OSError):
+        sinks.append_valid(rows, F.col("good"), path, 7)
+    monkeypatch.setattr(Ledger, "_part", whole)
+    ledger = Ledger(spark, path)
+    assert ledger.state()["version"] == 0
+    sinks.append_valid(rows, F.col("good"), path, 7)
+    sinks.append_valid(rows, F.col("good"), path, 7)
+    sinks.append_valid(rows, F.col("good"), path, 8)
+    assert (ledger.read("valid").count(), ledger.read("rejected").count()) == (2, 4)
+    ledger.compact("valid")
+    ledger.clean(keep=1)
+    assert len(ledger.state()["tables"]["valid"]["parts"]) == 1
+    assert len([p for p in (tmp_path / "v" / "valid").iterdir()]) == 1  # what failed is gone too
+    assert (ledger.read("valid").count(), ledger.read("rejected").count()) == (2, 4)
+
+
+def test_concurrent_commits_both_count(spark, tmp_path, monkeypatch):
+    a, b = Ledger(spark, str(tmp_path / "t")), Ledger(spark, str(tmp_path / "t"))
+    publish = Ledger._publish
+
+    def after_another(self, state):
+        monkeypatch.setattr(Ledger, "_publish", publish)
+        assert b.commit("b", 0, {"x": spark.range(3)})  # takes the version that a is about to make
+        return publish(self, state)
+
+    monkeypatch.setattr(Ledger, "_publish", after_another)
+    assert a.commit("a", 0, {"x": spark.range(2)})
+    assert a.read("x").count() == 5 and a.state()["writers"] == {"a": 0, "b": 0}
+    assert a.commit("a", 1, replace={"x": spark.range(1)}) and a.read("x").count() == 1
 
 
 def test_streamed_append(spark, tmp_path):
@@ -177,4 +226,5 @@ def test_streamed_append(spark, tmp_path):
     stream = events.event_stream(spark, str(tmp_path / "in"))
     query = events.append_valid(stream, F.col("good"), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination()
-    assert [r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    ledger = Ledger(spark, str(tmp_path / "out"))
+    assert [r.i for r in ledger.read("valid").collect()] == [1] and [r.i for r in ledger.read("rejected").collect()] == [2]
