@@ -6,8 +6,8 @@ an overlap and goes no further. The partial counts sum up to a set's shared n-gr
 in one of the rarest n-grams of both (the prefix filter: rarer first, then by hash, an order that all sets have in common); of each candidate pair
 the segments meet by fragment, partial overlaps are counted separately and summed per pair, and the sum decides.
 
-Many sets near each other would give all their pairs. So each set first meets only the representatives of the groups that its MinHash values put it in; these
-links, verified like the others, are contracted to components. The prefix join then pairs sets of different components only, and an n-gram whose sets are
+Many sets near each other would give all their pairs. So each set first meets only the representatives of the groups that pairs of its MinHash values put it in; these
+links, verified like the others, are contracted to components, a few times with other representatives. The prefix join then pairs sets of different components only, and an n-gram whose sets are
 all in one component gives no pair. No link between components is lost.
 
 N-grams that a bounded sample of sets shows in many of them (a passage in a third of all texts) would all meet in one fragment; they
@@ -37,7 +37,7 @@ FRAGMENT = 1 << 20  # n-grams in a fragment, about
 SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 14, 64, 1 << 17  # sets looked at for hot n-grams, sets that make one hot, n-grams listed at most
 HOT = 1 << 30  # places hot n-grams behind all others
 PARTS = 16  # fragments in which a pair's overlap is counted
-MINS = 6  # MinHash values that choose representatives
+MINS, TURNS, SALT = 16, (1, 4, 8), 16  # MinHash values, two of which make a group; a group's representatives by turn; parts that its rows are dealt over
 _MUL, _SET = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1 << 63, size=MINS, dtype=np.uint64)
 
@@ -251,20 +251,46 @@ def _sizes_fit(percent: int):
     return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
 
-def representative_pairs(able: DataFrame, percent: int) -> DataFrame:
-    """(a, a_n, b, b_n): each set with the least of those that share one of its MinHash values."""
-    mins = able.where(F.size("mins") > 0).select("set", "n", F.posexplode("mins").alias("k", "least"))
-    chosen = mins.groupBy("k", "least").agg(F.min(F.struct("set", "n")).alias("r"))
-    pairs = mins.join(chosen, ["k", "least"]).select(F.col("r.set").alias("a"), F.col("r.n").alias("a_n"), F.col("set").alias("b"), F.col("n").alias("b_n"))
-    return pairs.where(F.col("a") != F.col("b")).where(_sizes_fit(percent)).distinct()
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (set, ...) with the root of each set's component."""
+    return rows.join(found, rows["set"] == found["node"], "left").withColumn("root", F.coalesce("root", "set")).drop("node")
+
+
+def representative_pairs(bands: DataFrame, found: DataFrame, percent: int, seeds: range) -> DataFrame:
+    """(a, a_n, b, b_n): each set of (k, key, set, n) with its groups' representatives, one by each seed, where these are of another component.
+
+    A group may be of any size: its rows are salted, and a group of one component makes none.
+    """
+    rows = _rooted(bands, found).withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALT)).cast("int"))
+    chosen = rows.groupBy("k", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*(F.min_by(F.struct("set", "n", "root"), F.xxhash64("set", "k", F.lit(i))) for i in seeds))).alias("r")).where("low <> high")
+    chosen = chosen.select("k", "key", F.explode("r").alias("r")).select("k", "key", "r", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    pairs = rows.join(chosen, ["k", "key", "salt"]).where("root <> r.root")
+    one, two = F.struct("set", "n"), F.struct(F.col("r.set").alias("set"), F.col("r.n").alias("n"))
+    pairs = pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    return pairs.select(F.col("a.set").alias("a"), F.col("a.n").alias("a_n"), F.col("b.set").alias("b"), F.col("b.n").alias("b_n")).where(_sizes_fit(percent))
+
+
+def contracted(able: DataFrame, percent: int) -> DataFrame:
+    """(node, root): components of the links found with representatives, in a few turns."""
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.xxhash64(F.get("mins", F.lit(2 * k)), F.get("mins", F.lit(2 * k + 1))).alias("key")) for k in range(MINS // 2)))
+    bands = written(able.where(F.size("mins") > 0).select("set", "n", F.explode(keys).alias("b")).select("b.k", "b.key", "set", "n"), "bands")
+    found = able.sparkSession.createDataFrame([], "node long, root long")
+    for turn, several in enumerate(TURNS):
+        begun = sum(TURNS[:turn])
+        new = written(verified(representative_pairs(bands, found, percent, range(begun, begun + several)), able, percent), "close")
+        if new.isEmpty():
+            break
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        drop_written(new)
+    drop_written(bands)
+    return found
 
 
 def prefix_pairs(able: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(a, a_n, b, b_n): sets of different components (node, root) that agree in one of both's rarest n-grams and may still reach the overlap behind it."""
     leads = able.where(F.size("lead") > 0).select("set", "n", F.explode(F.arrays_zip("lead", "places")).alias("l"))
     leads = leads.select("set", "n", F.col("l.lead").alias("h"), F.col("l.places").alias("place"))
-    leads = leads.join(found, leads["set"] == found["node"], "left").select("h", "place", "set", "n", F.coalesce("root", "set").alias("root"))
-    leads = written(leads, "leads")
+    leads = written(_rooted(leads, found).select("h", "place", "set", "n", "root"), "leads")
     open_ = leads.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
     leads = leads.join(open_, "h", "left_semi")
     a = leads.select("h", *(F.col(c).alias(f"a_{c}") for c in ("place", "set", "n", "root")))
@@ -282,11 +308,11 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, pe
     hot, counts = hot_ngrams(docs)
     fragments = max(1, -(-total // FRAGMENT))
     able = written(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), percent), "able")
-    close = written(verified(representative_pairs(able, percent), able, percent), "close")
-    other = written(verified(prefix_pairs(able, components(close), percent), able, percent), "links")
-    found = components(close.unionByName(other))
+    near = contracted(able, percent)
+    other = written(verified(prefix_pairs(able, near, percent), able, percent), "links")
+    found = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(other))
     least = docs.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    rooted = least.join(found, least["set"] == found["node"], "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    rooted = _rooted(least, found)
     label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
     drop_written(able)
     joined = docs.select("id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(label, "set", "left")

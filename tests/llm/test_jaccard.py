@@ -115,3 +115,25 @@ def test_sets_of_a_slice():
     hashes, sizes = jaccard.ngram_sets(*utf8(pa.array(texts)), 5)
     assert sizes.tolist() == [len(_grams(t, 5)) for t in texts]
     assert len(set(jaccard.set_ids(hashes, sizes).tolist())) == 5
+
+
+def test_many_near_sets_make_few_pairs(spark):
+    """A common passage, and variants of one text: the prefix join is left with next to nothing."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2])):
+            w[rng.randrange(len(w))] = f"own{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w[:80] + passage + w[80:])))
+    rows += [(1000 + i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(300)]
+    texts = spark.createDataFrame(rows, "id long, t string")
+    none = np.zeros(0, np.uint64)
+    able = jaccard._able(jaccard._shared(jaccard._segments(texts.select("t"), 5, 1, none), 1, none, none.astype(np.int64)), 80).cache()
+    near = jaccard.contracted(able, 80)
+    assert near.count() >= 290
+    assert jaccard.prefix_pairs(able, near, 80).count() <= 3000  # of 45,000
+    got = {r.id: r.component_id for r in jaccard.jaccard_components(texts, "id", "t").collect()}
+    assert got == {i: c for i, _, c in _plain(rows)}
