@@ -32,8 +32,9 @@ from binomia.llm.common import drop_written, release, spans, utf8, written
 from binomia.llm.simhash import components
 from binomia.llm.words import mixed, word_keys
 
-SLICE = 4 << 20  # bytes of text worked on at a time
-FRAGMENT = 1 << 20  # n-grams in a fragment, about
+SLICE = 1 << 20  # bytes of text worked on at a time
+FRAGMENT = 1 << 19  # n-grams in a fragment, about
+PACK = 1 << 19  # n-grams gathered before they are packed by fragments
 SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 14, 64, 1 << 17  # sets looked at for hot n-grams, sets that make one hot, n-grams listed at most
 HOT = 1 << 30  # places hot n-grams behind all others
 PARTS = 16  # fragments in which a pair's overlap is counted
@@ -158,8 +159,17 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
 def _segments(df: DataFrame, n: int, fragments: int, hot: np.ndarray) -> DataFrame:
     """Packed segments of the sets of (t), each set once a task; place: the fragment, or below zero one of those that hot n-grams are dealt over by set."""
 
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        h, sets, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        place = ((h >> np.uint64(16)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            place = np.where(hot[at] == h, -1 - (mixed(sets.view(np.uint64)) % np.uint64(fragments)).astype(np.int64), place)
+        return _packed(place, sets, size, h)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held, total = [], 0
         for _, hashes, sizes, ids in _slices(batches, 0, n):
             new = []
             for s, size in zip(ids.tolist(), sizes.tolist(), strict=True):
@@ -167,13 +177,13 @@ def _segments(df: DataFrame, n: int, fragments: int, hot: np.ndarray) -> DataFra
                 seen.add(s)
             keep = np.array(new, bool)
             own = np.repeat(keep, sizes)
-            h, sets, size = hashes[own] >> np.uint64(16), np.repeat(ids[keep], sizes[keep]), np.repeat(sizes[keep], sizes[keep])
-            place = ((h >> np.uint64(16)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-            if len(hot) and len(h):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                place = np.where(hot[at] == h, -1 - (mixed(sets.view(np.uint64)) % np.uint64(fragments)).astype(np.int64), place)
-            if len(h):
-                yield _packed(place, sets, size, h)
+            held.append((hashes[own] >> np.uint64(16), np.repeat(ids[keep], sizes[keep]), np.repeat(sizes[keep], sizes[keep])))
+            total += len(held[-1][0])
+            if total >= PACK:
+                yield packed(held)
+                held, total = [], 0
+        if total:
+            yield packed(held)
         release()
 
     return df.mapInArrow(run, _PACKED)
@@ -200,7 +210,9 @@ def _shared(segments: DataFrame, ranges: int, hot: np.ndarray, hot_counts: np.nd
         order = np.argsort(sets, kind="stable")
         sets, sizes, h, held = sets[order], sizes[order], h[order], held[order]
         place = ((sets.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        return pa.Table.from_batches([_packed(place, sets, sizes, h, held)])
+        out = pa.Table.from_batches([_packed(place, sets, sizes, h, held)])
+        release()
+        return out
 
     return segments.groupBy("place").applyInArrow(run, _PACKED)
 
