@@ -10,7 +10,8 @@ from binomia.functions.distance import osa_within
 from binomia.functions.text import CANDIDATE, HYPHENATED, SHORT_GENUS, WORD, bound, matches, starts
 
 ASIS, HYPHEN, SHORT = 1, 2, 3
-PREFIX = 3
+CUTS, LISTED = (40, 8, 5, 4, 3), 20_000  # letters of first words that texts' words are filtered by, and how many such beginnings a plan may hold
+HEADS, SALT = (6, 3, 2, 1), 8
 
 
 def _pass(df: DataFrame, id_col: str, text_col: str, pattern: str, rule: int) -> DataFrame:
@@ -43,19 +44,57 @@ def candidates(df: DataFrame, id_col: str, text_col: str, genera: DataFrame | No
     return out.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def first_letters(names: DataFrame) -> list[str]:
-    """The first three letters of names of two words or more: an alphabet's, so 20,000 at most whatever the number of names."""
-    return sorted(r[0] for r in names.where("n_words >= 2").select(F.substring("first_word", 1, PREFIX)).distinct().collect())
+def beginnings(names: DataFrame) -> tuple[int, list[str]]:
+    """(length, texts): how first words of names of two words or more begin, cut as long as there are at most LISTED; at 3 letters they are an alphabet's."""
+    words = names.where("n_words >= 2").select("first_word").distinct()
+    counts = words.agg(*(F.count_distinct(F.left("first_word", F.lit(n))).alias(str(n)) for n in CUTS)).first()
+    size = next((n for n in CUTS if counts[str(n)] <= LISTED), CUTS[-1])
+    return size, sorted(r[0] for r in words.select(F.left("first_word", F.lit(size))).distinct().collect())
+
+
+def _shortened(text: Column, size: Column) -> Column:
+    """text without each of its first `size` letters in turn."""
+    n = F.length(text)
+    return F.transform(F.sequence(F.lit(1), F.least(size, n)), lambda i: F.concat(F.left(text, i - 1), F.substring(text, i + 1, n)))
+
+
+def _anchors(word: Column, heads: Column) -> Column:
+    return F.array_distinct(F.transform(heads, lambda h: F.xxhash64(word, h)))
+
+
+def _head(rest: Column) -> Column:
+    """How much of what follows a name's first word is its head: the largest of HEADS that fits."""
+    size = F.lit(HEADS[-1])
+    for h in reversed(HEADS):
+        size = F.when(F.length(rest) >= h, F.lit(h)).otherwise(size)
+    return size
+
+
+def name_anchors(rest: Column, word: Column) -> Column:
+    """Hashes of a name's first word with its head, whole and without each letter."""
+    size = _head(rest)
+    head = F.left(rest, size)
+    return _anchors(word, F.concat(F.array(head), _shortened(head, size)))
+
+
+def text_anchors(rest: Column, word: Column, sizes: list[int]) -> Column:
+    """Hashes under which a text meets every name whose head is at most one edit off: heads of each of the sizes, a letter less, and without each letter of these and of one more."""
+    out = []
+    for h in sizes:
+        head, more = F.left(rest, F.lit(h)), F.left(rest, F.lit(h + 1))
+        out += [F.array(head, F.left(rest, F.lit(h - 1))), _shortened(head, F.lit(h)), F.filter(_shortened(more, F.lit(h + 1)), lambda x, h=h: F.length(x) == h)]
+    return _anchors(word, F.concat(*out))
 
 
 def common_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
     """(doc_id, idx, end, text, suggestion, common_name, exact): names of two words or more, as they are or one edit off.
 
     A text is split into words once. Of each word that begins like a name, its place and as much text as the longest name needs are
-    kept, so that texts aren't moved; these rows meet names by the first word.
+    kept, so that texts aren't moved. These rows meet names by anchors: the first word with the next letters, whole or with a letter left out, so that
+    a word that begins many names and stands in every text is no key; an anchor's rows are salted.
     """
     long = names.where("n_words >= 2").select("first_word", "l_name", "name", "binomial")
-    prefixes, longest = first_letters(names), long.agg(F.max(F.length("l_name"))).first()[0] or 0
+    (cut, prefixes), longest = beginnings(names), long.agg(F.max(F.length("l_name"))).first()[0] or 0
     if not prefixes:
         prefixes = [""]
     near = longest + 2  # an inserted letter, and the one after the name
@@ -66,15 +105,21 @@ def common_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame) ->
         gaps = F.transform(F.slice(between, F.lit(1), F.size(words)), lambda g: F.length(g))
         at = bound(F.zip_with(gaps, words, lambda g, w: g + F.length(w)), starts)
         place = F.zip_with(at, gaps, lambda a, g: a + g)
-        own = F.filter(F.arrays_zip(words.alias("w"), place.alias("idx"), F.sequence(F.lit(1), F.size(words)).alias("k")), lambda x: F.lower(F.substring(x["w"], 1, PREFIX)).isin(prefixes))
-        rest = lambda k: F.array_join(F.zip_with(F.slice(words, k, pieces), F.slice(between, k + 1, pieces), lambda w, g: F.concat(F.coalesce(w, F.lit("")), F.substring(g, 1, near))), "")
-        return F.transform(own, lambda x: F.struct(x["idx"].alias("idx"), F.lower(x["w"]).alias("first_word"), F.substring(rest(x["k"]), 1, near).alias("t")))
+        own = F.filter(F.arrays_zip(words.alias("w"), place.alias("idx"), F.sequence(F.lit(1), F.size(words)).alias("k")), lambda x: F.lower(F.left(x["w"], F.lit(cut))).isin(prefixes))
+        tail = lambda k: F.array_join(F.zip_with(F.slice(words, k, pieces), F.slice(between, k + 1, pieces), lambda w, g: F.concat(F.coalesce(w, F.lit("")), F.substring(g, 1, near))), "")
+        return F.transform(own, lambda x: F.struct(x["idx"].alias("idx"), F.lower(x["w"]).alias("word"), F.substring(tail(x["k"]), 1, near).alias("t")))
 
     text = F.col(text_col)
     parts = F.struct(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"), F.split(text, WORD, -1).alias("between"))
     docs = df.where(text.isNotNull() & text.rlike(WORD))
-    met = docs.select(F.col(id_col).alias("doc_id"), F.explode(bound(parts, hits)).alias("m")).select("doc_id", "m.*").join(long, "first_word")
-    each = met.withColumn("size", F.length("l_name")).withColumn("n", F.length("t"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(bound(parts, hits)).alias("m")).select("doc_id", "m.*")
+    after = lambda whole, word: F.substring(whole, F.length(word) + 1, F.length(whole))
+    rest = after(F.col("l_name"), F.col("first_word"))
+    sizes = sorted(r[0] for r in long.select(_head(rest)).distinct().collect()) or [HEADS[0]]  # of HEADS
+    salt = F.pmod(F.xxhash64("doc_id", "idx"), F.lit(SALT)).cast("int")
+    found = found.select("doc_id", "idx", "word", "t", salt.alias("salt"), F.explode(text_anchors(F.lower(after(F.col("t"), F.col("word"))), F.col("word"), sizes)).alias("anchor"))
+    index = long.select("*", F.explode(name_anchors(rest, F.col("first_word"))).alias("anchor")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    each = found.join(index, ["anchor", "salt"]).where("word = first_word").withColumn("size", F.length("l_name")).withColumn("n", F.length("t"))
 
     def slice_of(delta: int):
         return F.lower(F.substring("t", F.lit(1), F.col("size") + delta))
@@ -88,7 +133,8 @@ def common_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame) ->
     long_enough = F.col("size") >= 6
     delta = F.when(exact, 0).when(long_enough & one_off(-1), -1).when(long_enough & one_off(0), 0).when(long_enough & one_off(1), 1)
     out = each.withColumn("exact", exact).withColumn("length", F.col("size") + delta).where("length is not null")
-    return out.select("doc_id", "idx", (F.col("idx") + F.col("length")).alias("end"), F.substring("t", F.lit(1), F.col("length")).alias("text"), F.col("binomial").alias("suggestion"), F.col("name").alias("common_name"), "exact")
+    out = out.select("doc_id", "idx", (F.col("idx") + F.col("length")).alias("end"), F.substring("t", F.lit(1), F.col("length")).alias("text"), F.col("binomial").alias("suggestion"), F.col("name").alias("common_name"), "exact", "l_name")
+    return out.dropDuplicates(["doc_id", "idx", "l_name"]).drop("l_name")  # names meet under several anchors
 
 
 def outside(hits: DataFrame, spans: DataFrame) -> DataFrame:

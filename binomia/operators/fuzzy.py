@@ -1,35 +1,80 @@
-"""Nearest dictionary name of a pair of words, by a blocked equi-join."""
+"""Nearest dictionary name of a pair of words, by an index of shortened forms.
+
+Words at most d edits apart (insertions, deletions, changes, swaps of neighbours) have a form in common that each gives by leaving out at most d letters. With two edits for both
+words together, a name is indexed under its genus and species with up to two letters left out between them; pairs are shortened alike and meet names by equality. A
+key holds nearly all of both words, so what meets hardly grows with the dictionary, and no key is hot.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binomia.functions.distance import osa_within
+from binomia.functions.text import bound
 
 MAX = 2
 LONG = 8  # from this length on a genus may begin with a letter near by
 NEAR = 2
 
 
-def nearest(pairs: DataFrame, names: DataFrame, payload: str) -> DataFrame:
-    """(l_genus, l_species, payload, dist, genus_dist): the entry of names with the least sum of both words' distances, 2 at most.
+def without_one(word: Column) -> Column:
+    """The word's forms with one letter left out."""
+    n, some = F.length(word), F.array().cast("array<string>")
+    return F.when(n == 0, some).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.left(word, i - 1), F.substring(word, i + 1, n)))))
 
-    pairs: distinct (l_genus, l_species); names: (ord, l_genus, l_species, payload). Of entries as near the first in
-    order wins. Genera meet by first letter and length, which loses nothing: an entry passes only with the same first
-    letter - or, for long genera, one at most two letters away - and a length at most two apart.
-    """
-    letter = F.ascii(F.substring("l_genus", 1, 1))
-    letters = F.when(F.length("l_genus") >= LONG, F.sequence(letter - NEAR, letter + NEAR)).otherwise(F.array(letter))
-    lengths = F.sequence(F.length("l_genus") - MAX, F.length("l_genus") + MAX)
+
+def without_two(word: Column) -> Column:
+    """The word's forms with two letters left out."""
+    n, some = F.length(word), F.array().cast("array<string>")
+    cut = lambda i, j: F.concat(F.left(word, i - 1), F.substring(word, i + 1, j - i - 1), F.substring(word, j + 1, n))
+    both = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: cut(i, j))))
+    return F.when(n < 2, some).otherwise(F.array_distinct(both))
+
+
+def keys(genus: Column, species: Column) -> Column:
+    """Hashes of both words with up to two letters left out between them."""
+    hashed = lambda g, s: F.transform(g, lambda x: F.xxhash64(x, s))
+
+    def of(b: Column) -> Column:
+        g, s = b["g"], b["s"]
+        g1, s1 = b["g1"], b["s1"]
+        each = F.flatten(F.transform(s1, lambda y: hashed(g1, y)))
+        return F.array_distinct(F.concat(F.array(F.xxhash64(g, s)), hashed(g1, s), F.transform(s1, lambda y: F.xxhash64(g, y)), hashed(without_two(g), s), F.transform(without_two(s), lambda y: F.xxhash64(g, y)), each))
+
+    return bound(F.struct(genus.alias("g"), species.alias("s"), without_one(genus).alias("g1"), without_one(species).alias("s1")), of)
+
+
+def name_index(names: DataFrame, payload: str) -> DataFrame:
+    """(key, ord, e_genus, e_species, payload) of names (ord, l_genus, l_species, payload): a row a shortened form."""
+    return names.select(F.explode(keys(F.col("l_genus"), F.col("l_species"))).alias("key"), "ord", F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"), F.col(payload))
+
+
+def write_index(names: DataFrame, payload: str, table: str, path: str, buckets: int) -> DataFrame:
+    """name_index() as a bucketed table, for a list that is searched often: only the pairs are shuffled then."""
+    name_index(names, payload).repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").option("path", path).mode("overwrite").saveAsTable(table)
+    return names.sparkSession.table(table)
+
+
+def met(pairs: DataFrame, index: DataFrame, payload: str) -> DataFrame:
+    """(l_genus, l_species, ord, e_genus, e_species, payload): the candidates of each pair that the rules' filters leave, once."""
     # few bytes but much work: a number of partitions that is given isn't lowered to fit the bytes
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = pairs.select("l_genus", "l_species").repartition(parts, "l_genus", "l_species").withColumn("block_letter", F.explode(letters)).withColumn("block_length", F.explode(lengths))
-    e = names.select("ord", F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"), F.col(payload))
-    e = e.withColumn("block_letter", F.ascii(F.substring("e_genus", 1, 1))).withColumn("block_length", F.length("e_genus"))
-    met = q.join(e, ["block_letter", "block_length"]).where(F.abs(F.ascii("l_species") - F.ascii("e_species")) <= NEAR)
-    met = met.where((F.levenshtein("l_genus", "e_genus", 2 * MAX) >= 0) & (F.levenshtein("l_species", "e_species", 2 * MAX) >= 0))
+    q = pairs.select("l_genus", "l_species").repartition(parts, "l_genus", "l_species").withColumn("key", F.explode(keys(F.col("l_genus"), F.col("l_species"))))
+    apart = lambda a, b: F.abs(F.ascii(a) - F.ascii(b))
+    letter = F.when(F.length("l_genus") >= LONG, apart("l_genus", "e_genus") <= NEAR).otherwise(apart("l_genus", "e_genus") == 0)
+    fits = letter & (F.abs(F.length("l_genus") - F.length("e_genus")) <= MAX) & (apart("l_species", "e_species") <= NEAR)
+    return q.join(index, "key").where(fits).select("l_genus", "l_species", "ord", "e_genus", "e_species", payload).distinct()
+
+
+def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame | None = None) -> DataFrame:
+    """(l_genus, l_species, payload, dist, genus_dist): the entry of names with the least sum of both words' distances, 2 at most.
+
+    pairs: distinct (l_genus, l_species); names: (ord, l_genus, l_species, payload); index: of these names, if it is written already. Of entries as near the first in
+    order wins. An entry passes only with the same first letter of the genus - or, for long genera, one at most two letters away - and a length at most two apart.
+    """
+    found = met(pairs, name_index(names, payload) if index is None else index, payload)
     both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]
-    met = met.where(both[0] + both[1] <= MAX)
-    best = met.groupBy("l_genus", "l_species").agg(F.min(F.struct((both[0] + both[1]).alias("dist"), "ord", payload, both[0].alias("genus_dist"))).alias("b"))
+    near = found.where(both[0] + both[1] <= MAX)
+    best = near.groupBy("l_genus", "l_species").agg(F.min(F.struct((both[0] + both[1]).alias("dist"), "ord", payload, both[0].alias("genus_dist"))).alias("b"))
     return best.select("l_genus", "l_species", F.col(f"b.{payload}").alias(payload), "b.dist", "b.genus_dist")
