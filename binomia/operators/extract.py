@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from binomia.functions.distance import osa_within
-from binomia.functions.text import CANDIDATE, HYPHENATED, SHORT_GENUS, WORD, bound, matches, starts
+from binomia.functions.text import CANDIDATE, EITHER, HYPHENATED, SHORT_GENUS, WORD, bound, matches, starts
 
 ASIS, HYPHEN, SHORT = 1, 2, 3
 CUTS, LISTED = (40, 8, 5, 4, 3), 20_000  # letters of first words that texts' words are filtered by, and how many such beginnings a plan may hold
@@ -35,13 +35,18 @@ def short_genus(df: DataFrame, id_col: str, text_col: str, genera: DataFrame) ->
     return hits.join(genera, F.lower("genus") == genera["l_genus"], "left_semi")
 
 
+def short_genera(genera: DataFrame) -> list[str]:
+    """Genera of two letters, of which there are 676 at most."""
+    return sorted(r[0] for r in genera.where(F.col("l_genus").rlike("^[a-z]{2}$")).select("l_genus").distinct().collect())
+
+
 def candidates(df: DataFrame, id_col: str, text_col: str, genera: DataFrame | None = None) -> DataFrame:
-    """(doc_id, idx, genus, species, text, rule) of all passes, the first to start at a place."""
-    out = primary(df, id_col, text_col).unionByName(hyphenated(df, id_col, text_col))
-    if genera is not None:
-        out = out.unionByName(short_genus(df, id_col, text_col, genera))
-    best = Window.partitionBy("doc_id", "idx").orderBy("rule")
-    return out.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    """(doc_id, idx, genus, species, text, rule) of all passes in one: a match's rule shows in its words, and no two passes match at one place, so rows need not meet."""
+    short = [] if genera is None else short_genera(genera)
+    found = _pass(df, id_col, text_col, EITHER, ASIS)
+    dash, small = F.contains("species", F.lit("-")), F.length("genus") == 2
+    known = F.lower("genus").isin(short) if short else F.lit(False)
+    return found.withColumn("rule", F.when(small, SHORT).when(dash, HYPHEN).otherwise(ASIS)).where(~small | ~dash & known)
 
 
 def beginnings(names: DataFrame) -> tuple[int, list[str]]:
@@ -138,9 +143,15 @@ def common_names(df: DataFrame, id_col: str, text_col: str, names: DataFrame) ->
 
 
 def outside(hits: DataFrame, spans: DataFrame) -> DataFrame:
-    """hits (doc_id, idx, end, ...) that overlap no span (doc_id, idx, end)."""
-    s = spans.select(F.col("doc_id").alias("_doc"), F.col("idx").alias("_idx"), F.col("end").alias("_end"))
-    return hits.join(s, (hits["doc_id"] == s["_doc"]) & (hits["idx"] < s["_end"]) & (hits["end"] > s["_idx"]), "left_anti")
+    """hits (doc_id, idx, end, ...) that overlap no span (doc_id, idx, end); hits and spans may overlap among themselves.
+
+    A sweep over each text: spans in order of their beginning, each hit at its end, where it sees how far the spans begun before reach.
+    """
+    rows = hits.select(F.struct(*hits.columns).alias("_hit"), F.col("doc_id").alias("_doc"), F.col("end").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_end"))
+    marks = spans.select(F.lit(None).cast(rows.schema["_hit"].dataType).alias("_hit"), F.col("doc_id").alias("_doc"), F.col("idx").alias("_at"), F.lit(1).alias("_kind"), F.col("end").cast("int").alias("_end"))
+    before = Window.partitionBy("_doc").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)  # of one place hits come first: a span that begins where a hit ends is outside
+    swept = rows.unionByName(marks).withColumn("_far", F.max("_end").over(before))
+    return swept.where("_kind = 0").where(F.coalesce("_far", F.lit(-1)) <= F.col("_hit.idx")).select("_hit.*")
 
 
 def without_overlaps(found: DataFrame, first: Column) -> DataFrame:

@@ -85,8 +85,12 @@ def badges(found: DataFrame) -> DataFrame:
 
 
 def correct_text(df: DataFrame, id_col: str, text_col: str, found: DataFrame) -> DataFrame:
-    """(doc_id, corrected): outdated and misspelled names replaced where they stand."""
+    """(doc_id, corrected): outdated and misspelled names replaced where they stand.
+
+    Corrections are hashed by document, and texts stream past them: a table of texts that is bucketed by document (`sinks.write_texts`) is neither shuffled nor sorted.
+    """
     fixes = found.where(F.col("suggestion").isNotNull() & F.col("type").isin(*CORRECTABLE))
-    per_doc = fixes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "end", F.col("suggestion").alias("new")))).alias("spans"))
+    per_doc = fixes.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("idx", "end", F.col("suggestion").alias("new")))).alias("spans"))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    return docs.join(per_doc, "doc_id", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("t")).otherwise(splice(F.col("t"), F.col("spans"))).alias("corrected"))
+    joined = docs.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left")
+    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("t")).otherwise(splice(F.col("t"), F.col("spans"))).alias("corrected"))

@@ -78,6 +78,12 @@ def summary_markdown(summed: DataFrame) -> str:
     return "\n".join([*out, "", "## Journals", "", f"The papers come from **{r.journals}** journals.", ""])
 
 
+def write_texts(df: DataFrame, id_col: str, table: str, path: str, buckets: int) -> DataFrame:
+    """Texts as a table bucketed by document, for what is joined to them by document again and again: they are shuffled this once."""
+    df.repartition(buckets, id_col).write.bucketBy(buckets, id_col).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 CACHE = "rows"
 
 
