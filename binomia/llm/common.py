@@ -86,6 +86,7 @@ def spans(offsets: np.ndarray, at_most: int):
 
 def release() -> None:
     """Gives memory that large arrays have left to the system; a reused Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -32,10 +32,10 @@ from binomia.llm.common import drop_written, release, spans, utf8, written
 from binomia.llm.simhash import components
 from binomia.llm.words import mixed, word_keys
 
-SLICE = 1 << 20  # bytes of text worked on at a time
+SLICE = 1 << 19  # bytes of text worked on at a time
 FRAGMENT = 1 << 19  # n-grams in a fragment, about
 PACK = 1 << 19  # n-grams gathered before they are packed by fragments
-SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 14, 64, 1 << 17  # sets looked at for hot n-grams, sets that make one hot, n-grams listed at most
+SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 12, 16, 1 << 17  # sets looked at for hot n-grams, sets that make one hot, n-grams listed at most
 HOT = 1 << 30  # places hot n-grams behind all others
 PARTS = 16  # fragments in which a pair's overlap is counted
 MINS, TURNS, SALT = 16, (1, 4, 8), 16  # MinHash values, two of which make a group; a group's representatives by turn; parts that its rows are dealt over
