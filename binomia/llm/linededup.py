@@ -1,11 +1,10 @@
 """Line dedup by levelled sorted runs of line hashes; DataFrame functions only.
 
 `LineRuns` keeps, like a log-structured store, bucketed tables sorted by line hash with the number of
-documents holding the line. A batch's lines are merge-anti-joined against the settled runs (lines already
-known to be frequent need no more counting); what is left becomes a run of level 0. When a level has `fanout`
-runs they are compacted into one run of the next level: counts are summed, and the lines that reach the threshold are
-settled. A compacted run is written once and read by its counts, as the settled lines or as those still open. All runs are bucketed and sorted alike, so a merge join or a compaction of
-runs reads them without a shuffle. Two 64-bit hashes with different seeds stand for a line.
+documents holding the line. A line that reaches the threshold within a run is settled there. Documents come in batches by a hash, whatever the files' layout; each batch's lines are merge-anti-joined
+against the settled lines of all runs before it (they need no more counting), and what is left becomes a run of level 0. When a level has `fanout`
+runs they are compacted into one run of the next level: counts are summed, which settles more lines. All runs are bucketed and sorted alike, so a merge join with
+them shuffles neither side again; a compaction deals its runs out anew. Two 64-bit hashes with different seeds stand for a line. In the last join, rows of the most frequent lines are salted.
 
 Cases: a null or empty text is one empty line; empty keys are never dropped; a document counts once for a line
 it repeats; repeated rows count as documents each; a null id is a value like any other; an empty table settles
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from binomia.llm.common import LOWER, UPPER, table_path, written
 
 STRIP = " \t\n\x0b\x0c\r"
-BATCHES = 4
+BATCHES = 8
 FANOUT = 3
+SALT, HOT = 32, 8000  # rows of a line with more than a HOT-th of all lines are dealt over SALT parts; there are at most HOT such lines
 KEY = ("h1", "h2")
 
 
@@ -46,68 +46,63 @@ class LineRuns:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
-        self.settled: list[str] = []  # compacted runs
+        self.paths: dict[str, str] = {}  # of runs, by name
 
     def _write(self, df: DataFrame) -> str:
+        """df, dealt out by h1 into the buckets, as a run."""
         name = f"binomia_run_{uuid.uuid4().hex}"
-        (df.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", table_path(self.spark, "run")).saveAsTable(name))
+        self.paths[name] = table_path(self.spark, "run")
+        df.write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _runs(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
     def _settled(self, name: str) -> DataFrame:
-        """Of a compacted run, the lines that need no more counting: a filter on its table, which is written once for both uses."""
+        """Of a run, the lines that need no more counting: a filter on its table, which is written once."""
         return self.spark.table(name).where(F.col("n") >= self.threshold).select(*KEY)
 
-    def _open(self, name: str) -> DataFrame:
-        return self.spark.table(name).where(F.col("n") < self.threshold)
-
-    def _without_settled(self, df: DataFrame) -> DataFrame:
-        for name in self.settled:
-            df = df.join(self._settled(name).hint("merge"), list(KEY), "left_anti")
-        return df
+    def uncounted(self, lines: DataFrame) -> DataFrame:
+        """lines (h1, h2, ...) without those that a run has settled."""
+        for name in self._runs():
+            lines = lines.join(self._settled(name).hint("merge"), list(KEY), "left_anti")
+        return lines
 
     def add(self, batch: DataFrame) -> None:
-        """Counts a batch of (row, h1, h2): anti-joins the settled runs, then adds the rest as a run of its own."""
-        own = batch.select("row", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n"))
-        self.levels[0].append(self._write(self._without_settled(own)))
+        """Counts a batch of (row, h1, h2): anti-joins what the runs have settled, then adds the rest as a run of its own."""
+        own = batch.select("row", *KEY).distinct().repartition(self.buckets, "h1").groupBy(*KEY).agg(F.count("*").alias("n"))
+        self.levels[0].append(self._write(self.uncounted(own)))
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 self._compact(k)
 
     def _summed(self, names: list[str]) -> DataFrame:
-        """Counts of runs added up. Runs of level 0 hold any count, compacted ones are read without the lines settled in them."""
-        rows = [self._open(n) if n in self.settled else self.spark.table(n) for n in names]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return self._without_settled(out.groupBy(*KEY).agg(F.sum("n").alias("n")))  # counts begun before a line settled end here
+        """Counts of runs added up. Their files are read by path: Spark 4.1 takes a union of bucketed tables to be bucketed but reads it table by table, which leaves equal lines of two runs apart."""
+        rows = self.spark.read.schema("h1 long, h2 long, n long").parquet(*(self.paths[n] for n in names))
+        return rows.repartition(self.buckets, "h1").groupBy(*KEY).agg(F.sum("n").alias("n"))
 
     def _compact(self, level: int) -> None:
         names, self.levels[level] = self.levels[level], []
         if level + 1 == len(self.levels):
             self.levels.append([])
-        run = self._write(self._summed(names))
-        self.settled.append(run)
-        self.levels[level + 1].append(run)
-        self._drop([n for n in names if n not in self.settled])
+        self.levels[level + 1].append(self._write(self._summed(names)))
+        self._drop(names)
 
     def _drop(self, names: list[str]) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for n in names:
-            at = next(r[1] for r in self.spark.sql(f"DESCRIBE EXTENDED {n}").collect() if r[0] == "Location")
             self.spark.sql(f"DROP TABLE {n}")
-            p = jvm.org.apache.hadoop.fs.Path(at)
+            p = jvm.org.apache.hadoop.fs.Path(self.paths.pop(n))
             p.getFileSystem(conf).delete(p, True)
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of every line in at least `threshold` documents of all batches: those settled, and those that what is left of all levels adds up to."""
-        out = [self._settled(n) for n in self.settled]
-        rest = [n for level in self.levels for n in level]
-        if rest:
-            out.append(self._summed(rest).where(F.col("n") >= self.threshold).select(*KEY))
-        frequent = out[0]
-        for o in out[1:]:
-            frequent = frequent.unionByName(o)
-        return frequent
+        """(h1, h2, n) of every line in at least `threshold` documents of all batches; n counts up to where it settled."""
+        return self._summed(self._runs()).where(F.col("n") >= self.threshold)
+
+    def close(self) -> None:
+        """Deletes the runs; frames over them must not be read afterwards."""
+        self._drop(self._runs())
+        self.levels = [[]]
 
 
 def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: int = 10, batches: int = BATCHES, by_text: bool = False, keep_first: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -116,18 +111,27 @@ def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: in
     by_text: documents of equal text count as one, and come into the same batch. keep_first: the document with the smallest
     (id, text hash) of a frequent line's keeps it. carry: columns passed on; none may be named like an added one.
     """
+    clashing = set(carry) & {id_col, "n_lines", "n_dropped", "kept"}
+    if clashing:
+        raise ValueError(f"carried columns are named like added ones: {sorted(clashing)}")
     spark = df.sparkSession
     lines = line_hashes(df, id_col, text_col)
-    # a batch is what some tasks read, so that its files hold it alone and the others' are skipped; equal texts come into one batch
-    lines = lines.withColumn("row", F.col("th")).withColumn("batch", F.pmod(F.xxhash64("th"), F.lit(batches)).cast("int")).sortWithinPartitions("batch") if by_text else lines.withColumn("batch", F.spark_partition_id() % batches)
-    lines = written(lines, "lines")
+    if by_text:
+        lines = lines.withColumn("row", F.col("th"))  # equal texts come into one batch
+    lines = written(lines.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")).sortWithinPartitions("batch"), "lines")  # sorted, so that a batch's pages alone are read
     runs = LineRuns(spark, threshold)
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    hits = lines.select("id", "th", "pos", *KEY).join(runs.frequent(), list(KEY), "left_semi")
+    frequent = written(runs.frequent(), "frequent")
+    runs.close()
+    hot = [r[0] for r in frequent.where(F.col("n") * HOT > lines.count()).select("h1").collect()]
+    is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(is_hot, F.pmod(F.xxhash64("row", "pos"), F.lit(SALT)).cast("int")).otherwise(0)
+    hits = lines.select("id", "th", "pos", *KEY, salt.alias("salt")).join(frequent.select(*KEY, F.explode(parts).alias("salt")), [*KEY, "salt"], "left_semi")
     if keep_first:
-        first = hits.groupBy(*KEY).agg(F.min(F.struct("id", "th")).alias("first"))
-        hits = hits.join(first, list(KEY)).where(~F.struct("id", "th").eqNullSafe(F.col("first")))
+        first = hits.groupBy(*KEY).agg(F.min(F.struct("id", "th")).alias("first")).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("first.id").alias("f_id"), F.col("first.th").alias("f_th"))
+        hits = hits.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & (F.col("th") == F.col("f_th")) & F.col("id").eqNullSafe(F.col("f_id")), "left_anti")
     hits = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("gone"))
     hits = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "gone")
     text = F.coalesce(F.col(text_col), F.lit(""))

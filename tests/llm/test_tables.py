@@ -54,7 +54,32 @@ def test_runs_are_compacted(spark):
     for b in range(5):
         runs.add(spark.createDataFrame([(b * 10 + i, k, k) for i, k in enumerate([1, 1, 2 + b, 9])] + [(b * 10, 9, 9)], "row long, h1 long, h2 long"))
     assert sum(map(len, runs.levels)) < 5
-    assert sorted(map(tuple, runs.frequent().collect())) == [(1, 1), (9, 9)]
+    assert sorted((r.h1, r.h2) for r in runs.frequent().collect()) == [(1, 1), (9, 9)]
+    runs.close()
+
+
+def test_every_batch_but_the_first_meets_settled_lines(spark, monkeypatch):
+    """Of one partition too: batches are by hash, and each later one leaves out lines that the runs before it have settled."""
+    seen = []
+    whole = linededup.LineRuns.uncounted
+
+    def counted(self, own):
+        own = own.cache()
+        left = whole(self, own)
+        seen.append((own.count(), own.count() - left.count()))
+        return left
+
+    monkeypatch.setattr(linededup.LineRuns, "uncounted", counted)
+    rows = [(i, f"everywhere\nhere too\nown {i}\nshared {i % 400}", "en", "s", 0) for i in range(1200)] + [(None, "everywhere\nown", "en", "s", 0)] * 2
+    out = linededup.drop_frequent_lines(spark.createDataFrame(rows, DOCS).coalesce(1), "doc_id", "text", 10).collect()
+    assert len(seen) == linededup.BATCHES >= 8 and all(n > 100 for n, _ in seen)
+    assert seen[0][1] == 0 and all(met >= 2 for _, met in seen[1:])
+    assert all(r.kept == ("own" if r.doc_id is None else f"own {r.doc_id}\nshared {r.doc_id % 400}") for r in out)
+
+
+def test_carried_columns_must_not_clash(spark):
+    with pytest.raises(ValueError, match="kept"):
+        linededup.drop_frequent_lines(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, kept string"), "doc_id", "text", carry=("kept",))
 
 
 def _fingerprint(text: str | None, n: int) -> int:
