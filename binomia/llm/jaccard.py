@@ -214,10 +214,10 @@ def _shared(segments: DataFrame, ranges: int, hot: np.ndarray, hot_counts: np.nd
         release()
         return out
 
-    return segments.groupBy("place").applyInArrow(run, _PACKED)
+    return segments.repartition(ranges, "place").groupBy("place").applyInArrow(run, _PACKED)  # as many tasks as fragments, whatever a session's setting is
 
 
-def _able(shared: DataFrame, percent: int) -> DataFrame:
+def _able(shared: DataFrame, ranges: int, percent: int) -> DataFrame:
     """Of the sets that share enough n-grams to link at all: (set, n, part, hashes, lead, places, mins), a row a part of the order.
 
     lead: the shared ones among its rarest n-grams, one of which a linked set must have too, with their places among all of the set's.
@@ -246,7 +246,7 @@ def _able(shared: DataFrame, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["set", "n", "part", "hashes", "lead", "places", "mins"])
 
-    return shared.groupBy("place").applyInArrow(run, "set long, n long, part int, hashes array<long>, lead array<long>, places array<int>, mins array<long>")
+    return shared.repartition(ranges, "place").groupBy("place").applyInArrow(run, "set long, n long, part int, hashes array<long>, lead array<long>, places array<int>, mins array<long>")
 
 
 def verified(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +319,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, pe
     total = docs.agg(F.sum("n")).first()[0] or 0
     hot, counts = hot_ngrams(docs)
     fragments = max(1, -(-total // FRAGMENT))
-    able = written(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), percent), "able")
+    able = written(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), fragments, percent), "able")
     near = contracted(able, percent)
     other = written(verified(prefix_pairs(able, near, percent), able, percent), "links")
     found = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(other))

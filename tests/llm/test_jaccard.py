@@ -85,7 +85,7 @@ def test_links_missed_by_representatives_are_found(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, set string, n int")
     texts = df.selectExpr("doc_id AS id", "text AS t")
     none = np.zeros(0, np.uint64)
-    able = jaccard._able(jaccard._shared(jaccard._segments(texts.select("t"), 5, 3, none), 4, none, none.astype(np.int64)), 80).cache()
+    able = jaccard._able(jaccard._shared(jaccard._segments(texts.select("t"), 5, 3, none), 4, none, none.astype(np.int64)), 4, 80).cache()
     ids = {r.id: r.set for r in jaccard._sets(texts, 5, 1).collect()}
     sets = {ids[r[0]]: _grams(r[1], 5) for r in rows if _grams(r[1], 5)}
     expected = {frozenset((a, b)) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
@@ -131,7 +131,7 @@ def test_many_near_sets_make_few_pairs(spark):
     rows += [(1000 + i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(300)]
     texts = spark.createDataFrame(rows, "id long, t string")
     none = np.zeros(0, np.uint64)
-    able = jaccard._able(jaccard._shared(jaccard._segments(texts.select("t"), 5, 1, none), 1, none, none.astype(np.int64)), 80).cache()
+    able = jaccard._able(jaccard._shared(jaccard._segments(texts.select("t"), 5, 1, none), 1, none, none.astype(np.int64)), 1, 80).cache()
     near = jaccard.contracted(able, 80)
     assert near.count() >= 290
     assert jaccard.prefix_pairs(able, near, 80).count() <= 3000  # of 45,000
