@@ -131,19 +131,19 @@ def issue_rows(details: DataFrame, every: DataFrame, n: int = 20) -> DataFrame:
     return corrections(details, every, n).select(kind.alias("type"), "rank", F.col("binomial").alias("name_used"), blank("correction").alias("correct_name"), blank("common_name").alias("common_name"), F.col("n").alias("papers"))
 
 
-def to_tenth(x: F.Column) -> F.Column:
-    """A number of 0 to 2^26 to one place, of its binary value, a half to the even digit: ten times it is taken in two parts, each without error."""
+def rounded(x: F.Column, unit: int) -> F.Column:
+    """A number of 0 to 2^26 in units of 1/10 or 1/100, of its binary value, a half to the even digit: `unit` times it is taken in two parts, each without error."""
     whole = F.floor(x)
     part = x - whole
     high = F.floor(part * (1 << 26)) / F.lit(float(1 << 26))
-    tenths = F.floor(high * 10)
-    over, half = (part - high) * 10, F.lit(0.5) - (high * 10 - tenths)
-    up = F.when((over > half) | ((over == half) & (tenths % 2 == 1)), 1).otherwise(0)
-    return (whole * 10 + tenths + up) / F.lit(10.0)
+    units = F.floor(high * unit)
+    over, half = (part - high) * unit, F.lit(0.5) - (high * unit - units)
+    up = F.when((over > half) | ((over == half) & (units % 2 == 1)), 1).otherwise(0)
+    return (whole * unit + units + up) / F.lit(float(unit))
 
 
 def percent(n: F.Column, total: F.Column) -> F.Column:
-    return F.when(total > 0, to_tenth(n.cast("double") / total.cast("double") * 100)).otherwise(0.0)
+    return F.when(total > 0, rounded(n.cast("double") / total.cast("double") * 100, 10)).otherwise(0.0)
 
 
 def journals(papers: DataFrame, n: int = 15) -> DataFrame:
@@ -156,7 +156,7 @@ KINDS = ("issues", "outdated", "misspelled", "changed", "unknown")
 def summary(results: DataFrame, details: DataFrame, known: DataFrame) -> DataFrame:
     """One row with the corpus's figures and short lists. results: (doc_id, ...) of all papers, details: names of all, known: metadata of papers.
 
-    The lists hold 10 to 30 elements each, that of excluded papers one for each. Each part has one row, so they meet without a shuffle.
+    The lists hold 10 to 30 elements each; excluded papers are counted here, and listed by excluded_papers(). Each part has one row, so they meet without a shuffle.
     """
     marked = with_metadata(with_exclusion(results), known)
     papers, names = marked.where("not excluded"), included_details(details)
@@ -173,7 +173,7 @@ def summary(results: DataFrame, details: DataFrame, known: DataFrame) -> DataFra
         top_species(names).agg(ranked(names, "species", "n").alias("top_species")),
         journals(papers).agg(ranked(papers, "journal", "n").alias("top_journals")),
         top_papers(papers).withColumn("rank", F.struct(-F.col("issues"), "doc_id")).agg(ranked(papers, "doc_id", "title", "journal", "issues").alias("top_papers")),
-        marked.where("excluded").agg(F.count("*").alias("excluded"), F.sort_array(F.collect_list(F.struct("doc_id", "doi", "title", F.round("ratio", 2).alias("ratio"), "unknown"))).alias("excluded_papers")),
+        marked.where("excluded").agg(F.count("*").alias("excluded")),
     ]
     out = flags
     for part in parts:
@@ -181,6 +181,12 @@ def summary(results: DataFrame, details: DataFrame, known: DataFrame) -> DataFra
     return out
 
 
+def excluded_papers(results: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, doi, title, ratio, rounded_ratio, unknown) of the papers that don't count: a table, as there may be any number of them."""
+    out = with_metadata(with_exclusion(results).where("excluded"), known)
+    return out.select("doc_id", "doi", "title", "ratio", rounded(F.col("ratio"), 100).alias("rounded_ratio"), "unknown")
+
+
 def metrics(summed: DataFrame) -> DataFrame:
     """(place, metric, value): rows of the summary table; of types only those found."""
     shown = lambda k: F.concat(F.col(f"with_{k}").cast("string"), F.lit(" ("), F.when(F.col("papers") > 0, F.col(f"pct_{k}").cast("string")).otherwise("0"), F.lit("%)"))

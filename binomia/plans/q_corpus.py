@@ -88,8 +88,8 @@ def a8_issue_papers(spark, sf):
 
 def p9_exclusion(spark, sf):
     """Excluded papers with what is known of them (J10, A9)."""
-    out = corpus.with_metadata(corpus.with_exclusion(_results(spark, sf)).where("excluded"), _known(spark, sf))
-    return out.select("doc_id", "ratio", "unknown", "doi", "title", F.lit("low_na_species_ratio").alias("reason"))
+    out = corpus.excluded_papers(_results(spark, sf), _known(spark, sf))
+    return out.select("doc_id", "ratio", "rounded_ratio", "unknown", "doi", "title", F.lit("low_na_species_ratio").alias("reason"))
 
 
 def a10_fig1(spark, sf):
@@ -125,7 +125,7 @@ def r7_summary(spark, sf):
     return s.select(
         "papers", "excluded", *(f"with_{k}" for k in corpus.KINDS), *(f"pct_{k}" for k in corpus.KINDS), "species_mentions", "journals", F.array_join(F.transform(F.map_entries("totals"), lambda e: F.concat_ws(":", e["key"], e["value"])), ";").alias("totals"),
         *(text(c, lambda x: F.concat_ws(":", x["binomial"], x["n"])) for c in ("top_outdated", "top_misspelled", "top_changed")), text("top_species", lambda x: F.concat_ws(":", x["species"], x["n"])), text("top_journals", lambda x: F.concat_ws(":", x["journal"], x["n"])),
-        text("top_papers", lambda x: F.concat_ws(":", x["doc_id"], x["title"], x["journal"], x["issues"])), text("excluded_papers", lambda x: F.concat_ws(":", x["doc_id"], x["doi"], x["title"], x["unknown"])),
+        text("top_papers", lambda x: F.concat_ws(":", x["doc_id"], x["title"], x["journal"], x["issues"])),
     )
 
 
@@ -154,9 +154,12 @@ def k6_table2(spark, sf):
 def k5_summary_json(spark, sf):
     """The summary written as JSON and read back."""
     path = new_path(spark, "summary")
-    sinks.write_json(_summary(spark, sf), path)
-    back = spark.read.schema("papers long, excluded long, pct_issues double, totals map<string,long>, top_species array<struct<species:string,n:long>>, excluded_papers array<struct<doc_id:long>>").json(path)
-    return back.select("papers", "excluded", "pct_issues", F.try_element_at("totals", F.lit("unknown")).alias("unknown"), F.col("top_species")[0]["species"].alias("first_species"), F.size("excluded_papers").cast("long").alias("listed"))
+    results, details = _papers(spark, sf)
+    known = _known(spark, sf)
+    sinks.write_summary(corpus.summary(results, details, known), corpus.excluded_papers(results, known), path)
+    back = spark.read.schema("papers long, excluded long, pct_issues double, totals map<string,long>, top_species array<struct<species:string,n:long>>").json(f"{path}/head")
+    listed = spark.read.schema("doc_id long, rounded_ratio double").json(f"{path}/excluded").agg(F.count("*").alias("listed"))
+    return back.crossJoin(listed).select("papers", "excluded", "pct_issues", F.try_element_at("totals", F.lit("unknown")).alias("unknown"), F.col("top_species")[0]["species"].alias("first_species"), "listed")  # one row each
 
 
 def k4_results_json(spark, sf):
@@ -587,7 +590,7 @@ ORACLES = {
     "a7_journals": sql("SELECT row_number() OVER (ORDER BY n DESC, journal)::INTEGER AS rank, journal, n FROM (SELECT journal, count(*) AS n FROM meta JOIN inc USING (doc_id) GROUP BY 1) ORDER BY n DESC, journal LIMIT 15", *_B, _KNOWN),
     "a8_issue_papers": sql("SELECT doc_id, issues, unique_binomials FROM inc ORDER BY issues DESC, doc_id LIMIT 10", *_B),
     "j10_metadata": sql("SELECT * FROM meta", *_B, _KNOWN),
-    "p9_exclusion": sql("SELECT doc_id, ratio, unknown, doi, title, 'low_na_species_ratio' AS reason FROM ratios JOIN meta USING (doc_id) WHERE ratio < 0.3 AND unknown > 3", *_B, _KNOWN),
+    "p9_exclusion": sql("SELECT doc_id, ratio, CAST(printf('%.2f', ratio) AS DOUBLE) AS rounded_ratio, unknown, doi, title, 'low_na_species_ratio' AS reason FROM ratios JOIN meta USING (doc_id) WHERE ratio < 0.3 AND unknown > 3", *_B, _KNOWN),
     "a10_fig1": sql("SELECT list_position(['valid', 'changed', 'common_name', 'outdated', 'misspelled', 'unknown'], type)::INTEGER AS place, type, count(*) AS n FROM ib WHERE type IN ('valid', 'changed', 'common_name', 'outdated', 'misspelled', 'unknown') GROUP BY type", *_B),
     "a11_fig2": sql("SELECT errors, count(issues) AS papers FROM (VALUES ('0', 0, 0), ('1', 1, 1), ('2', 2, 2), ('3+', 3, 1000000000)) t(errors, least, most) LEFT JOIN inc ON issues BETWEEN least AND most GROUP BY 1", *_B),
     "a11_fig2_legacy": sql("SELECT errors, count(i) AS papers FROM (VALUES ('0', 0, 0), ('1', 1, 1), ('2', 2, 2), ('3+', 3, 1000000000)) t(errors, least, most) LEFT JOIN (SELECT CASE WHEN issues = 0 THEN 0 WHEN row_number() OVER (ORDER BY issues DESC, doc_id) <= 10 THEN issues ELSE 1 END AS i FROM inc) ON i BETWEEN least AND most GROUP BY 1", *_B),
@@ -604,8 +607,7 @@ ORACLES = {
   (SELECT coalesce(string_agg(binomial || ':' || n, ';' ORDER BY rank), '') FROM tops WHERE type = 'changed' AND rank <= 20) AS top_changed,
   (SELECT coalesce(string_agg(species || ':' || n, ';' ORDER BY n DESC, species), '') FROM (SELECT species, count(*) AS n FROM sp GROUP BY 1 ORDER BY n DESC, species LIMIT 30)) AS top_species,
   (SELECT coalesce(string_agg(journal || ':' || n, ';' ORDER BY n DESC, journal), '') FROM (SELECT journal, count(*) AS n FROM meta JOIN inc USING (doc_id) GROUP BY 1 ORDER BY n DESC, journal LIMIT 15)) AS top_journals,
-  (SELECT coalesce(string_agg(doc_id || ':' || title || ':' || journal || ':' || issues, ';' ORDER BY issues DESC, doc_id), '') FROM (SELECT * FROM inc JOIN meta USING (doc_id) ORDER BY issues DESC, doc_id LIMIT 10)) AS top_papers,
-  (SELECT coalesce(string_agg(doc_id || ':' || doi || ':' || title || ':' || unknown, ';' ORDER BY doc_id), '') FROM ratios JOIN meta USING (doc_id) WHERE ratio < 0.3 AND unknown > 3) AS excluded_papers FROM flags""", *_B, _KNOWN, _FLAGS, _TOP, _SPECIES.format("ib")),
+  (SELECT coalesce(string_agg(doc_id || ':' || title || ':' || journal || ':' || issues, ';' ORDER BY issues DESC, doc_id), '') FROM (SELECT * FROM inc JOIN meta USING (doc_id) ORDER BY issues DESC, doc_id LIMIT 10)) AS top_papers FROM flags""", *_B, _KNOWN, _FLAGS, _TOP, _SPECIES.format("ib")),
     "f16_percent": "SELECT n, total, CAST(printf('%.1f', n / total * 100) AS DOUBLE) AS share FROM (SELECT DISTINCT total, unnest(range(0, total + 1)) AS n FROM (SELECT c_custkey % 64 + 1 AS total FROM customer))",
     "k1_dictionary_artefact": f"WITH {_LINES}, d AS (SELECT *, genus || ' ' || species AS binomial FROM species QUALIFY row_number() OVER (PARTITION BY genus || ' ' || species ORDER BY page, line_no) = 1) SELECT binomial, tax_class, tax_order, tax_family, author, occurrence, flags, common_name_en, common_name_es, common_name_fr, (SELECT count(*) FROM d)::INTEGER AS species_count, (SELECT count(DISTINCT genus) FROM d)::INTEGER AS genera FROM d",
     "k2_cache": f"WITH {_PARTS}, {_CACHE} SELECT binomial, valid, CASE WHEN length(binomial) % 4 = 0 THEN 'again' ELSE current_name END AS current_name, array_to_string(synonyms, ',') AS synonyms FROM cache",

@@ -41,6 +41,12 @@ def write_json(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_summary(head: DataFrame, excluded: DataFrame, path: str) -> None:
+    """A summary as two tables: its one row as a JSON file in `head`, and the papers that don't count, a line each, in `excluded`."""
+    write_json(head, f"{path}/head")
+    excluded.write.mode("overwrite").json(f"{path}/excluded")
+
+
 def write_dictionary(d: Dictionary, path: str) -> None:
     dictionary_frame(d).coalesce(1).write.mode("overwrite").json(path)
 

@@ -143,7 +143,7 @@ def test_excluded_papers_do_not_count(spark):
     s = corpus.summary(results, details, known)
     r = s.collect()[0]
     assert (r.papers, r.excluded, r.with_issues, r.pct_issues, r.species_mentions, r.journals) == (16, 1, 1, 6.2, 16, 2)  # 6.25, a half to the even digit
-    assert [(x.doc_id, x.title) for x in r.excluded_papers] == [(17, "T17")]
+    assert [(x.doc_id, x.title, x.rounded_ratio) for x in corpus.excluded_papers(results, known).collect()] == [(17, "T17", 0.17)]
     assert [(x.doc_id, x.issues) for x in r.top_papers][:2] == [(1, 1), (2, 0)] and len(r.top_papers) == 10
     assert [(x.journal, x.n) for x in r.top_journals] == [("J", 15), ("Unknown", 1)]
     shown = {m.metric: m.value for m in corpus.metrics(s).collect()}
@@ -154,6 +154,12 @@ def test_excluded_papers_do_not_count(spark):
     assert (none.papers, none.excluded, none.pct_issues) == (0, 0, 0.0)
 
 
+def test_hundredths_are_pythons(spark):
+    pairs = [(n, total) for total in (*range(1, 130), 200, 400, 800, 1600, 99991) for n in range(0, total + 1, max(1, total // 400))]
+    rows = spark.createDataFrame(pairs, "n long, total long").select("n", "total", corpus.rounded(F.col("n") / F.col("total"), 100).alias("p")).collect()
+    assert all(r.p == round(r.n / r.total, 2) for r in rows)
+
+
 def test_tenths_are_pythons(spark):
     pairs = [(n, total) for total in (*range(1, 130), 800, 1600, 99991) for n in range(0, total + 1, max(1, total // 90))]
     rows = spark.createDataFrame(pairs, "n long, total long").select("n", "total", corpus.percent(F.col("n"), F.col("total")).alias("p")).collect()
