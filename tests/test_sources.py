@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 import threading
 import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -87,6 +89,38 @@ class Service(BaseHTTPRequestHandler):
         pass
 
 
+class Pages(BaseHTTPRequestHandler):
+    """Year y has y - 1999 pages of two rows; one page may be broken."""
+
+    broken: tuple[str, str] | None = None
+    asked: list[str] = []
+
+    def do_GET(self):  # noqa: N802
+        path = unquote(self.path)
+        Pages.asked.append(path)
+        year, cursor = re.search("publication_year:([0-9]+)", path).group(1), re.search("cursor=([^&]+)", path).group(1)
+        k = 0 if cursor == "*" else int(cursor)
+        if Pages.broken == (year, str(k)) and "title" in path:
+            self.send_error(503)
+            return
+        more = k + 1 < int(year) - 1999
+        body = {"results": [{"doi": f"{year}/{k}/{i}", "publication_year": int(year)} for i in range(2)], "meta": {"next_cursor": str(k + 1) if more else None}}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def pages():
+    s = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}/q"
+    s.shutdown()
+
+
 @pytest.fixture
 def service():
     s = HTTPServer(("127.0.0.1", 0), Service)
@@ -106,11 +140,50 @@ def test_http(spark, service):
     assert [r.doi for r in works.where("year > 2023").select("doi").collect()] == ["10.1/a", "10.1/a"]
     Service.asked.clear()
     rows = works.where("year > 2023 and language = 'en' and is_oa and type = 'article' and concept = 'C1' and country in ('US', 'CA')").collect()
-    assert [(r.doi, r.concept) for r in rows] == [("10.1/a", "C1")] * 2
+    assert sorted((r.doi, r.concept, r.country) for r in rows) == [("10.1/a", "C1", c) for c in ("CA", "CA", "US", "US")]
     for part in ("publication_year:>2023", "language:en", "is_oa:true", "type:article", "concepts.id:C1", "authorships.institutions.country_code:"):
         assert part in Service.asked[-1]
 
 
+def test_works_by_year(spark, pages):
+    """A partition a year; a page that fails is an error, not an end."""
+    http.register(spark)
+    works = spark.read.format("works").option("url", pages).option("years", "2001-2003").option("wait", "0.01").load()
+    Pages.broken = None
+    assert works.rdd.getNumPartitions() == 3
+    assert sorted(r.doi for r in works.collect()) == sorted(f"{y}/{k}/{i}" for y in (2001, 2002, 2003) for k in range(y - 1999) for i in range(2))
+    Pages.broken = ("2003", "3")
+    with pytest.raises(Exception, match="could not be read"):
+        works.collect()
+    Pages.broken = None
+
+
+def test_a_stream_of_works_goes_on_where_it_broke_off(spark, pages, tmp_path):
+    http.register(spark)
+    ledger = Ledger(spark, str(tmp_path / "works"))
+
+    def run() -> None:
+        stream = spark.readStream.format("works").option("url", pages).option("years", "2001-2003").option("wait", "0.01").option("pages", "2").load()
+        query = stream.writeStream.foreachBatch(lambda df, k: ledger.commit("works", k, {"rows": df.select("doi", "year")})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    Pages.broken, Pages.asked = None, []
+    run()
+    got = lambda: sorted(r.doi for r in ledger.read("rows", "doi string, year int").collect())
+    every = sorted(f"{y}/{k}/{i}" for y in (2001, 2002, 2003) for k in range(y - 1999) for i in range(2))
+    assert 0 < len(got()) <= len(every)
+    Pages.broken = ("2003", "3")
+    for _ in range(3):
+        with contextlib.suppress(Exception):
+            run()
+    assert "2003/3/0" not in got()
+    Pages.broken, Pages.asked = None, []
+    for _ in range(3):
+        run()
+    assert got() == every  # each row once
+    assert not any("publication_year:2001" in a for a in Pages.asked)  # what was done isn't asked for again
+
+
 def test_sinks(spark, tmp_path):
     details = spark.createDataFrame([(1, 0, "A b", "valid", None, "x"), (1, 9, "C d", "outdated", "E f", None)], "doc_id long, idx int, binomial string, type string, suggestion string, common_name string")
     results = spark.createDataFrame([(1, 5, 2), (2, 0, 0)], "doc_id long, candidates_found long, unique_binomials long")
