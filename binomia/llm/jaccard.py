@@ -20,6 +20,7 @@ table gives an empty result. Other columns are left out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binomia.llm.common import drop_written, release, spans, utf8, written
+from binomia.llm.common import drop_written, release, spans, table_path, utf8, written
 from binomia.llm.simhash import components
 from binomia.llm.words import mixed, word_keys
 
-SLICE = 1 << 19  # bytes of text worked on at a time
+SLICE = 1 << 18  # bytes of text worked on at a time
 FRAGMENT = 1 << 19  # n-grams in a fragment, about
-PACK = 1 << 19  # n-grams gathered before they are packed by fragments
+PACK = 1 << 17  # n-grams gathered before they are packed by fragments
 SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 12, 16, 1 << 17  # sets looked at for hot n-grams, sets that make one hot, n-grams listed at most
 HOT = 1 << 30  # places hot n-grams behind all others
 PARTS = 16  # fragments in which a pair's overlap is counted
-MINS, TURNS, SALT = 16, (1, 4, 8), 16  # MinHash values, two of which make a group; a group's representatives by turn; parts that its rows are dealt over
+MINS, TURNS, SALT = 16, (1, 6), 16  # MinHash values, two of which make a group; a group's representatives by turn; parts that its rows are dealt over
 _MUL, _SET = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1 << 63, size=MINS, dtype=np.uint64)
 
@@ -177,7 +178,7 @@ def _segments(df: DataFrame, n: int, fragments: int, hot: np.ndarray) -> DataFra
                 seen.add(s)
             keep = np.array(new, bool)
             own = np.repeat(keep, sizes)
-            held.append((hashes[own] >> np.uint64(16), np.repeat(ids[keep], sizes[keep]), np.repeat(sizes[keep], sizes[keep])))
+            held.append((hashes[own] >> np.uint64(16), np.repeat(ids[keep], sizes[keep]), np.repeat(sizes[keep].astype(np.int32), sizes[keep])))
             total += len(held[-1][0])
             if total >= PACK:
                 yield packed(held)
@@ -249,6 +250,22 @@ def _able(shared: DataFrame, ranges: int, percent: int) -> DataFrame:
     return shared.repartition(ranges, "place").groupBy("place").applyInArrow(run, "set long, n long, part int, hashes array<long>, lead array<long>, places array<int>, mins array<long>")
 
 
+def _bucketed(able: DataFrame) -> DataFrame:
+    """able, written in buckets by set and part: what is joined to it by these shuffles its own side alone."""
+    spark = able.sparkSession
+    name, buckets = f"binomia_able_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = table_path(spark, "able")
+    able.repartition(buckets, "set", "part").write.bucketBy(buckets, "set", "part").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.binomia_table, out.binomia_path = name, path
+    return out
+
+
+def _drop_bucketed(able: DataFrame) -> None:
+    able.sparkSession.sql(f"DROP TABLE {able.binomia_table}")
+    drop_written(able)
+
+
 def verified(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs (a, a_n, b, b_n) that link: partial overlaps counted by part of the order, summed per pair."""
     split = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
@@ -319,13 +336,13 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, pe
     total = docs.agg(F.sum("n")).first()[0] or 0
     hot, counts = hot_ngrams(docs)
     fragments = max(1, -(-total // FRAGMENT))
-    able = written(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), fragments, percent), "able")
+    able = _bucketed(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), fragments, percent))
     near = contracted(able, percent)
     other = written(verified(prefix_pairs(able, near, percent), able, percent), "links")
     found = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(other))
     least = docs.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     rooted = _rooted(least, found)
     label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
-    drop_written(able)
+    _drop_bucketed(able)
     joined = docs.select("id", "n", F.when(F.col("n") > 0, F.col("set")).alias("set")).join(label, "set", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
