@@ -64,23 +64,28 @@ ENTITY = "&(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
 
 @cache
 def named_entities() -> str:
-    """HTML's named characters as JSON, as the standard library has them, with the semicolon or without; and those of Windows for the numbers that stand for no character."""
+    """HTML's named characters as JSON, by their first two letters and then by name, as the standard library has them, with the semicolon or without; and those of Windows for the numbers that stand for no character."""
     numbers = {f"#{i}": bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
-    return json.dumps(dict(sorted(html5.items())) | {k: v for k, v in numbers.items() if v})
+    out: dict[str, dict[str, str]] = {}
+    for name, chars in [*sorted(html5.items()), *numbers.items()]:
+        if chars:
+            out.setdefault(name[:2], {})[name] = chars
+    return json.dumps(out)
 
 
 def unescape(text: Column) -> Column:
     """Entities as characters, by number or name; an unknown name, or a number that is no character, stays."""
-    # the map has a fixed number of entries
-    table = F.from_json(F.lit(named_entities()), "map<string,string>")
+    # names by their first two letters: maps are searched entry by entry, so each holds few
+    tables = F.from_json(F.lit(named_entities()), "map<string,map<string,string>>")
+    known = lambda name: F.try_element_at(F.try_element_at(tables, F.left(name, F.lit(2))), name)
 
     def char(e: Column) -> Column:
         hexed = F.conv(F.regexp_extract(e, "^&#[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int")
         number = F.when(F.startswith(F.lower(e), F.lit("&#x")), hexed).otherwise(F.regexp_extract(e, "^&#([0-9]+)", 1).cast("int"))
         fits = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        wide = F.when(number.between(128, 159), F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number)), e)).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        wide = F.when(number.between(128, 159), F.coalesce(known(F.concat(F.lit("#"), number)), e)).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         name = F.substring(e, F.lit(2), F.length(e))
-        by_name = F.coalesce(F.try_element_at(table, name), F.try_element_at(table, F.concat(name, F.lit(";"))))
+        by_name = F.coalesce(known(name), known(F.concat(name, F.lit(";"))))
         return F.coalesce(F.when(F.startswith(e, F.lit("&#")), F.when(fits, wide)).otherwise(by_name), e)
 
     def decoded(b: Column) -> Column:

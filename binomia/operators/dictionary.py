@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -30,9 +29,10 @@ def last_wins(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key."""
-    first = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    """The first row of each key, an aggregate that is combined before the shuffle."""
+    rest = [c for c in df.columns if c != key]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*(key if c == key else F.col(f"_first.{c}") for c in df.columns))
 
 
 def valid_names(df: DataFrame) -> DataFrame:

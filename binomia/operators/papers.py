@@ -94,8 +94,10 @@ def usable_text(text: F.Column) -> F.Column:
     return F.length(F.btrim(text, F.lit(" \t\r\n"))) > 100
 
 
-def is_pdf(content: F.Column) -> F.Column:
-    return F.substring(content, 1, 4) == F.lit(b"%PDF")
+def is_pdf(content: F.Column, content_type: F.Column | None = None) -> F.Column:
+    """By the first bytes, or by what the server said it is, where that is known; nothing at all is none."""
+    said = F.lit(False) if content_type is None else F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("pdf"))
+    return F.coalesce(F.substring(content, 1, 4) == F.lit(b"%PDF"), F.lit(False)) | said
 
 
 def with_location(works: DataFrame, locations: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from binomia.functions.shared import new_path, written
@@ -325,9 +327,11 @@ def s13_joined_items(spark, sf):
 
 
 def k10_pdf_magic(spark, sf):
-    """Downloads that are PDF files by their first bytes."""
+    """Downloads that are PDF files by their first bytes, or by the content type that came with them."""
     body = F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-1.7 ").when(F.col("page_id") % 3 == 1, "%pdf").otherwise(""), "html").cast("binary")
-    return read(spark, sf, "pages").select("page_id", body.alias("content")).where(papers.is_pdf(F.col("content"))).select("page_id", F.length("content").cast("long").alias("size"))
+    said = F.when(F.col("page_id") % 5 == 0, "Application/PDF; qs=0.1").when(F.col("page_id") % 5 == 1, "text/html")
+    rows = read(spark, sf, "pages").select("page_id", body.alias("content"), said.alias("content_type"))
+    return rows.where(papers.is_pdf(F.col("content"), F.col("content_type"))).select("page_id", F.length("content").cast("long").alias("size"))
 
 
 def k9_append(spark, sf):
@@ -542,7 +546,8 @@ _NUMBER = "CASE WHEN e[3] IN ('x', 'X') THEN ('0x' || regexp_extract(e, '([0-9A-
 _NAMED = "coalesce(json_extract_string(names, '$.\"' || e[2:] || '\"'), json_extract_string(names, '$.\"' || e[2:] || ';\"'))"
 _CHAR = f"coalesce(CASE WHEN e[2] = '#' THEN CASE WHEN {_NUMBER} BETWEEN 1 AND 127 OR {_NUMBER} BETWEEN 160 AND 55295 OR {_NUMBER} BETWEEN 57344 AND 1114111 THEN chr({_NUMBER}) ELSE json_extract_string(names, '$.\"#' || {_NUMBER} || '\"') END ELSE {_NAMED} END, e)"
 _BLANK = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_HTML = f"""ents AS MATERIALIZED (SELECT '{named_entities().replace("'", "''")}'::JSON AS names), bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<template\\b.*?</template\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+_NAMES = json.dumps({k: v for some in json.loads(named_entities()).values() for k, v in some.items()}).replace("'", "''")
+_HTML = f"""ents AS MATERIALIZED (SELECT '{_NAMES}'::JSON AS names), bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<template\\b.*?</template\\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
 found AS (SELECT DISTINCT unnest(regexp_extract_all(t, '{_ENTITY}')) AS e FROM bare), chars AS (SELECT map_from_entries(list((e, {_CHAR}))) AS m FROM found, ents),
 shown AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(list_zip(string_split_regex(t, '{_ENTITY}'), regexp_extract_all(t, '{_ENTITY}')), lambda x: x[1] || coalesce(m[x[2]], '')), ''), '{_BLANK}+', ' ', 'g'), ' +,', ',', 'g') AS t FROM bare, chars)"""
 _VISITS = """v AS MATERIALIZED (SELECT event_id, user_id, ts, k - 50 AS lat, value % 400 - 200 AS lng, CASE WHEN user_id % 9 = 0 THEN '' ELSE 'C' || (user_id % 7) END AS country,
@@ -613,7 +618,7 @@ ORACLES = {
     "k2_cache": f"WITH {_PARTS}, {_CACHE} SELECT binomial, valid, CASE WHEN length(binomial) % 4 = 0 THEN 'again' ELSE current_name END AS current_name, array_to_string(synonyms, ',') AS synonyms FROM cache",
     "k3_papers_cache": "SELECT '10.1/' || doc_id AS doi, doc_id, CASE doc_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'downloaded' ELSE 'failed' END AS download_status FROM documents",
     "k9_append": f"WITH {_VISITS} SELECT country, CASE WHEN {_VALID} THEN 'visits' ELSE 'rejected' END AS \"table\", count(*) AS n FROM v GROUP BY 1, 2",
-    "k10_pdf_magic": "SELECT page_id, strlen('%PDF-1.7 ' || html)::BIGINT AS size FROM pages WHERE page_id % 3 = 0",
+    "k10_pdf_magic": "SELECT page_id, strlen(CASE page_id % 3 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN '%pdf' ELSE '' END || html)::BIGINT AS size FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0 AND html IS NOT NULL",
     "s1_text_lines": f"WITH {_LINES} SELECT line, count(*) AS n FROM lines WHERE trim(line) <> '' GROUP BY 1",
     "s3_or_empty": "SELECT count(*) AS n FROM labels",
     "s4_text_dir": "SELECT sha256(rtrim(text, chr(10))) AS text_sha256, count(*) AS n FROM benchmark GROUP BY 1",
