@@ -299,6 +299,19 @@ def k1_dictionary_artefact(spark, sf):
     return out.select("binomial", F.col("v.class").alias("tax_class"), F.col("v.order").alias("tax_order"), F.col("v.family").alias("tax_family"), "v.author", "v.occurrence", "v.flags", "v.common_name_en", "v.common_name_es", "v.common_name_fr", "species_count", "genera")
 
 
+def s2_dictionary_json(spark, sf):
+    """The printed list written as its artefact, and read back as a dictionary of names, synonyms, genera and common names."""
+    rows = catalog.species_lines(catalog.fill_forward(catalog.headers(_lines(spark, sf)))).withColumn("binomial", F.concat_ws(" ", "genus", "species"))
+    names = first_wins(rows, "binomial", "page", "line_no").withColumn("ord", F.col("line_no"))
+    synonyms, path = names.select("ord", F.concat(F.lit("Neo "), "species").alias("old_name"), F.col("binomial").alias("new_name")).where("ord % 4 = 1"), new_path(spark, "dictionary")
+    sinks.write_json(sinks.authority_frame(names, first_wins(synonyms, "old_name", "ord"), 8, 2023, "list"), path)
+    d, meta = files.dictionary_json(spark, path)
+    out = d.valid.join(d.common.select(F.col("binomial").alias("_of"), F.col("l_name").alias("known_as")), F.col("binomial") == F.col("_of"), "left").select(F.lit("name").alias("kind"), F.col("binomial").alias("name"), "flags", F.coalesce("known_as", F.lit("")).alias("of"))
+    out = out.unionByName(d.synonyms.select(F.lit("synonym").alias("kind"), F.col("old_name").alias("name"), F.lit("").alias("flags"), F.col("new_name").alias("of")))
+    out = out.unionByName(d.genera.select(F.lit("genus").alias("kind"), F.col("l_genus").alias("name"), F.lit("").alias("flags"), F.lit("").alias("of")))
+    return out.unionByName(meta.select(F.lit("metadata").alias("kind"), F.col("source").alias("name"), F.col("edition").cast("string").alias("flags"), F.col("year").cast("string").alias("of")))
+
+
 def s1_text_lines(spark, sf):
     """Pages of the list as text files, read as lines; blank ones are left out."""
     path = new_path(spark, "lines")
@@ -394,6 +407,15 @@ def f18_title_filter(spark, sf):
     return documents(spark, sf).where(papers.relevant(F.col("text"), *TITLES)).select("doc_id")
 
 
+def f18_title_lists(spark, sf):
+    """Titles made of the words that make a paper relevant, some cut short, some with a word that excludes it; every word of both lists comes."""
+    i, pick = F.col("doc_id"), lambda words, of: F.element_at(F.array(*map(F.lit, words)), (of % len(words) + 1).cast("int"))
+    wanted = pick(papers.TITLE_INCLUDE, i)
+    wanted = F.when(i % 7 == 1, F.left(wanted, F.length(wanted) - 1)).when(i % 7 == 2, F.upper(wanted)).otherwise(wanted)
+    title = F.concat(F.lit("Notes on "), wanted, F.lit(" of a lake"), F.when(i % 3 == 0, F.concat(F.lit(": "), pick(papers.TITLE_EXCLUDE, F.floor(i / 3)))).otherwise(""))
+    return documents(spark, sf).select("doc_id", title.alias("title")).where(papers.relevant(F.col("title"))).select("doc_id", "title")
+
+
 def d4_dedupe(spark, sf):
     return first_wins(documents(spark, sf).select("doc_id", "source", "lang"), "source", "doc_id")
 
@@ -506,8 +528,8 @@ def e3_consent(spark, sf):
 QUERIES = {f.__name__: f for f in (
     s9_oa_lookup, l2_usable_limit, a19_acceptance, d6_ordered_distinct, j14_empty_transfers, e3_consent,
     a1_doc_type_counts, a2_paper_results, a3_corpus_totals, a4_paper_flags, a5_top_names, a6_top_species, a7_journals, a8_issue_papers, p9_exclusion, a10_fig1, a11_fig2, a11_fig2_legacy, a12_fig3, a13_corrections, a14_table1, f17_known_ratio,
-    f8_headers, j13_forward_fill, f4_species_lines, d1_dictionary, p6_transfers, s15_html_text, x8_status, u2_synonyms, x9_original_genera, j9_asof_pages, r7_summary, f16_percent, j10_metadata, k1_dictionary_artefact, k2_cache, k3_papers_cache, k4_results_json, k5_summary_json, k6_table1, k6_table2, k9_append, k10_pdf_magic, s1_text_lines, s3_or_empty, s4_text_dir, s13_joined_items, p7_empty_cache, a20_mismatch, f11_doi, f12_hash, f13_url_candidates, f13_page_urls,
-    f14_papers, f18_title_filter, d4_dedupe, f23_usable_text, s10_joined_pages, j7_remaining, l1_limit, e7_status_machine, p13_event_validation, p13_issue_validation, a17_dashboard, s14_last_visits, p12_markers, e1_session_dedupe, e2_rate_limit, e5_counters,
+    f8_headers, j13_forward_fill, f4_species_lines, d1_dictionary, p6_transfers, s15_html_text, x8_status, u2_synonyms, x9_original_genera, j9_asof_pages, r7_summary, f16_percent, j10_metadata, k1_dictionary_artefact, k2_cache, k3_papers_cache, k4_results_json, k5_summary_json, k6_table1, k6_table2, k9_append, k10_pdf_magic, s1_text_lines, s2_dictionary_json, s3_or_empty, s4_text_dir, s13_joined_items, p7_empty_cache, a20_mismatch, f11_doi, f12_hash, f13_url_candidates, f13_page_urls,
+    f14_papers, f18_title_filter, f18_title_lists, d4_dedupe, f23_usable_text, s10_joined_pages, j7_remaining, l1_limit, e7_status_machine, p13_event_validation, p13_issue_validation, a17_dashboard, s14_last_visits, p12_markers, e1_session_dedupe, e2_rate_limit, e5_counters,
 )}
 
 _B = (X4_SQL, CLASS_SQL, BATCH_SQL)
@@ -643,6 +665,13 @@ ORACLES = {
     "f14_papers": """WITH w AS (SELECT doc_id AS i, 'W' || doc_id AS work_id, '10.1/' || (doc_id // 2) AS doi, CASE doc_id % 6 WHEN 0 THEN 'Stream Fish assemblage of X' WHEN 2 THEN 'Reef fish of Y' END AS title, * EXCLUDE (doc_id) FROM documents WHERE doc_id % 10 <> 9 AND doc_id % 6 IN (0, 2))
   SELECT doi, title, array_to_string(list_transform(list_filter(range(1, least(i % 13 + 1, 10) + 1), lambda k: k % 4 <> 0), lambda k: 'A' || k), ';') AS authors, CAST(2000 + i % 20 AS INTEGER) AS year, CASE WHEN i % 4 <> 0 THEN source ELSE 'Unknown' END AS journal, CASE WHEN i % 5 <> 0 THEN 'https://host/' || i ELSE '' END AS oa_url,
   CAST(n_chars AS INTEGER) AS cited_by_count, work_id, 'pending' AS download_status FROM w QUALIFY row_number() OVER (PARTITION BY doi ORDER BY work_id) = 1""",
+    "f18_title_lists": f"""SELECT doc_id, title FROM (SELECT doc_id, 'Notes on ' || CASE doc_id % 7 WHEN 1 THEN w[:-2] WHEN 2 THEN upper(w) ELSE w END || ' of a lake' || CASE WHEN doc_id % 3 = 0 THEN ': ' || x ELSE '' END AS title
+  FROM (SELECT doc_id, {list(papers.TITLE_INCLUDE)}[doc_id % {len(papers.TITLE_INCLUDE)} + 1] AS w, {list(papers.TITLE_EXCLUDE)}[(doc_id // 3) % {len(papers.TITLE_EXCLUDE)} + 1] AS x FROM documents))
+  WHERE list_bool_or(list_transform({list(papers.TITLE_INCLUDE)}, lambda w: contains(lower(title), w))) AND NOT list_bool_or(list_transform({list(papers.TITLE_EXCLUDE)}, lambda w: contains(lower(title), w)))""",
+    "s2_dictionary_json": f"""WITH {_LINES}, d AS MATERIALIZED (SELECT *, genus || ' ' || species AS binomial FROM species QUALIFY row_number() OVER (PARTITION BY genus || ' ' || species ORDER BY page, line_no) = 1),
+ known AS (SELECT arg_max(binomial, line_no) AS binomial, lower(common_name_en) AS l_name FROM d WHERE common_name_en <> '' GROUP BY lower(common_name_en))
+ SELECT 'name' AS kind, binomial AS name, coalesce(flags, '') AS flags, coalesce(l_name, '') AS "of" FROM d LEFT JOIN known USING (binomial)
+ UNION ALL SELECT 'synonym', 'Neo ' || species, '', arg_min(binomial, line_no) FROM d WHERE line_no % 4 = 1 GROUP BY species UNION ALL SELECT DISTINCT 'genus', lower(genus), '', '' FROM d UNION ALL SELECT 'metadata', 'list', '8', '2023'""",
     "f18_title_filter": "SELECT doc_id FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE NOT (contains(t, 'heat') OR contains(t, 'ion the')) AND (contains(t, 'the ') OR contains(t, ' of') OR contains(t, 'der'))",
     "d4_dedupe": "SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1",
     "f23_usable_text": "SELECT length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 100 AS usable, count(*) AS n FROM documents GROUP BY 1",
