@@ -8,7 +8,7 @@ the segments meet by fragment, partial overlaps are counted separately and summe
 
 Many sets near each other would give all their pairs. So each set first meets only the representatives of the groups that pairs of its MinHash values put it in; these
 links, verified like the others, are contracted to components, a few times with other representatives. The prefix join then pairs sets of different components only, and an n-gram whose sets are
-all in one component gives no pair. No link between components is lost.
+all in one component gives no pair. Of both kinds of pairs a bitmap of each set bounds the overlap from above before segments move. No link between components is lost.
 
 N-grams that a bounded sample of sets shows in many of them (a passage in a third of all texts) would all meet in one fragment; they
 are known to be shared, stand last in the order and are dealt over fragments of their own by set. Hashes have 64 bits, 48 of them within fragments.
@@ -40,6 +40,7 @@ SAMPLE, HOT_IN_SAMPLE, HOT_LIST = 1 << 12, 16, 1 << 17  # sets looked at for hot
 HOT = 1 << 30  # places hot n-grams behind all others
 PARTS = 16  # fragments in which a pair's overlap is counted
 MINS, TURNS, SALT = 16, (1, 6), 16  # MinHash values, two of which make a group; a group's representatives by turn; parts that its rows are dealt over
+BITS = 2048  # of a set's bitmap
 _MUL, _SET = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1 << 63, size=MINS, dtype=np.uint64)
 
@@ -219,7 +220,7 @@ def _shared(segments: DataFrame, ranges: int, hot: np.ndarray, hot_counts: np.nd
 
 
 def _able(shared: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """Of the sets that share enough n-grams to link at all: (set, n, part, hashes, lead, places, mins), a row a part of the order.
+    """Of the sets that share enough n-grams to link at all: (set, n, part, hashes, shared, lead, places, mins, bits), a row a part of the order; the last four are in a set's first row.
 
     lead: the shared ones among its rarest n-grams, one of which a linked set must have too, with their places among all of the set's.
     """
@@ -232,22 +233,25 @@ def _able(shared: DataFrame, ranges: int, percent: int) -> DataFrame:
         shared_n = np.diff(np.append(first, len(sets)))
         n = sizes[first]
         least = -(-percent * n // 100)
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[list] = [[] for _ in range(9)]
         for i in np.flatnonzero(shared_n >= np.maximum(least, 1)).tolist():
             own = h[first[i] : first[i] + shared_n[i]]
             alone = int(n[i] - shared_n[i])  # the rarest of all: no other set has them
             lead = own[: int(n[i] - least[i]) + 1 - alone].view(np.int64)
             mins = [int(mixed(own ^ s).min().view(np.int64)) for s in _SEEDS]
             places = np.arange(alone, alone + len(lead), dtype=np.int32)
+            bits = np.zeros(BITS // 64, np.uint64)
+            at = mixed(own ^ _MUL) % np.uint64(BITS)
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
             own = np.sort(own)
             part = (own >> np.uint64(44)).astype(np.int64)
             for k, p in enumerate(np.unique(part).tolist()):
-                for to, x in zip(rows, (int(sets[first[i]]), int(n[i]), p, own[part == p].view(np.int64), lead if k == 0 else (), places if k == 0 else (), mins if k == 0 else ()), strict=True):
+                for to, x in zip(rows, (int(sets[first[i]]), int(n[i]), p, own[part == p].view(np.int64), len(own), *((lead, places, mins, bits.view(np.int64)) if k == 0 else ((), (), (), ()))), strict=True):
                     to.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["set", "n", "part", "hashes", "lead", "places", "mins"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=["set", "n", "part", "hashes", "shared", "lead", "places", "mins", "bits"])
 
-    return shared.repartition(ranges, "place").groupBy("place").applyInArrow(run, "set long, n long, part int, hashes array<long>, lead array<long>, places array<int>, mins array<long>")
+    return shared.repartition(ranges, "place").groupBy("place").applyInArrow(run, "set long, n long, part int, hashes array<long>, shared long, lead array<long>, places array<int>, mins array<long>, bits array<long>")
 
 
 def _bucketed(able: DataFrame) -> DataFrame:
@@ -285,10 +289,20 @@ def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found, rows["set"] == found["node"], "left").withColumn("root", F.coalesce("root", "set")).drop("node")
 
 
+def possible(pairs: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, a_n, b, b_n) that a bound on their overlap lets pass, which no link fails: a bit that differs needs an n-gram of one set alone."""
+    marks = able.where(F.size("mins") > 0)
+    for side in ("a", "b"):
+        pairs = pairs.join(marks.select(F.col("set").alias(side), F.col("shared").alias(f"{side}_shared"), F.col("bits").alias(f"{side}_bits")), side)
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    twice = F.col("a_shared") + F.col("b_shared") - apart
+    return pairs.where((100 + percent) * twice >= 2 * percent * (F.col("a_n") + F.col("b_n"))).select("a", "a_n", "b", "b_n")
+
+
 def representative_pairs(bands: DataFrame, found: DataFrame, percent: int, seeds: range) -> DataFrame:
     """(a, a_n, b, b_n): each set of (k, key, set, n) with its groups' representatives, one by each seed, where these are of another component.
 
-    A group may be of any size: its rows are salted, and a group of one component makes none.
+    These pairs only save others: a link that isn't among them comes from prefix_pairs(). A group may be of any size: its rows are salted, and a group of one component makes none.
     """
     rows = _rooted(bands, found).withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALT)).cast("int"))
     chosen = rows.groupBy("k", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*(F.min_by(F.struct("set", "n", "root"), F.xxhash64("set", "k", F.lit(i))) for i in seeds))).alias("r")).where("low <> high")
@@ -306,17 +320,17 @@ def contracted(able: DataFrame, percent: int) -> DataFrame:
     found = able.sparkSession.createDataFrame([], "node long, root long")
     for turn, several in enumerate(TURNS):
         begun = sum(TURNS[:turn])
-        new = written(verified(representative_pairs(bands, found, percent, range(begun, begun + several)), able, percent), "close")
+        new = written(verified(possible(representative_pairs(bands, found, percent, range(begun, begun + several)), able, percent), able, percent), "close")
         if new.isEmpty():
             break
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        found = components(_edges(found).unionByName(new))
         drop_written(new)
     drop_written(bands)
     return found
 
 
 def prefix_pairs(able: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, a_n, b, b_n): sets of different components (node, root) that agree in one of both's rarest n-grams and may still reach the overlap behind it."""
+    """(a, a_n, b, b_n), each once: sets of different components (node, root) that agree in one of both's rarest n-grams and may still reach the overlap behind it."""
     leads = able.where(F.size("lead") > 0).select("set", "n", F.explode(F.arrays_zip("lead", "places")).alias("l"))
     leads = leads.select("set", "n", F.col("l.lead").alias("h"), F.col("l.places").alias("place"))
     leads = written(_rooted(leads, found).select("h", "place", "set", "n", "root"), "leads")
@@ -329,6 +343,17 @@ def prefix_pairs(able: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return a.join(b, may).select(F.col("a_set").alias("a"), "a_n", F.col("b_set").alias("b"), "b_n").distinct()
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def linked(able: DataFrame, percent: int) -> DataFrame:
+    """(node, root): components of all links."""
+    found = contracted(able, percent)
+    other = written(verified(possible(prefix_pairs(able, found, percent), able, percent), able, percent), "links")
+    return components(_edges(found).unionByName(other))
+
+
 def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): texts link when their sets' Jaccard similarity is `percent` or more; component_id is the smallest id reachable."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -337,9 +362,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, n: int = 5, pe
     hot, counts = hot_ngrams(docs)
     fragments = max(1, -(-total // FRAGMENT))
     able = _bucketed(_able(_shared(_segments(texts.select("t"), n, fragments, hot), fragments, hot, counts), fragments, percent))
-    near = contracted(able, percent)
-    other = written(verified(prefix_pairs(able, near, percent), able, percent), "links")
-    found = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(other))
+    found = linked(able, percent)
     least = docs.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     rooted = _rooted(least, found)
     label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
