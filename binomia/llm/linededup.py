@@ -23,7 +23,6 @@ from binomia.llm.common import LOWER, UPPER, table_path, written
 STRIP = " \t\n\x0b\x0c\r"
 BATCHES = 8
 FANOUT = 4
-BUCKETS = 4  # shuffle partitions a bucket: a run holds an eighth of what a shuffle does
 SALT, HOT = 32, 8000  # rows of a line with more than a HOT-th of all lines are dealt over SALT parts; there are at most HOT such lines
 KEY = ("h1", "h2")
 
@@ -45,7 +44,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, threshold: int, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.buckets = buckets or -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))  # as a shuffle deals out, so that a task writes one file
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}  # of runs, by name
 
