@@ -23,10 +23,10 @@ def binomial_findings(df: DataFrame, id_col: str, text_col: str, d: Dictionary)
     return found.withColumns({"end": F.col("idx") + F.length("text"), "source": F.lit("binomial")}).select(*COLUMNS)
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
-    """Every classified candidate, and the common names outside their spans."""
+def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary, octets: bool = False) -> DataFrame:
+    """Every classified candidate, and the common names outside their spans; octets: as in extract.common_names()."""
     found = binomial_findings(df, id_col, text_col, d)
-    common = extract.common_names(df, id_col, text_col, d.common)
+    common = extract.common_names(df, id_col, text_col, d.common, octets)
     common = common.withColumns({"binomial": F.col("text"), "type": F.lit("common"), "confidence": F.lit(None).cast("double"), "edit_distance": F.lit(None).cast("int"), "source": F.lit("common_name")})
     return extract.without_overlaps(found.unionByName(common.select(*COLUMNS)), F.col("source") == "binomial")
 
