@@ -122,12 +122,16 @@ def a14_table1(spark, sf):
 
 
 def r7_summary(spark, sf):
-    """The summary's row, its lists as text."""
-    s, text = _summary(spark, sf), lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    """The summary's row, its lists as text, and every excluded paper."""
+    (results, details), known = _papers(spark, sf), _known(spark, sf)
+    text = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    paper = F.struct("doc_id", F.concat_ws(":", "doc_id", "doi", "title", "unknown").alias("t"))
+    listed = corpus.excluded_papers(results, known).agg(F.array_join(F.sort_array(F.collect_list(paper))["t"], ";").alias("excluded_papers"))
+    s = corpus.summary(results, details, known).crossJoin(listed)  # one row each
     return s.select(
         "papers", "excluded", *(f"with_{k}" for k in corpus.KINDS), *(f"pct_{k}" for k in corpus.KINDS), "species_mentions", "journals", F.array_join(F.transform(F.map_entries("totals"), lambda e: F.concat_ws(":", e["key"], e["value"])), ";").alias("totals"),
         *(text(c, lambda x: F.concat_ws(":", x["binomial"], x["n"])) for c in ("top_outdated", "top_misspelled", "top_changed")), text("top_species", lambda x: F.concat_ws(":", x["species"], x["n"])), text("top_journals", lambda x: F.concat_ws(":", x["journal"], x["n"])),
-        text("top_papers", lambda x: F.concat_ws(":", x["doc_id"], x["title"], x["journal"], x["issues"])),
+        text("top_papers", lambda x: F.concat_ws(":", x["doc_id"], x["title"], x["journal"], x["issues"])), "excluded_papers",
     )
 
 
@@ -634,7 +638,8 @@ ORACLES = {
   (SELECT coalesce(string_agg(binomial || ':' || n, ';' ORDER BY rank), '') FROM tops WHERE type = 'changed' AND rank <= 20) AS top_changed,
   (SELECT coalesce(string_agg(species || ':' || n, ';' ORDER BY n DESC, species), '') FROM (SELECT species, count(*) AS n FROM sp GROUP BY 1 ORDER BY n DESC, species LIMIT 30)) AS top_species,
   (SELECT coalesce(string_agg(journal || ':' || n, ';' ORDER BY n DESC, journal), '') FROM (SELECT journal, count(*) AS n FROM meta JOIN inc USING (doc_id) GROUP BY 1 ORDER BY n DESC, journal LIMIT 15)) AS top_journals,
-  (SELECT coalesce(string_agg(doc_id || ':' || title || ':' || journal || ':' || issues, ';' ORDER BY issues DESC, doc_id), '') FROM (SELECT * FROM inc JOIN meta USING (doc_id) ORDER BY issues DESC, doc_id LIMIT 10)) AS top_papers FROM flags""", *_B, _KNOWN, _FLAGS, _TOP, _SPECIES.format("ib")),
+  (SELECT coalesce(string_agg(doc_id || ':' || title || ':' || journal || ':' || issues, ';' ORDER BY issues DESC, doc_id), '') FROM (SELECT * FROM inc JOIN meta USING (doc_id) ORDER BY issues DESC, doc_id LIMIT 10)) AS top_papers,
+  (SELECT coalesce(string_agg(doc_id || ':' || doi || ':' || title || ':' || unknown, ';' ORDER BY doc_id), '') FROM ratios JOIN meta USING (doc_id) WHERE ratio < 0.3 AND unknown > 3) AS excluded_papers FROM flags""", *_B, _KNOWN, _FLAGS, _TOP, _SPECIES.format("ib")),
     "f16_percent": "SELECT n, total, CAST(printf('%.1f', n / total * 100) AS DOUBLE) AS share FROM (SELECT DISTINCT total, unnest(range(0, total + 1)) AS n FROM (SELECT c_custkey % 64 + 1 AS total FROM customer))",
     "k1_dictionary_artefact": f"WITH {_LINES}, d AS (SELECT *, genus || ' ' || species AS binomial FROM species QUALIFY row_number() OVER (PARTITION BY genus || ' ' || species ORDER BY page, line_no) = 1) SELECT binomial, tax_class, tax_order, tax_family, author, occurrence, flags, common_name_en, common_name_es, common_name_fr, (SELECT count(*) FROM d)::INTEGER AS species_count, (SELECT count(DISTINCT genus) FROM d)::INTEGER AS genera FROM d",
     "k2_cache": f"WITH {_PARTS}, {_CACHE} SELECT binomial, valid, CASE WHEN length(binomial) % 4 = 0 THEN 'again' ELSE current_name END AS current_name, array_to_string(synonyms, ',') AS synonyms FROM cache",

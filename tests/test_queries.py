@@ -45,3 +45,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns
     assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+
+
+def test_summary_lists_every_excluded_paper(spark):
+    q = catalogue.queries()
+    row, papers = q["r7_summary"](spark, DIR).first(), q["p9_exclusion"](spark, DIR).collect()
+    assert papers and len(papers) == row["excluded"]
+    assert row["excluded_papers"].split(";") == [f"{p.doc_id}:{p.doi}:{p.title}:{p.unknown}" for p in sorted(papers)]
