@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 # Fixed values. White space as ECMAScript has it, and ASCII word edges: Java's own are Unicode's.
 WS = "[\\t\\n\\x0B\\f\\r \\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
-EDGE_L, EDGE_R = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-CANDIDATE = f"{EDGE_L}([A-Z][a-z]{{2,}}){WS}+([a-z]{{3,}}){EDGE_R}"
-HYPHENATED = f"{EDGE_L}([A-Z][a-z]{{2,}}){WS}+([a-z]-[a-z]{{2,}}){EDGE_R}"
-SHORT_GENUS = f"{EDGE_L}([A-Z][a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
-EITHER = f"{EDGE_L}([A-Z][a-z]+){WS}+([a-z]{{3,}}|[a-z]-[a-z]{{2,}}){EDGE_R}"  # all three: their matches never overlap
+EDGE_R = "(?![A-Za-z0-9_])"
+CAPITAL = "[A-Z](?<![A-Za-z0-9_][A-Z])"  # the first letter of a word; what is before it is looked at only where there is a capital
+CANDIDATE = f"({CAPITAL}[a-z]{{2,}}){WS}+([a-z]{{3,}}){EDGE_R}"
+HYPHENATED = f"({CAPITAL}[a-z]{{2,}}){WS}+([a-z]-[a-z]{{2,}}){EDGE_R}"
+SHORT_GENUS = f"({CAPITAL}[a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
+EITHER = f"({CAPITAL}[a-z]+){WS}+([a-z]{{3,}}|[a-z]-[a-z]{{2,}}){EDGE_R}"  # all three: their matches never overlap
 WORD = "[a-zA-Z][-a-zA-Z]*"
 
 

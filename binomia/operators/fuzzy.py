@@ -3,6 +3,8 @@
 Words at most d edits apart (insertions, deletions, changes, swaps of neighbours) have a form in common that each gives by leaving out at most d letters. With two edits for both
 words together, a name is indexed under its genus and species with up to two letters left out between them; pairs are shortened alike and meet names by equality. A
 key holds nearly all of both words, so what meets hardly grows with the dictionary, and no key is hot.
+
+A pair has some hundreds of such keys, a word some dozens, and many pairs share a word. So distinct words are searched first, by the same argument, and only pairs both of whose words are near some entry's are shortened.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binomia.functions.distance import osa_within
+from binomia.functions.shared import written
 from binomia.functions.text import bound
 
 MAX = 2
@@ -56,15 +59,35 @@ def write_index(names: DataFrame, payload: str, table: str, path: str, buckets:
     return names.sparkSession.table(table)
 
 
+def _apart(a: str, b: str) -> Column:
+    return F.abs(F.ascii(a) - F.ascii(b))
+
+
+def _fits_genus() -> Column:
+    letter = F.when(F.length("l_genus") >= LONG, _apart("l_genus", "e_genus") <= NEAR).otherwise(_apart("l_genus", "e_genus") == 0)
+    return letter & (F.abs(F.length("l_genus") - F.length("e_genus")) <= MAX)
+
+
+def _fits_species() -> Column:
+    return _apart("l_species", "e_species") <= NEAR
+
+
+def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits: Column) -> DataFrame:
+    """Distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits."""
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = lambda c: F.explode(bound(F.col(c), lambda w: F.array_distinct(F.transform(F.concat(F.array(w), without_one(w), without_two(w)), lambda x: F.xxhash64(x)))))
+    q = words.select(own).distinct().repartition(parts, own).withColumn("key", short(own))
+    e = entries.select(entry).distinct().withColumn("key", short(entry))
+    found = q.join(e, "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
+    return found.where(osa_within(F.col(own), F.col(entry), MAX) <= MAX).select(own).distinct()
+
+
 def met(pairs: DataFrame, index: DataFrame, payload: str) -> DataFrame:
     """(l_genus, l_species, ord, e_genus, e_species, payload): the candidates of each pair that the rules' filters leave, once."""
     # few bytes but much work: a number of partitions that is given isn't lowered to fit the bytes
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = pairs.select("l_genus", "l_species").repartition(parts, "l_genus", "l_species").withColumn("key", F.explode(keys(F.col("l_genus"), F.col("l_species"))))
-    apart = lambda a, b: F.abs(F.ascii(a) - F.ascii(b))
-    letter = F.when(F.length("l_genus") >= LONG, apart("l_genus", "e_genus") <= NEAR).otherwise(apart("l_genus", "e_genus") == 0)
-    fits = letter & (F.abs(F.length("l_genus") - F.length("e_genus")) <= MAX) & (apart("l_species", "e_species") <= NEAR)
-    return q.join(index, "key").where(fits).select("l_genus", "l_species", "ord", "e_genus", "e_species", payload).distinct()
+    return q.join(index, "key").where(_fits_genus() & _fits_species()).select("l_genus", "l_species", "ord", "e_genus", "e_species", payload).distinct()
 
 
 def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame | None = None) -> DataFrame:
@@ -73,6 +96,10 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame |
     pairs: distinct (l_genus, l_species); names: (ord, l_genus, l_species, payload); index: of these names, if it is written already. Of entries as near the first in
     order wins. An entry passes only with the same first letter of the genus - or, for long genera, one at most two letters away - and a length at most two apart.
     """
+    pairs = written(pairs.select("l_genus", "l_species"), "searched")
+    listed = names.select(F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"))
+    for own, entry, fits in (("l_genus", "e_genus", _fits_genus()), ("l_species", "e_species", _fits_species())):
+        pairs = pairs.join(near_words(pairs, listed, own, entry, fits), own, "left_semi")
     found = met(pairs, name_index(names, payload) if index is None else index, payload)
     both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]
     near = found.where(both[0] + both[1] <= MAX)

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from binomia.functions.shared import spread
-from binomia.functions.text import SHORT_GENUS
+from binomia.functions.shared import spread, written
 from binomia.operators import dictionary as D
 from binomia.operators import extract
 from binomia.operators.dictionary import Dictionary
@@ -58,7 +57,8 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
     total = accepted.agg(F.count("*").alias("total"))
     genera = accepted.select(F.lower(F.substring_index("binomial", " ", 1)).alias("l_genus")).distinct()
     phrases = bench.select(F.col("item_id").alias("ord"), F.regexp_extract("text", PHRASE, 1).alias("name")).where("name <> ''").withColumn("k", F.col("ord"))
-    pairs = extract.primary(docs, "doc_id", "text").groupBy(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).agg(F.count("*").alias("n"))
+    found = written(extract.counted(docs, "text").where(~F.contains("species", F.lit("-"))), "found")
+    pairs = found.where(F.length("genus") > 2).groupBy(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).agg(F.sum("n").alias("n"))
     pairs = pairs.withColumn("name", F.concat_ws(" ", "l_genus", "l_species")).join(genera, "l_genus", "left_anti").join(all_names.select(F.lower("binomial").alias("name")), "name", "left_anti")
     frequent = pairs.orderBy(F.desc("n"), "name").limit(EXTRA).select("name", F.row_number().over(Window.orderBy(F.desc("n"), "name")).cast("long").alias("k"))
     frequent = frequent.select((F.col("k") + 1_000_000).alias("ord"), "name", "k")
@@ -67,7 +67,7 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
     named = common.groupBy("binomial").agg(F.max_by("name", "ord").alias("common_name"))
     valid = accepted.join(named, "binomial", "left").select("ord", "binomial", F.when(F.col("ord") % 4 == 1, "*").otherwise("").alias("flags"), F.coalesce("common_name", F.lit("")).alias("common_name"))
     synonyms = all_names.where("ord % 4 = 3").join(all_names.select((F.col("ord") + 1).alias("ord"), F.col("binomial").alias("new_name")), "ord").select("ord", F.col("binomial").alias("old_name"), "new_name")
-    short = docs.select(F.explode(F.regexp_extract_all("text", F.lit(SHORT_GENUS), F.lit(1))).alias("g")).groupBy(F.lower("g").alias("l_genus")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_genus").limit(SHORT).select("l_genus")
+    short = found.where(F.length("genus") == 2).groupBy(F.lower("genus").alias("l_genus")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l_genus").limit(SHORT).select("l_genus")
     return Dictionary(D.valid_names(valid).cache(), D.synonym_names(synonyms).cache(), genera.union(short).distinct().cache(), common)
 
 
