@@ -4,7 +4,7 @@
 documents holding the line. A line that reaches the threshold within a run is settled there. Documents come in batches by a hash, whatever the files' layout; each batch's lines are merge-anti-joined
 against the settled lines of all runs before it (they need no more counting), and what is left becomes a run of level 0. When a level has `fanout`
 runs they are compacted into one run of the next level: counts are summed, which settles more lines. All runs are bucketed and sorted alike, so a merge join with
-them shuffles neither side again; a compaction deals its runs out anew. Two 64-bit hashes with different seeds stand for a line. In the last join, rows of the most frequent lines are salted.
+them shuffles neither side again; a compaction deals its runs out anew. Buckets are as many as a batch's lines need, so that small runs aren't many tiny files. Two 64-bit hashes with different seeds stand for a line. In the last join, rows of the most frequent lines are salted.
 
 Cases: a null or empty text is one empty line; empty keys are never dropped; a document counts once for a line
 it repeats; repeated rows count as documents each; a null id is a value like any other; an empty table settles
@@ -24,6 +24,7 @@ STRIP = " \t\n\x0b\x0c\r"
 BATCHES = 8
 FANOUT = 4
 SALT, HOT = 32, 8000  # rows of a line with more than a HOT-th of all lines are dealt over SALT parts; there are at most HOT such lines
+BUCKET = 1 << 15  # lines of a batch a bucket
 KEY = ("h1", "h2")
 
 
@@ -44,15 +45,15 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, threshold: int, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))  # as a shuffle deals out, so that a task writes one file
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}  # of runs, by name
 
     def _write(self, df: DataFrame) -> str:
-        """df, dealt out by h1 into the buckets, as a run."""
+        """df, dealt out by h1 into the buckets, as a run. A task writes one file; should a shuffle have more parts than there are buckets, a task takes several of them."""
         name = f"binomia_run_{uuid.uuid4().hex}"
         self.paths[name] = table_path(self.spark, "run")
-        df.write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
+        df.coalesce(self.buckets).write.bucketBy(self.buckets, "h1").sortBy(*KEY).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _runs(self) -> list[str]:
@@ -70,7 +71,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Counts a batch of (row, h1, h2): anti-joins what the runs have settled, then adds the rest as a run of its own."""
-        own = batch.select("row", *KEY).distinct().repartition(self.buckets, "h1").groupBy(*KEY).agg(F.count("*").alias("n"))
+        own = batch.select("row", *KEY).repartition(self.buckets, "h1").distinct().groupBy(*KEY).agg(F.count("*").alias("n"))
         self.levels[0].append(self._write(self.uncounted(own)))
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
@@ -119,12 +120,14 @@ def drop_frequent_lines(df: DataFrame, id_col: str, text_col: str, threshold: in
     if by_text:
         lines = lines.withColumn("row", F.col("th"))  # equal texts come into one batch
     lines = written(lines.withColumn("batch", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")).sortWithinPartitions("batch"), "lines")  # sorted, so that a batch's pages alone are read
-    runs = LineRuns(spark, threshold)
+    n_lines = lines.count()
+    cores, most = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = LineRuns(spark, threshold, buckets=min(most, max(cores, -(-n_lines // (batches * BUCKET)))))
     for k in range(batches):
         runs.add(lines.where(F.col("batch") == k))
-    frequent = written(runs.frequent(), "frequent")
+    frequent = written(runs.frequent().coalesce(runs.buckets), "frequent")
     runs.close()
-    hot = [r[0] for r in frequent.where(F.col("n") * HOT > lines.count()).select("h1").collect()]
+    hot = [r[0] for r in frequent.where(F.col("n") * HOT > n_lines).select("h1").collect()]
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
     parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
     salt = F.when(is_hot, F.pmod(F.xxhash64("row", "pos"), F.lit(SALT)).cast("int")).otherwise(0)

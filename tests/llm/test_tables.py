@@ -77,6 +77,28 @@ def test_every_batch_but_the_first_meets_settled_lines(spark, monkeypatch):
     assert all(r.kept == ("own" if r.doc_id is None else f"own {r.doc_id}\nshared {r.doc_id % 400}") for r in out)
 
 
+def test_small_runs_have_few_buckets(spark, monkeypatch):
+    """Buckets go by a batch's lines, not by the session's shuffle partitions alone."""
+    files = []
+    whole = linededup.LineRuns._write
+
+    def counted(self, df):
+        name = whole(self, df)
+        files.append(len(spark.table(name).inputFiles()))
+        return name
+
+    monkeypatch.setattr(linededup.LineRuns, "_write", counted)
+    rows = [(i, f"everywhere\nown {i}\nshared {i % 400}", "en", "s", 0) for i in range(1200)]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        out = linededup.drop_frequent_lines(spark.createDataFrame(rows, DOCS), "doc_id", "text", 10).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len(out) == 1200 and all(r.kept == f"own {r.doc_id}\nshared {r.doc_id % 400}" for r in out)
+    assert len(files) >= linededup.BATCHES and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_carried_columns_must_not_clash(spark):
     with pytest.raises(ValueError, match="kept"):
         linededup.drop_frequent_lines(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, kept string"), "doc_id", "text", carry=("kept",))
