@@ -18,6 +18,7 @@ HYPHENATED = f"({CAPITAL}[a-z]{{2,}}){WS}+([a-z]-[a-z]{{2,}}){EDGE_R}"
 SHORT_GENUS = f"({CAPITAL}[a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
 EITHER = f"({CAPITAL}[a-z]+){WS}+([a-z]{{3,}}|[a-z]-[a-z]{{2,}}){EDGE_R}"  # all three: their matches never overlap
 WORD = "[a-zA-Z][-a-zA-Z]*"
+MARK = "\x00"  # put around matches, so that a split by one character takes them apart
 
 
 def starts(lengths: Column) -> Column:
@@ -43,7 +44,8 @@ def bound(value: Column, use) -> Column:
 def matches(text: Column, pattern: str, alone: bool = False) -> Column:
     """Array of (idx, text, g1, g2): each match of a pattern with two groups, its offset in code points.
 
-    The text between matches comes from a split by the same pattern, so that offsets are running sums of lengths.
+    One pass of the pattern marks the matches, and a split by the mark gives them and the text between them, so that offsets are running sums of lengths. A text that holds
+    the mark itself is split by the pattern instead.
     alone: the pattern also matches each match by itself, so that its groups need no more passes over the text.
     """
 
@@ -54,7 +56,10 @@ def matches(text: Column, pattern: str, alone: bool = False) -> Column:
         at = bound(F.zip_with(gaps, found, lambda g, m: g + F.length(m)), starts)
         return F.arrays_zip(F.zip_with(at, gaps, lambda a, g: a + g).alias("idx"), found.alias("text"), group(1).alias("g1"), group(2).alias("g2"))
 
-    return bound(F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), placed)
+    every = lambda parts, k: F.filter(parts, lambda _, i: i % 2 == k)
+    marked = bound(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), lambda p: F.struct(every(p, 0).alias("between"), every(p, 1).alias("found")))
+    plain = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return bound(F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked), placed)
 
 
 # Fixed values. White space as Unicode has it, which a class of HTML text may hold after its entities are decoded.

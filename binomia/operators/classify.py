@@ -27,7 +27,8 @@ def is_epithet(species) -> F.Column:
 def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     """(l_genus, l_species, type, valid_name, suggestion, common_name, confidence, edit_distance) of distinct lower-case pairs; pairs that look like no name are left out.
 
-    valid_name: the accepted name as written, for valid and changed names. What the exact joins give is a table, as both searches and the result start from it.
+    valid_name: the accepted name as written, for valid and changed names. What the exact joins give is a table, as both searches and the result start from it. Near names
+    and classes are tables too: both are few beside the pairs, and joins with them go by their size.
     """
     full = F.concat_ws(" ", "l_genus", "l_species")
     p = pairs.select("l_genus", "l_species").distinct().where(is_epithet(F.col("l_species"))).withColumn("l_full", full)
@@ -42,7 +43,7 @@ def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     near_syn = nearest(open_.join(d.synonyms.select("l_genus").distinct(), "l_genus", "left_semi"), d.synonyms, "new_name").where("genus_dist = 0 and dist > 0")
     near_syn = written(near_syn.select("l_genus", "l_species", F.col("new_name").alias("near_new"), F.col("dist").alias("near_dist")), "near")
     left = open_.where("common_of is null").select("l_genus", "l_species").join(near_syn.select("l_genus", "l_species"), ["l_genus", "l_species"], "left_anti")
-    near = nearest(left, d.valid, "binomial").select("l_genus", "l_species", F.col("binomial").alias("like"), F.col("dist").alias("like_dist"))
+    near = written(nearest(left, d.valid, "binomial").select("l_genus", "l_species", F.col("binomial").alias("like"), F.col("dist").alias("like_dist")), "like")
     p = p.join(near_syn, ["l_genus", "l_species"], "left").join(near, ["l_genus", "l_species"], "left")
     by = lambda dist, pair: F.when(F.col(dist) == 1, pair[0]).otherwise(pair[1])
     is_valid, is_syn, is_near_syn, is_common, is_known, is_like = (F.col(c).isNotNull() for c in ("valid_name", "synonym_of", "near_new", "common_of", "known_genus", "like"))
@@ -52,7 +53,7 @@ def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     dist = F.when(is_valid | is_syn, 0).when(is_near_syn, F.col("near_dist")).when(is_common, 0).otherwise(F.col("like_dist"))
     name = F.when(is_valid, F.coalesce("valid_common", F.lit(""))).when(is_syn | is_near_syn, None).when(is_common, F.col("common_as"))
     out = p.select("l_genus", "l_species", kind.alias("type"), "valid_name", suggestion.alias("suggestion"), name.alias("common_name"), sure.alias("confidence"), dist.alias("edit_distance"))
-    return out.where("type is not null")
+    return written(out.where("type is not null"), "classes")
 
 
 def classify(found: DataFrame, d: Dictionary) -> DataFrame:

@@ -31,19 +31,23 @@ def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary, octets: bool
     return extract.without_overlaps(found.unionByName(common.select(*COLUMNS)), F.col("source") == "binomial")
 
 
-def batch_candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Candidates without the pass for short genera, as a table: they are few beside the texts, and read more than once."""
-    return written(extract.candidates(df, id_col, text_col), "candidates")
+def batch_matches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All matches as a table: they are few beside the texts, and read more than once. extract.chosen() of them are the candidates, without the pass for short genera."""
+    return written(extract.every(df, id_col, text_col), "matches")
 
 
 def batch_of(candidates: DataFrame, d: Dictionary) -> DataFrame:
-    """(doc_id, idx, binomial, type, suggestion, common_name): each name once a document, where it comes first, whatever its case."""
-    first = candidates.groupBy("doc_id", F.lower("genus").alias("g"), F.lower("species").alias("s")).agg(F.min(F.struct("idx", "genus", "species", "text")).alias("m")).select("doc_id", "m.*")
-    return classify(first, d).select("doc_id", "idx", "binomial", "type", "suggestion", F.when(F.col("common_name") != "", F.col("common_name")).alias("common_name"))
+    """(doc_id, idx, binomial, type, suggestion, common_name): each name once a document, where it comes first.
+
+    Candidates are of one case, a capital and small letters. Most are no names, so they are classified before the first of each is looked for; a name's class is the same wherever it stands.
+    """
+    named = classify(candidates.select("doc_id", "idx", "genus", "species"), d).select("doc_id", "idx", "binomial", "type", "suggestion", F.when(F.col("common_name") != "", F.col("common_name")).alias("common_name"))
+    own = ("doc_id", "binomial", "type", "suggestion", "common_name")
+    return named.groupBy(*own).agg(F.min("idx").alias("idx")).select("doc_id", "idx", *own[1:])
 
 
 def batch(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
-    return batch_of(batch_candidates(df, id_col, text_col), d)
+    return batch_of(extract.chosen(batch_matches(df, id_col, text_col)), d)
 
 
 def distinct_names(found: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Words at most d edits apart (insertions, deletions, changes, swaps of neighbours
 words together, a name is indexed under its genus and species with up to two letters left out between them; pairs are shortened alike and meet names by equality. A
 key holds nearly all of both words, so what meets hardly grows with the dictionary, and no key is hot.
 
-A pair has some hundreds of such keys, a word some dozens, and many pairs share a word. So distinct words are searched first, by the same argument, and only pairs both of whose words are near some entry's are shortened.
+A pair has some hundreds of such keys, a word some dozens, and many pairs share a word. So distinct words are searched first, by the same argument, and only pairs whose words' least distances
+from entries' words come to d at most are shortened.
 """
 
 from __future__ import annotations
@@ -73,13 +74,13 @@ def _fits_species() -> Column:
 
 
 def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits: Column) -> DataFrame:
-    """Distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits."""
+    """(own, least): distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits, and how near the nearest is."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = lambda c: F.explode(bound(F.col(c), lambda w: F.array_distinct(F.transform(F.concat(F.array(w), without_one(w), without_two(w)), lambda x: F.xxhash64(x)))))
     q = words.select(own).distinct().repartition(parts, own).withColumn("key", short(own))
     e = entries.select(entry).distinct().withColumn("key", short(entry))
     found = q.join(e, "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
-    return found.where(osa_within(F.col(own), F.col(entry), MAX) <= MAX).select(own).distinct()
+    return found.withColumn("dist", osa_within(F.col(own), F.col(entry), MAX)).where(F.col("dist") <= MAX).groupBy(own).agg(F.min("dist").alias("least"))
 
 
 def met(pairs: DataFrame, index: DataFrame, payload: str) -> DataFrame:
@@ -99,7 +100,8 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame |
     pairs = written(pairs.select("l_genus", "l_species"), "searched")
     listed = names.select(F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"))
     for own, entry, fits in (("l_genus", "e_genus", _fits_genus()), ("l_species", "e_species", _fits_species())):
-        pairs = pairs.join(near_words(pairs, listed, own, entry, fits), own, "left_semi")
+        pairs = pairs.join(near_words(pairs, listed, own, entry, fits).withColumnRenamed("least", f"least_{own}"), own)
+    pairs = pairs.where(F.col("least_l_genus") + F.col("least_l_species") <= MAX)
     found = met(pairs, name_index(names, payload) if index is None else index, payload)
     both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]
     near = found.where(both[0] + both[1] <= MAX)

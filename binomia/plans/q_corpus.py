@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from binomia.functions.shared import new_path, written
 from binomia.functions.text import html_text, named_entities
-from binomia.operators import catalog, corpus, events, findings, papers, throttle
+from binomia.operators import catalog, corpus, events, extract, findings, papers, throttle
 from binomia.operators.dictionary import first_wins, ordered_distinct
 from binomia.plans.q_names import _PARTS, _parts
-from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, dictionary, documents, read, sql, texts
+from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, counts_of, dictionary, documents, read, sql, texts
 from binomia.sources import files, sinks
 from binomia.sources.ledger import Ledger
 
@@ -19,7 +19,8 @@ NOW = "2100-01-01 00:00:00"
 
 
 def _details(spark, sf):
-    return findings.batch(texts(spark, sf), "doc_id", "text", dictionary(spark, sf))
+    found = findings.batch_matches(texts(spark, sf), "doc_id", "text")
+    return findings.batch_of(extract.chosen(found), dictionary(spark, sf, counts_of(found)))
 
 
 def _counted(spark, sf):
@@ -29,9 +30,10 @@ def _counted(spark, sf):
 def _papers(spark, sf):
     """(results, details) of all papers: texts are read once, names classified once."""
     docs = texts(spark, sf)
-    found = findings.batch_candidates(docs, "doc_id", "text")
-    details = written(findings.batch_of(found, dictionary(spark, sf)), "details")
-    return corpus.paper_results(docs, found, details), details
+    found = findings.batch_matches(docs, "doc_id", "text")
+    candidates = extract.chosen(found)
+    details = written(findings.batch_of(candidates, dictionary(spark, sf, counts_of(found))), "details")
+    return corpus.paper_results(docs, candidates, details), details
 
 
 def _results(spark, sf):

@@ -42,22 +42,33 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("ord"), "binomial")  # a reference list
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(genus, species, n, ...) of documents' matches of all passes, as a table."""
+    return written(extract.counted(texts(spark, sf_dir), "text"), "counts")
+
+
+def counts_of(matches: DataFrame) -> DataFrame:
+    """The same, from matches that are extracted already."""
+    return matches.groupBy("genus", "species").agg(F.count("*").alias("n"))
+
+
+def dictionary(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> Dictionary:
+    """found: counts() of documents' matches, where the caller has them, so that texts are searched once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = _dictionary(spark, sf_dir)
+        _kept[key] = _dictionary(spark, sf_dir, counts(spark, sf_dir) if found is None else found)
     return _kept[key]
 
 
-def _dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
-    docs, bench = texts(spark, sf_dir), read(spark, sf_dir, "benchmark")
+def _dictionary(spark: SparkSession, sf_dir: str, found: DataFrame) -> Dictionary:
+    bench = read(spark, sf_dir, "benchmark")
     all_names = names(spark, sf_dir).cache()
     accepted = all_names.where("ord % 4 <> 3")
     ranked = accepted.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("rank"), F.col("binomial").alias("of"))
     total = accepted.agg(F.count("*").alias("total"))
     genera = accepted.select(F.lower(F.substring_index("binomial", " ", 1)).alias("l_genus")).distinct()
     phrases = bench.select(F.col("item_id").alias("ord"), F.regexp_extract("text", PHRASE, 1).alias("name")).where("name <> ''").withColumn("k", F.col("ord"))
-    found = written(extract.counted(docs, "text").where(~F.contains("species", F.lit("-"))), "found")
+    found = found.where(~F.contains("species", F.lit("-")))
     pairs = found.where(F.length("genus") > 2).groupBy(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).agg(F.sum("n").alias("n"))
     pairs = pairs.withColumn("name", F.concat_ws(" ", "l_genus", "l_species")).join(genera, "l_genus", "left_anti").join(all_names.select(F.lower("binomial").alias("name")), "name", "left_anti")
     frequent = pairs.orderBy(F.desc("n"), "name").limit(EXTRA).select("name", F.row_number().over(Window.orderBy(F.desc("n"), "name")).cast("long").alias("k"))
