@@ -41,24 +41,23 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def matches(text: Column, pattern: str, alone: bool = False) -> Column:
+def matches(text: Column, pattern: str) -> Column:
     """Array of (idx, text, g1, g2): each match of a pattern with two groups, its offset in code points.
 
-    One pass of the pattern marks the matches, and a split by the mark gives them and the text between them, so that offsets are running sums of lengths. A text that holds
+    One pass of the pattern marks the matches and their groups, and a split by the mark gives them and the text between them, so that offsets are running sums of lengths. A text that holds
     the mark itself is split by the pattern instead.
-    alone: the pattern also matches each match by itself, so that its groups need no more passes over the text.
     """
 
     def placed(b: Column) -> Column:
         found = b["found"]
-        group = lambda i: F.transform(found, lambda m: F.regexp_extract(m, pattern, i)) if alone else F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
         gaps = F.transform(F.slice(b["between"], F.lit(1), F.size(found)), lambda g: F.length(g))
         at = bound(F.zip_with(gaps, found, lambda g, m: g + F.length(m)), starts)
-        return F.arrays_zip(F.zip_with(at, gaps, lambda a, g: a + g).alias("idx"), found.alias("text"), group(1).alias("g1"), group(2).alias("g2"))
+        return F.arrays_zip(F.zip_with(at, gaps, lambda a, g: a + g).alias("idx"), found.alias("text"), b["g1"].alias("g1"), b["g2"].alias("g2"))
 
-    every = lambda parts, k: F.filter(parts, lambda _, i: i % 2 == k)
-    marked = bound(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), lambda p: F.struct(every(p, 0).alias("between"), every(p, 1).alias("found")))
-    plain = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    names = ("between", "found", "g1", "g2")
+    every = lambda parts, k: F.filter(parts, lambda _, i: i % 4 == k)
+    marked = bound(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}$1{MARK}$2{MARK}"), MARK, -1), lambda p: F.struct(*(every(p, k).alias(c) for k, c in enumerate(names))))
+    plain = F.struct(F.split(text, pattern, -1).alias("between"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(c) for k, c in enumerate(names[1:])))
     return bound(F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked), placed)
 
 

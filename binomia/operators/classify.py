@@ -31,7 +31,7 @@ def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     and classes are tables too: both are few beside the pairs, and joins with them go by their size.
     """
     full = F.concat_ws(" ", "l_genus", "l_species")
-    p = pairs.select("l_genus", "l_species").distinct().where(is_epithet(F.col("l_species"))).withColumn("l_full", full)
+    p = pairs.select("l_genus", "l_species").where(is_epithet(F.col("l_species"))).withColumn("l_full", full)
     valid = last_wins(d.valid.select("ord", "l_binomial", "binomial", "flags", "common_name"), "l_binomial").select(F.col("l_binomial").alias("l_full"), F.col("binomial").alias("valid_name"), "flags", F.col("common_name").alias("valid_common"))
     synonyms = last_wins(d.synonyms.select("ord", "l_old", "new_name"), "l_old").select(F.col("l_old").alias("l_full"), F.col("new_name").alias("synonym_of"))
     common = d.common.select(F.col("l_name").alias("l_full"), F.col("binomial").alias("common_of"), F.col("name").alias("common_as"))
@@ -56,10 +56,13 @@ def classify_pairs(pairs: DataFrame, d: Dictionary) -> DataFrame:
     return written(out.where("type is not null"), "classes")
 
 
-def classify(found: DataFrame, d: Dictionary) -> DataFrame:
-    """Candidates (doc_id, idx, genus, species, text, ...) with their class; those that look like no name are left out. Each distinct pair is classified once."""
+def classify(found: DataFrame, d: Dictionary, pairs: DataFrame | None = None) -> DataFrame:
+    """Candidates (doc_id, idx, genus, species, text, ...) with their class; those that look like no name are left out. Each distinct pair is classified once.
+
+    pairs: the candidates' distinct (l_genus, l_species), where the caller has them.
+    """
     lower = found.withColumns({"l_genus": F.lower("genus"), "l_species": F.lower("species")})
-    classes = classify_pairs(lower.select("l_genus", "l_species"), d)
+    classes = classify_pairs(lower.select("l_genus", "l_species").distinct() if pairs is None else pairs, d)
     binomial = F.concat_ws(" ", "genus", "species")
     out = lower.join(classes, ["l_genus", "l_species"]).withColumn("binomial", binomial)
     return out.withColumn("canonical", F.coalesce("valid_name", "binomial")).drop("l_genus", "l_species", "valid_name")

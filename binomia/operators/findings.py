@@ -31,19 +31,24 @@ def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary, octets: bool
     return extract.without_overlaps(found.unionByName(common.select(*COLUMNS)), F.col("source") == "binomial")
 
 
-def batch_matches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All matches as a table: they are few beside the texts, and read more than once. extract.chosen() of them are the candidates, without the pass for short genera."""
-    return written(extract.every(df, id_col, text_col), "matches")
+def batch_matches(df: DataFrame, id_col: str, text_col: str, placed: bool = True) -> DataFrame:
+    """(doc_id, idx, genus, species) of all matches as a table: they are few beside the texts, and read more than once. extract.chosen() of them are the candidates, without the pass for short genera.
+
+    placed: with idx, which costs as much as the search.
+    """
+    found = extract.every(df, id_col, text_col).select("doc_id", "idx", "genus", "species") if placed else extract.unplaced(df, id_col, text_col)
+    return written(found, "matches")
 
 
-def batch_of(candidates: DataFrame, d: Dictionary) -> DataFrame:
-    """(doc_id, idx, binomial, type, suggestion, common_name): each name once a document, where it comes first.
+def batch_of(candidates: DataFrame, d: Dictionary, pairs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, idx, binomial, type, suggestion, common_name): each name once a document, where it comes first; without idx if candidates have none. pairs: as in classify().
 
     Candidates are of one case, a capital and small letters. Most are no names, so they are classified before the first of each is looked for; a name's class is the same wherever it stands.
     """
-    named = classify(candidates.select("doc_id", "idx", "genus", "species"), d).select("doc_id", "idx", "binomial", "type", "suggestion", F.when(F.col("common_name") != "", F.col("common_name")).alias("common_name"))
+    at = [c for c in ("idx",) if c in candidates.columns]
+    named = classify(candidates.select("doc_id", *at, "genus", "species"), d, pairs).select("doc_id", *at, "binomial", "type", "suggestion", F.when(F.col("common_name") != "", F.col("common_name")).alias("common_name"))
     own = ("doc_id", "binomial", "type", "suggestion", "common_name")
-    return named.groupBy(*own).agg(F.min("idx").alias("idx")).select("doc_id", "idx", *own[1:])
+    return named.groupBy(*own).agg(F.min("idx").alias("idx")).select("doc_id", "idx", *own[1:]) if at else named.distinct()
 
 
 def batch(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:

@@ -77,7 +77,8 @@ def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits:
     """(own, least): distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits, and how near the nearest is."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = lambda c: F.explode(bound(F.col(c), lambda w: F.array_distinct(F.transform(F.concat(F.array(w), without_one(w), without_two(w)), lambda x: F.xxhash64(x)))))
-    q = words.select(own).distinct().repartition(parts, own).withColumn("key", short(own))
+    # dealt by another key than the word itself: by that, the step would be merged with distinct's own, whose partitions are lowered to fit the bytes
+    q = words.select(own).distinct().repartition(parts, F.xxhash64(own)).withColumn("key", short(own))
     e = entries.select(entry).distinct().withColumn("key", short(entry))
     found = q.join(e, "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
     return found.withColumn("dist", osa_within(F.col(own), F.col(entry), MAX)).where(F.col("dist") <= MAX).groupBy(own).agg(F.min("dist").alias("least"))
@@ -100,7 +101,8 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame |
     pairs = written(pairs.select("l_genus", "l_species"), "searched")
     listed = names.select(F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"))
     for own, entry, fits in (("l_genus", "e_genus", _fits_genus()), ("l_species", "e_species", _fits_species())):
-        pairs = pairs.join(near_words(pairs, listed, own, entry, fits).withColumnRenamed("least", f"least_{own}"), own)
+        # a table: the next word's search and the join with what it finds both start from it
+        pairs = written(pairs.join(near_words(pairs, listed, own, entry, fits).withColumnRenamed("least", f"least_{own}"), own), "near_word")
     pairs = pairs.where(F.col("least_l_genus") + F.col("least_l_species") <= MAX)
     found = met(pairs, name_index(names, payload) if index is None else index, payload)
     both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]

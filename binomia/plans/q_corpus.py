@@ -10,29 +10,26 @@ from binomia.functions.shared import new_path, written
 from binomia.functions.text import html_text, named_entities
 from binomia.operators import catalog, corpus, events, extract, findings, papers, throttle
 from binomia.operators.dictionary import first_wins, ordered_distinct
-from binomia.plans.q_names import _PARTS, _parts
-from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, counts_of, dictionary, documents, read, sql, texts
+from binomia.plans.q_names import _PARTS, _batch, _parts
+from binomia.plans.standin import BATCH_SQL, CLASS_SQL, X4_SQL, dictionary, documents, read, sql, texts
 from binomia.sources import files, sinks
 from binomia.sources.ledger import Ledger
 
 NOW = "2100-01-01 00:00:00"
 
 
-def _details(spark, sf):
-    found = findings.batch_matches(texts(spark, sf), "doc_id", "text")
-    return findings.batch_of(extract.chosen(found), dictionary(spark, sf, counts_of(found)))
+def _details(spark, sf, placed=False):
+    return _batch(spark, sf, placed)[2]
 
 
 def _counted(spark, sf):
     return corpus.included_details(_details(spark, sf))
 
 
-def _papers(spark, sf):
+def _papers(spark, sf, placed=False):
     """(results, details) of all papers: texts are read once, names classified once."""
-    docs = texts(spark, sf)
-    found = findings.batch_matches(docs, "doc_id", "text")
-    candidates = extract.chosen(found)
-    details = written(findings.batch_of(candidates, dictionary(spark, sf, counts_of(found))), "details")
+    docs, candidates, details = _batch(spark, sf, placed)
+    details = written(details, "details")
     return corpus.paper_results(docs, candidates, details), details
 
 
@@ -114,7 +111,7 @@ def a12_fig3(spark, sf):
 
 
 def a13_corrections(spark, sf):
-    details = written(_details(spark, sf), "details")
+    details = written(_details(spark, sf, placed=True), "details")
     out = corpus.corrections(corpus.included_details(details), details, 10)
     return out.select("type", F.col("rank").cast("int").alias("rank"), "binomial", "n", F.coalesce("correction", F.lit("?")).alias("correction"))
 
@@ -152,7 +149,7 @@ def k6_table1(spark, sf):
 
 
 def k6_table2(spark, sf):
-    details, path = written(_details(spark, sf), "details"), new_path(spark, "table2")
+    details, path = written(_details(spark, sf, placed=True), "details"), new_path(spark, "table2")
     rows = corpus.issue_rows(corpus.included_details(details), details).orderBy("type", "rank")
     sinks.write_table(rows.select(F.col("type").alias("Type"), F.col("name_used").alias("Name Used"), F.col("correct_name").alias("Correct Name"), F.col("common_name").alias("Common Name"), F.col("papers").alias("Papers")), path)
     back = spark.read.schema("type string, name_used string, correct_name string, common_name string, papers long").option("header", True).option("enforceSchema", True).csv(path)
@@ -173,7 +170,7 @@ def k5_summary_json(spark, sf):
 def k4_results_json(spark, sf):
     """Results a paper as JSON, written and read back (S5)."""
     path = new_path(spark, "results")
-    sinks.write_results(sinks.nested_results(*_papers(spark, sf)), path)
+    sinks.write_results(sinks.nested_results(*_papers(spark, sf, placed=True)), path)
     back = files.json_dir(spark, path, "doc_id long, candidates_found long, unique_binomials long, classifications map<string,long>, details array<struct<binomial:string,type:string,suggestion:string,commonName:string>>", lines=True)
     return back.select("doc_id", "candidates_found", "unique_binomials", F.coalesce(F.try_element_at("classifications", F.lit("outdated")), F.lit(0)).alias("outdated"), F.coalesce(F.array_join("details.binomial", ";"), F.lit("")).alias("names"))
 

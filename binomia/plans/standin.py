@@ -8,7 +8,7 @@ five most frequent two-letter ones in `documents`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,13 +43,17 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(genus, species, n, ...) of documents' matches of all passes, as a table."""
-    return written(extract.counted(texts(spark, sf_dir), "text"), "counts")
+    """(l_genus, l_species, n) of documents' matches of all passes: each distinct lower-case pair once, as a table."""
+    return _tallied(extract.counted(texts(spark, sf_dir), "text"), F.sum("n"))
 
 
 def counts_of(matches: DataFrame) -> DataFrame:
     """The same, from matches that are extracted already."""
-    return matches.groupBy("genus", "species").agg(F.count("*").alias("n"))
+    return _tallied(matches, F.count("*"))
+
+
+def _tallied(found: DataFrame, n: Column) -> DataFrame:
+    return written(found.groupBy(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).agg(n.alias("n")), "counts")
 
 
 def dictionary(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> Dictionary:
@@ -68,9 +72,8 @@ def _dictionary(spark: SparkSession, sf_dir: str, found: DataFrame) -> Dictionar
     total = accepted.agg(F.count("*").alias("total"))
     genera = accepted.select(F.lower(F.substring_index("binomial", " ", 1)).alias("l_genus")).distinct()
     phrases = bench.select(F.col("item_id").alias("ord"), F.regexp_extract("text", PHRASE, 1).alias("name")).where("name <> ''").withColumn("k", F.col("ord"))
-    found = found.where(~F.contains("species", F.lit("-")))
-    pairs = found.where(F.length("genus") > 2).groupBy(F.lower("genus").alias("l_genus"), F.lower("species").alias("l_species")).agg(F.sum("n").alias("n"))
-    pairs = pairs.withColumn("name", F.concat_ws(" ", "l_genus", "l_species")).join(genera, "l_genus", "left_anti").join(all_names.select(F.lower("binomial").alias("name")), "name", "left_anti")
+    found = found.where(~F.contains("l_species", F.lit("-")))
+    pairs = found.where(F.length("l_genus") > 2).withColumn("name", F.concat_ws(" ", "l_genus", "l_species")).join(genera, "l_genus", "left_anti").join(all_names.select(F.lower("binomial").alias("name")), "name", "left_anti")
     frequent = pairs.orderBy(F.desc("n"), "name").limit(EXTRA).select("name", F.row_number().over(Window.orderBy(F.desc("n"), "name")).cast("long").alias("k"))
     frequent = frequent.select((F.col("k") + 1_000_000).alias("ord"), "name", "k")
     common = phrases.unionByName(frequent).crossJoin(total).withColumn("rank", F.col("k") % F.col("total")).join(ranked, "rank").select("ord", "name", F.col("of").alias("binomial"))
@@ -78,7 +81,7 @@ def _dictionary(spark: SparkSession, sf_dir: str, found: DataFrame) -> Dictionar
     named = common.groupBy("binomial").agg(F.max_by("name", "ord").alias("common_name"))
     valid = accepted.join(named, "binomial", "left").select("ord", "binomial", F.when(F.col("ord") % 4 == 1, "*").otherwise("").alias("flags"), F.coalesce("common_name", F.lit("")).alias("common_name"))
     synonyms = all_names.where("ord % 4 = 3").join(all_names.select((F.col("ord") + 1).alias("ord"), F.col("binomial").alias("new_name")), "ord").select("ord", F.col("binomial").alias("old_name"), "new_name")
-    short = found.where(F.length("genus") == 2).groupBy(F.lower("genus").alias("l_genus")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l_genus").limit(SHORT).select("l_genus")
+    short = found.where(F.length("l_genus") == 2).groupBy("l_genus").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l_genus").limit(SHORT).select("l_genus")
     return Dictionary(D.valid_names(valid).cache(), D.synonym_names(synonyms).cache(), genera.union(short).distinct().cache(), common)
 
 
