@@ -77,7 +77,8 @@ def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits:
     """(own, least): distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits, and how near the nearest is."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     short = lambda c: F.explode(bound(F.col(c), lambda w: F.array_distinct(F.transform(F.concat(F.array(w), without_one(w), without_two(w)), lambda x: F.xxhash64(x)))))
-    q = words.select(own).distinct().repartition(parts, own).withColumn("key", short(own))
+    # few bytes but much work: twice as many partitions, as the same number by the same key is merged with distinct's own step, whose partitions are lowered to fit the bytes
+    q = words.select(own).distinct().repartition(2 * parts, own).withColumn("key", short(own))
     e = entries.select(entry).distinct().withColumn("key", short(entry))
     found = q.join(e, "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
     return found.withColumn("dist", osa_within(F.col(own), F.col(entry), MAX)).where(F.col("dist") <= MAX).groupBy(own).agg(F.min("dist").alias("least"))
