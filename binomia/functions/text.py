@@ -17,6 +17,7 @@ CANDIDATE = f"({CAPITAL}[a-z]{{2,}}){WS}+([a-z]{{3,}}){EDGE_R}"
 HYPHENATED = f"({CAPITAL}[a-z]{{2,}}){WS}+([a-z]-[a-z]{{2,}}){EDGE_R}"
 SHORT_GENUS = f"({CAPITAL}[a-z]){WS}+([a-z]{{3,}}){EDGE_R}"
 EITHER = f"({CAPITAL}[a-z]+){WS}+([a-z]{{3,}}|[a-z]-[a-z]{{2,}}){EDGE_R}"  # all three: their matches never overlap
+ASCII_WS = "[\\t\\n\\f\\r ]"  # white space as DuckDB's patterns have it
 WORD = "[a-zA-Z][-a-zA-Z]*"
 MARK = "\x00"  # put around matches, so that a split by one character takes them apart
 

@@ -18,25 +18,25 @@ LABELS = {"changed": "Changed in 8th edition", "outdated": "Outdated / Synonym",
 CONFIRM, CONFIRM_SPECIES, NOTHING = " \u2014 confirm intended species", "Confirm this is the intended species", "\u2014"
 
 
-def binomial_findings(df: DataFrame, id_col: str, text_col: str, d: Dictionary) -> DataFrame:
-    found = classify(written(extract.candidates(df, id_col, text_col, d.genera), "candidates"), d)
+def binomial_findings(df: DataFrame, id_col: str, text_col: str, d: Dictionary, ascii_space: bool = False) -> DataFrame:
+    found = classify(written(extract.candidates(df, id_col, text_col, d.genera, ascii_space), "candidates"), d)
     return found.withColumns({"end": F.col("idx") + F.length("text"), "source": F.lit("binomial")}).select(*COLUMNS)
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary, octets: bool = False) -> DataFrame:
-    """Every classified candidate, and the common names outside their spans; octets: as in extract.common_names()."""
-    found = binomial_findings(df, id_col, text_col, d)
+def scan(df: DataFrame, id_col: str, text_col: str, d: Dictionary, octets: bool = False, ascii_space: bool = False) -> DataFrame:
+    """Every classified candidate, and the common names outside their spans; octets: as in extract.common_names(), ascii_space: as in extract."""
+    found = binomial_findings(df, id_col, text_col, d, ascii_space)
     common = extract.common_names(df, id_col, text_col, d.common, octets)
     common = common.withColumns({"binomial": F.col("text"), "type": F.lit("common"), "confidence": F.lit(None).cast("double"), "edit_distance": F.lit(None).cast("int"), "source": F.lit("common_name")})
     return extract.without_overlaps(found.unionByName(common.select(*COLUMNS)), F.col("source") == "binomial")
 
 
-def batch_matches(df: DataFrame, id_col: str, text_col: str, placed: bool = True) -> DataFrame:
+def batch_matches(df: DataFrame, id_col: str, text_col: str, placed: bool = True, ascii_space: bool = False) -> DataFrame:
     """(doc_id, idx, genus, species) of all matches as a table: they are few beside the texts, and read more than once. extract.chosen() of them are the candidates, without the pass for short genera.
 
     placed: with idx, which costs as much as the search.
     """
-    found = extract.every(df, id_col, text_col).select("doc_id", "idx", "genus", "species") if placed else extract.unplaced(df, id_col, text_col)
+    found = extract.every(df, id_col, text_col, ascii_space).select("doc_id", "idx", "genus", "species") if placed else extract.unplaced(df, id_col, text_col, ascii_space)
     return written(found, "matches")
 
 

@@ -37,14 +37,14 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, binomial) of benchmark's candidates."""
-    found = extract.primary(read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = extract.primary(read(spark, sf_dir, "benchmark"), "item_id", "text", ascii_space=True)
     first = found.groupBy(F.concat_ws(" ", "genus", "species").alias("binomial")).agg(F.min(F.struct("doc_id", "idx")).alias("at"))
     return first.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("ord"), "binomial")  # a reference list
 
 
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_genus, l_species, n) of documents' matches of all passes: each distinct lower-case pair once, as a table."""
-    return _tallied(extract.counted(texts(spark, sf_dir), "text"), F.sum("n"))
+    return _tallied(extract.counted(texts(spark, sf_dir), "text", ascii_space=True), F.sum("n"))
 
 
 def counts_of(matches: DataFrame) -> DataFrame:
