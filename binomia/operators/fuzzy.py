@@ -6,6 +6,9 @@ key holds nearly all of both words, so what meets hardly grows with the dictiona
 
 A pair has some hundreds of such keys, a word some dozens, and many pairs share a word. So distinct words are searched first, by the same argument, and only pairs whose words' least distances
 from entries' words come to d at most are shortened.
+
+Spark counts a row of forms as it counts the word, and a table by its compressed files, so it would take pairs of a hundred MB for few and collect them in the driver. Pairs grow with the
+texts and are never broadcast; forms of listed names are, where they are counted to be FEW at most.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from binomia.functions.text import bound
 MAX = 2
 LONG = 8  # from this length on a genus may begin with a letter near by
 NEAR = 2
+FEW = 250_000  # rows of listed names' forms that are broadcast, some 160 bytes each
 
 
 def without_one(word: Column) -> Column:
@@ -73,6 +77,11 @@ def _fits_species() -> Column:
     return _apart("l_species", "e_species") <= NEAR
 
 
+def _sent(forms: DataFrame) -> DataFrame:
+    """forms (key, ...) of listed names for a join with those of texts' words: broadcast if they are few, else neither side is."""
+    return F.broadcast(forms) if forms.count() <= FEW else forms.hint("merge")
+
+
 def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits: Column) -> DataFrame:
     """(own, least): distinct words of the column `own` that are MAX edits at most from a word of the column `entry` that fits, and how near the nearest is."""
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -80,7 +89,7 @@ def near_words(words: DataFrame, entries: DataFrame, own: str, entry: str, fits:
     # few bytes but much work: twice as many partitions, as the same number by the same key is merged with distinct's own step, whose partitions are lowered to fit the bytes
     q = words.select(own).distinct().repartition(2 * parts, own).withColumn("key", short(own))
     e = entries.select(entry).distinct().withColumn("key", short(entry))
-    found = q.join(e, "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
+    found = q.join(_sent(e), "key").where(fits & (F.abs(F.length(own) - F.length(entry)) <= MAX)).select(own, entry).distinct()
     return found.withColumn("dist", osa_within(F.col(own), F.col(entry), MAX)).where(F.col("dist") <= MAX).groupBy(own).agg(F.min("dist").alias("least"))
 
 
@@ -89,7 +98,7 @@ def met(pairs: DataFrame, index: DataFrame, payload: str) -> DataFrame:
     # few bytes but much work: a number of partitions that is given isn't lowered to fit the bytes
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = pairs.select("l_genus", "l_species").repartition(parts, "l_genus", "l_species").withColumn("key", F.explode(keys(F.col("l_genus"), F.col("l_species"))))
-    return q.join(index, "key").where(_fits_genus() & _fits_species()).select("l_genus", "l_species", "ord", "e_genus", "e_species", payload).distinct()
+    return q.join(_sent(index), "key").where(_fits_genus() & _fits_species()).select("l_genus", "l_species", "ord", "e_genus", "e_species", payload).distinct()
 
 
 def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame | None = None) -> DataFrame:
@@ -102,7 +111,8 @@ def nearest(pairs: DataFrame, names: DataFrame, payload: str, index: DataFrame |
     listed = names.select(F.col("l_genus").alias("e_genus"), F.col("l_species").alias("e_species"))
     for own, entry, fits in (("l_genus", "e_genus", _fits_genus()), ("l_species", "e_species", _fits_species())):
         # a table: the next word's search and the join with what it finds both start from it
-        pairs = written(pairs.join(near_words(pairs, listed, own, entry, fits).withColumnRenamed("least", f"least_{own}"), own), "near_word")
+        words = near_words(pairs, listed, own, entry, fits).withColumnRenamed("least", f"least_{own}")
+        pairs = written(pairs.join(words.hint("merge"), own), "near_word")  # both grow with the texts
     pairs = pairs.where(F.col("least_l_genus") + F.col("least_l_species") <= MAX)
     found = met(pairs, name_index(names, payload) if index is None else index, payload)
     both = [osa_within(F.col(a), F.col(b), MAX) for a, b in (("l_genus", "e_genus"), ("l_species", "e_species"))]
